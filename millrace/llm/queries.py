@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import token_counts, token_files
+from millrace.llm import chat_format, mixing, mixing_sql, token_counts, token_files
 from millrace.llm.common import documents, scratch
 
 
@@ -22,9 +23,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, out)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
