@@ -76,7 +76,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     quoting = keyed.filter("quotes").select("ckey").distinct()
     own_text = F.when(F.col("quotes"), F.trim(F.regexp_replace("text", QUOTED_LINES, ""), F.lit(" \t\r\n"))).otherwise(F.col("text"))
     formatted = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    messages = keyed.drop("quotes").withColumn("text", own_text).withColumn("formatted", formatted)
+    messages = keyed.withColumn("text", own_text).withColumn("formatted", formatted).drop("quotes")
     if quoting.isEmpty():
         return messages.select(
             "conv_id", "turn", "role", "text", F.lit(0).cast("bigint").alias("n_quotes"), F.lit(None).cast("bigint").alias("reply_to"),
