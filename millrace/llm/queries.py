@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, mixing, mixing_sql, token_counts, token_files
+from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, token_counts, token_files
 from millrace.llm.common import documents, scratch
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.rated(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.cached_token_counts(spark, documents(spark, sf_dir), scratch(spark, "op6-cache"), model)
