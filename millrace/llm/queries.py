@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, token_counts, token_files
+from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, token_counts, token_files, topk
 from millrace.llm.common import documents, scratch
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.rated(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
@@ -41,9 +45,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.n, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM v q JOIN v x ON q.n <> x.n AND len(q.v) = len(x.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op1_topk": OP1_SQL, "op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
