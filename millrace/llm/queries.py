@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, token_counts, token_files, topk
+from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, suffix_dedup, token_counts, token_files, topk
 from millrace.llm.common import documents, scratch
 
 
@@ -45,6 +45,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
