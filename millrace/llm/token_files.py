@@ -7,7 +7,7 @@ documents: its document ids and token counts, and one payload:
     magic "PFR1", n ids, n blocks                                   (3 x u32)
     block starts: the byte at which each block's packed ids begin   (u32 each: the block index)
     block minimum (u32), packed width in bits (u8), exceptions (u8) (one a block)
-    packed differences, 128 a block at that block's width
+    packed differences: as many planes of 128 bits a block as its width, lowest bits first
     exceptions: place in the block (u8), whole difference (u32)
 
 A block's width is that of the 90th percentile of its differences from the block's minimum; larger
@@ -39,20 +39,33 @@ from millrace.llm.common import small_batches, text_or_empty
 BLOCK, PERCENTILE, PAGE_IDS = 128, 0.9, 65536
 PAGES = "part int, page int, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
-#: Characters for which the splitting rule below is certain: ASCII, and Latin letters up to U+024F.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\t\n\r\x20-\x7e{_LETTER}]*")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-_KEPT_PIECES = 300_000
-_LOADED: dict[str, "PieceEncoder"] = {}
+_KEPT_UNITS, _UNITS_A_CALL = 400_000, 500
+#: Stand for a comma, a full stop, a full stop at a line's end, and a line's end before a unit.
+_COMMA, _STOP, _STOP_LINE, _LINE = "\1", "\2", "\3", "\4"
+_MARKS = re.compile("[\1-\4]")
+_LOADED: dict[str, "UnitEncoder"] = {}
 
 
-class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each distinct piece.
+class _Places(dict):
+    """Unit to its number; a unit that is asked for the first time gets the next one."""
 
-    The vocabulary merges inside pieces only (the library splits a text by the byte-level rule first),
-    so the ids of a text are those of its pieces in turn. Texts with special strings, or characters
-    whose class may depend on a library's Unicode version, go to the library whole."""
+    def __missing__(self, unit: str) -> int:
+        self[unit] = place = len(self)
+        self.new.append(unit)
+        return place
+
+
+class UnitEncoder:
+    """Ids of whole texts by the tokenizers library, which is asked once for each distinct unit.
+
+    The byte-level rule begins a new piece at every space that has no other white space beside it, and merges
+    happen inside pieces only. So the ids of a text are those of its first unit and of each space with what
+    follows up to the next. A comma or full stop that ends such a unit is a piece of its own if it follows a
+    letter or decimal digit, and so is a line's end between a full stop and a unit; these are cut off too, so
+    that fewer units are distinct. Where any of this isn't certain (white space beside white space, special
+    strings, control characters used as marks), the library gets the whole text.
+
+    The units used most stay known; flat holds their ids one after another."""
 
     def __init__(self, path: str):
         import os
@@ -64,24 +77,83 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ids: dict[str, tuple[int, ...]] = {}
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def plain(self, text: str) -> bool:
-        return _PLAIN.fullmatch(text) is not None and not any(x in text for x in self.specials)
-
-    def encode(self, text: str) -> np.ndarray:
-        if not self.plain(text):
-            return np.array(self._whole([text])[0], np.uint32)
-        pieces = _PIECE.findall(text)
-        known = self.ids
-        if len(known) > _KEPT_PIECES:
-            known.clear()
-        if new := list(set(pieces).difference(known)):
-            known.update(zip(new, map(tuple, self._whole(new)), strict=True))
-        return np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
+        self.place = _Places({_COMMA: 0, _STOP: 1, _STOP_LINE: 2})
+        self.place.new = []
+        self.flat = np.array([self._whole([x])[0].ids[0] for x in ",.."], np.uint32)
+        self.sizes = np.ones(3, np.int64)
+        self.uses = np.full(3, 1 << 40)
+        self.sure = np.ones(3, bool)  # not empty, and no white space at either end
+        self.open = np.zeros(3, bool)  # ends in a letter or decimal digit
+        self.starts = np.arange(3)
+
+    def _whole(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _learn(self) -> None:
+        """Encodes the new units, many to a text: the library splits them there again."""
+        new, self.place.new = self.place.new, []
+        sure = [bool(x.strip(_LINE)) and not (x[0].isspace() or x[-1].isspace() or x[1:2].isspace() and x[0] == _LINE) for x in new]
+        sizes, begin, flat, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
+        for lead in (" ", "\n"):
+            group = [k for k, x in enumerate(new) if sure[k] and (x[0] == _LINE) == (lead == "\n")]
+            runs = [group[k : k + _UNITS_A_CALL] for k in range(0, len(group), _UNITS_A_CALL)]
+            texts = [[lead + new[k].removeprefix(_LINE) for k in run] for run in runs]
+            for run, text, got in zip(runs, texts, self.tokenizer.encode_batch(["".join(x) for x in texts], add_special_tokens=False), strict=True):
+                starts = np.cumsum([0, *map(len, text)])
+                found = np.searchsorted(np.array([x for x, _ in got.offsets], np.int64), starts)
+                flat.append(np.array(got.ids, np.uint32))
+                begin[run], sizes[run] = held + found[:-1], np.diff(found)
+                held += len(flat[-1])
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate([self.starts, begin])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.sure = np.concatenate([self.sure, np.array(sure, bool)])
+        self.open = np.concatenate([self.open, np.array([x[-1:].isalpha() or x[-1:].isdecimal() for x in new], bool)])
+
+    def _forget(self) -> None:
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: _KEPT_UNITS // 2])
+        units = list(self.place)
+        self.place = _Places({units[k]: n for n, k in enumerate(kept)})
+        self.place.new = []
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.sizes, self.starts = sizes, ends - sizes
+        self.uses, self.sure, self.open = np.minimum(self.uses[kept], 1 << 40) // 2, self.sure[kept], self.open[kept]
+        self.uses[:3] = 1 << 40
+
+    def _units(self, text: str) -> list[str] | None:
+        if _MARKS.search(text) or any(x in text for x in self.specials):
+            return None
+        return text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").replace(".\n", f" {_STOP_LINE} {_LINE}").split(" ")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > _KEPT_UNITS:
+            self._forget()
+        units = [self._units(x) for x in texts]
+        places = [found and np.fromiter(map(self.place.__getitem__, itertools.islice(found, 1, None)), np.int64, len(found) - 1) for found in units]
+        if self.place.new:
+            self._learn()
+        firsts = []
+        for k, (text, found, at) in enumerate(zip(texts, units, places, strict=True)):
+            if found is not None:
+                first = found[0]
+                marked = at < 3
+                fits = self.sure[at].all() and self.open[at[:-1][marked[1:]]].all() and not (first[:1].isspace() or first[-1:].isspace() or not first and len(at))
+                if not fits or len(at) and (marked[0] and not (first[-1:].isalpha() or first[-1:].isdecimal()) or at[-1] < 3):
+                    places[k] = None
+            firsts.append(text if places[k] is None else found[0])
+        out = []
+        for got, at in zip(self._whole(firsts), places, strict=True):
+            ids = np.array(got.ids, np.uint32)
+            if at is not None and len(at):
+                np.add.at(self.uses, at, 1)
+                sizes = self.sizes[at]
+                ends = np.cumsum(sizes)
+                ids = np.concatenate([ids, self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]])
+            out.append(ids)
+        return out
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -102,8 +174,8 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            plane = ((rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed[starts[rows][:, None] + np.arange(int(w) * BLOCK // 8)] = np.packbits(plane.reshape(len(rows), -1), axis=1)
+            planes = [np.packbits((rest[rows] >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(w)]
+            packed[starts[rows][:, None] + np.arange(int(w) * BLOCK // 8)] = np.concatenate(planes, axis=1)
     odd = bits > width[:, None]
     places = np.nonzero(odd)[1].astype(np.uint8)
     return b"".join(
@@ -137,9 +209,11 @@ def unpack(payload: bytes) -> np.ndarray:
     for w in np.unique(width):
         if w:
             rows = np.flatnonzero(width == w)
-            plane = np.unpackbits(packed[starts[rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)], axis=1)
-            weights = (np.uint32(1) << np.arange(w, dtype=np.uint32)).astype(np.float32)
-            rest[rows] = (plane.reshape(-1, int(w)).astype(np.float32) @ weights).astype(np.uint32).reshape(len(rows), BLOCK) if w <= 24 else (plane.reshape(-1, int(w)).astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64))).astype(np.uint32).reshape(len(rows), BLOCK)
+            planes = packed[starts[rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)].reshape(len(rows), int(w), -1)
+            got = np.zeros((len(rows), BLOCK), np.uint32)
+            for b in range(w):
+                got |= np.unpackbits(planes[:, b], axis=1).astype(np.uint32) << np.uint32(b)
+            rest[rows] = got
     rest[np.repeat(np.arange(blocks), odd), places] = values
     return (rest + low[:, None]).reshape(-1)[:n]
 
@@ -155,8 +229,8 @@ def block_of(payload: bytes, place: int) -> np.ndarray:
     w, exceptions, before = int(width[b]), body + int(width.sum()) * (BLOCK // 8), int(odd[:b].sum())
     rest = np.zeros(BLOCK, np.uint64)
     if w:
-        plane = np.unpackbits(np.frombuffer(payload, np.uint8, w * BLOCK // 8, body + start)).reshape(BLOCK, w)
-        rest = plane.astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64))
+        planes = np.unpackbits(np.frombuffer(payload, np.uint8, w * BLOCK // 8, body + start)).reshape(w, BLOCK)
+        rest = (np.uint64(1) << np.arange(w, dtype=np.uint64)) @ planes.astype(np.uint64)
     places = np.frombuffer(payload, np.uint8, int(odd[b]), exceptions + before)
     rest[places] = np.frombuffer(payload[exceptions + int(odd.sum()) + 4 * before :], np.uint32, int(odd[b]))
     return (rest + low).astype(np.uint32)[: min(BLOCK, n - b * BLOCK)]
@@ -165,7 +239,7 @@ def block_of(payload: bytes, place: int) -> np.ndarray:
 def _pages(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
-            _LOADED[path] = PieceEncoder(path)
+            _LOADED[path] = UnitEncoder(path)
         encoder, part, page = _LOADED[path], TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
         end = np.array([end_id], np.uint32)
@@ -182,13 +256,15 @@ def _pages(path: str, end_id: int):
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                doc_ids.append(doc_id)
-                ids.append(encoder.encode(text.as_py()))
-                held += len(ids[-1]) + 1
-                if held >= PAGE_IDS:
-                    yield flush()
-                    doc_ids, ids, held, page = [], [], 0, page + 1
+            for k in range(0, len(batch), 100):
+                some = batch.slice(k, 100)
+                for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
+                    doc_ids.append(doc_id)
+                    ids.append(got)
+                    held += len(got) + 1
+                    if held >= PAGE_IDS:
+                        yield flush()
+                        doc_ids, ids, held, page = [], [], 0, page + 1
         if ids:
             yield flush()
 
