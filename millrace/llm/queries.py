@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, mixing, mixing_sql, quality, simhash, suffix_dedup, token_counts, token_files, topk
+from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, quality, simhash, suffix_dedup, token_counts, token_files, topk
 from millrace.llm.common import documents, scratch
 
 
@@ -17,8 +17,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.rated(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+    return quality.rated(documents(spark, sf_dir).select("doc_id", "text"), labels).filter("keep").drop("text", "keep")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
