@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, quality, simhash, suffix_dedup, token_counts, token_files, topk
+from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk
 from millrace.llm.common import documents, scratch
 
 
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.near_duplicate_passages(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
 
