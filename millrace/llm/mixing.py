@@ -102,3 +102,9 @@ def mix(
     return keyed.join(plan, "__skey").withColumn(
         "copies", F.col("passes") + F.when(F.col("__hash") < F.col("below"), 1).otherwise(0)
     ).drop("__skey", "__hash", "passes", "below")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them."""
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"))
+    return mix(whole, **options).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("__row.*")

@@ -173,3 +173,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     groups = written(rooted.join(named, "root").select("fp", "component_id"), "simhash-groups")
     discard(links)
     return keyed.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, as it is: the one with the smallest doc_id (null last)."""
+    numbered = written(docs.withColumn("__tid", F.monotonically_increasing_id()), "simhash-numbered")
+    grouped = near_groups(numbered.select(F.col("__tid").alias("doc_id"), "text")).select(F.col("doc_id").alias("__tid"), "component_id")
+    ids = numbered.select("__tid", "doc_id").join(grouped, "__tid")
+    chosen = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("m"))
+    return numbered.join(chosen.select(F.col("m.__tid").alias("__tid")), "__tid", "left_semi").drop("__tid")
