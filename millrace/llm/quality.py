@@ -105,11 +105,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
     scale = np.log1p(len(rows) / np.maximum(1, seen[kept])) / np.sqrt(max(1.0, sizes.mean()))
     value = scale.astype(np.float32)[column]
     p = np.zeros(k + n_grades - 1)
-    p[k:] = cuts
+    p[k] = cuts[0]
+    p[k + 1 :] = np.log(np.diff(cuts))  # thresholds are the first and the logarithms of the gaps: their order holds
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
         score = np.bincount(row_of, weights=p[column] * value, minlength=len(rows)) if k else np.zeros(len(rows))
-        tail = 1 / (1 + np.exp(np.clip(p[None, k:] - score[:, None], -60, 60)))
+        gaps = np.exp(p[k + 1 :])
+        cuts = p[k] + np.concatenate([[0], np.cumsum(gaps)])
+        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -60, 60)))
         tail = np.clip(tail, 1e-9, 1 - 1e-9)
         # cell probability of each row's grade, and its slope in each threshold's logit
         upper = np.concatenate([np.ones((len(rows), 1)), tail], 1)[np.arange(len(rows)), grades]
@@ -124,12 +127,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
         by_row = pull.sum(1)
         g = np.empty_like(p)
         g[:k] = -np.bincount(column, weights=by_row[row_of] * value, minlength=k) / len(rows) + ridge / len(rows) * p[:k] if k else 0
-        g[k:] = pull.sum(0) / len(rows) + 1e-4 * p[k:]
+        moved = np.cumsum((pull.sum(0) / len(rows))[::-1])[::-1]  # by a threshold and all above it
+        g[k] = moved[0] + 1e-4 * p[k]
+        g[k + 1 :] = moved[1:] * gaps + 1e-4 * p[k + 1 :]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        p[k:] = np.maximum.accumulate(p[k:])
+        p[k + 1 :] = np.clip(p[k + 1 :], -7, 7)
     weights[kept] = (p[:k] * scale).astype(np.float32)
-    return OrdinalModel(bits, weights, p[k:])
+    return OrdinalModel(bits, weights, p[k] + np.concatenate([[0], np.cumsum(np.exp(p[k + 1 :]))]))
 
 
 def _features_of(bits: int):
