@@ -23,7 +23,9 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
 
 def fold(batch: DataFrame, keys: Sequence[str], rules: Mapping[str, str], order: str | None = None) -> DataFrame:
     """One row a key: what applying the batch's rows in order would give."""
-    by = F.struct(order) if order else F.monotonically_increasing_id()
+    if order is None:  # as the rows come
+        batch, order = batch.withColumn("__order", F.monotonically_increasing_id()), "__order"
+    by = F.col(order)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), by))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), by))
     of = {
