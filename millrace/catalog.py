@@ -11,9 +11,10 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import network, scalars, text
+from millrace.functions import codecs, network, scalars, text
 from millrace.operators import counters, merge, relational, trees
 from millrace.plans import index
+from millrace.sources import files
 from millrace.streaming import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,3 +537,62 @@ def ttl_routing_table(s, d):
 def rate_limit_windows(s, d):
     events = _t(s, d, "events").withColumn("amount", F.lit(1))
     return pipelines.rate_limited(events, "ts", "amount", 5, 3600, "event_id", "event_type").select("event_id", "allowed")
+
+
+@query("WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM b GROUP BY user_id, g")
+def event_sessions(s, d):
+    found = pipelines.sessions(_t(s, d, "events"), "ts", "user_id")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'query:ping' WHEN 'click' THEN 'query:get_peers' WHEN 'purchase' THEN 'response' WHEN 'error' THEN 'error' ELSE 'unknown' END AS kind FROM events")
+def command_routing(s, d):
+    e = F.col("event_type")
+    y = F.when(e.isin("view", "click", "signup"), "q").when(e == "purchase", "r").when(e == "error", "e")
+    q = F.when(e == "view", "ping").when(e == "click", "get_peers").when(e == "signup", "vote")
+    return _t(s, d, "events").select("event_id", scalars.command(y, q).alias("kind"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 6881 ELSE (event_id % 1000)::INT END AS port FROM events")
+def announced_port(s, d):
+    implied = F.when(F.col("event_id") % 3 == 1, 1).when(F.col("event_id") % 3 == 2, 0)
+    return _t(s, d, "events").select("event_id", scalars.peer_port(implied, (F.col("event_id") % 1000).cast("int"), F.lit(6881)).alias("port"))
+
+
+@query("SELECT c_custkey, upper(substr(sha1(c_custkey::VARCHAR), 1, 20) || substr(sha1(c_name), 21, 20)) AS id FROM customer")
+def mixed_node_ids(s, d):
+    return _t(s, d, "customer").select("c_custkey", F.hex(scalars.mixed_id(F.unhex(F.sha1(F.col("c_custkey").cast("string"))), F.unhex(F.sha1("c_name")))).alias("id"))
+
+
+@query("SELECT p_partkey, lower(p_type) || ':' || p_size || '1' AS key FROM part")
+def cache_keys(s, d):
+    return _t(s, d, "part").select("p_partkey", scalars.cache_key(F.col("p_type"), F.col("p_size"), F.lit(1)).alias("key"))
+
+
+@query("SELECT i AS id, upper(printf('%04x', i)) AS hex FROM range(65536) t(i) WHERE i NOT IN (0, 1, 2)")
+def transaction_ids(s, d):
+    return scalars.transaction_pool(s, [0, 1, 2])
+
+
+@query("SELECT '<?xml version=\"1.0\" encoding=\"utf-8\"?><urlset><url><loc>http://x/</loc><lastmod>' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') || '</lastmod></url></urlset>' AS xml FROM orders")
+def sitemap(s, d):
+    return files.sitemap(_t(s, d, "orders"), "http://x/", "o_orderdate")
+
+
+@query("SELECT c_custkey, '{\"id\": ' || c_custkey || ', \"name\": \"' || c_name || '\"}' AS message FROM customer")
+def bencode_roundtrip(s, d):
+    packed = codecs.json_bencoded(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))))
+    return _t(s, d, "customer").select("c_custkey", codecs.bencoded_json(packed).alias("message"))
+
+
+@query("SELECT c_custkey, '{\"kind\": \"handshake\", \"reserved\": \"0000000000000000\", \"infohash\": \"' || upper(sha1(c_custkey::VARCHAR)) || '\", \"peer\": \"' || sha1(c_name) || '\"}' AS message FROM customer")
+def wire_decode(s, d):
+    data = F.concat(F.unhex(F.lit("13")), F.encode(F.lit("BitTorrent protocol"), "UTF-8"), F.unhex(F.lit("00" * 8)), F.unhex(F.sha1(F.col("c_custkey").cast("string"))), F.unhex(F.sha1("c_name")))
+    return _t(s, d, "customer").select("c_custkey", codecs.wire_json(data).alias("message"))
+
+
+@query("SELECT DISTINCT upper(sha1(repeat(p_name, 2000))) AS infohash, length(p_name) * 2000 AS size FROM part WHERE p_partkey <= 200")
+def piece_reassembly(s, d):
+    body = _t(s, d, "part").filter("p_partkey <= 200").select(F.encode(F.repeat("p_name", 2000), "UTF-8").alias("body")).select("body", F.unhex(F.sha1("body")).alias("infohash"), F.length("body").alias("total"))
+    pieces = body.select("infohash", "total", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.col("total") - 1) / 16384).cast("int")), lambda i: F.substring(F.col("body"), i * 16384 + 1, F.lit(16384)))).alias("piece", "data"))
+    return codecs.reassembled(pieces).select(F.hex("infohash").alias("infohash"), F.length("body").cast("bigint").alias("size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KIB, MIB, GIB = 1024, 1024**2, 1024**3
@@ -124,3 +124,8 @@ def command(y: Column, q: Column, commands: Sequence[str] = ("ping", "find_node"
 def peer_port(implied: Column, stated: Column, packet: Column) -> Column:
     """The message's port, or the packet's if the message says that it is implied."""
     return F.when(F.coalesce(implied, F.lit(0)) == 0, stated).otherwise(packet)
+
+
+def transaction_pool(spark: SparkSession, reserved: Sequence[int]) -> DataFrame:
+    """id, hex of the two-byte ids that are free."""
+    return spark.range(65536).filter(~F.col("id").isin(*reserved)).select("id", F.lpad(F.hex("id"), 4, "0").alias("hex"))
