@@ -2,9 +2,9 @@
 
 1. Passages are windows of 32 words every 16 words of whole texts; a word is one of 2^18 hashed slots, a passage the
    set of its words weighted by idf. Document frequencies are counted over all passages of the corpus.
-2. A passage can reach the cosine threshold against some benchmark passage only if the part of it within the
-   benchmark's vocabulary has at least that share of its length (Cauchy-Schwarz). The passages that do are the rows
-   of the TF-IDF matrix; nothing that could match is lost.
+2. A passage can reach the cosine threshold against a benchmark passage only if the words that they share among those
+   in at most RARE benchmark passages, plus all of its words that are in more, weigh enough. The passages that do are
+   the rows of the TF-IDF matrix; this is an upper bound, so nothing that could match is lost.
 3. Its distributed randomised SVD: tasks sum A'(A G) over their rows for a random G, the driver orthonormalises, one
    power round repeats this, and the leading directions span the latent space. The benchmark's own rows take part
    with weight, and what the leading directions miss of a benchmark row is added to the basis.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import discard, small_batches, text_or_empty, written
 
 SLOT_BITS, WORDS, STEP, AROUND = 18, 32, 16, 64
-GROUP, PART_WORDS, RANK = 256, 64, 128
+GROUP, PART_WORDS, RANK, RARE = 256, 64, 128, 16
 _KEPT_WORDS = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>|*-_«»“”„…$%&#"
 
@@ -139,6 +139,9 @@ class Group:
     place: np.ndarray  # slot to column, -1 outside the vocabulary
     idf: np.ndarray  # of all slots
     matrix: np.ndarray  # a row a passage, a column a vocabulary slot, unit length
+    length: np.ndarray  # of the rows before that
+    first: np.ndarray  # of a rare column's passages in holders; one more than columns
+    holders: np.ndarray
 
 
 def benchmark_passages(rows: list[tuple[int, str | None]], min_words: int) -> list[tuple[int, list[str], int]]:
@@ -164,26 +167,36 @@ def make_group(passages: list[tuple[int, list[str], int]], idf: np.ndarray) -> G
     matrix = np.zeros((len(passages), len(used)))
     for row, s in zip(matrix, slots, strict=True):
         row[place[s]] = idf[s]
-    matrix /= np.maximum(1e-12, np.linalg.norm(matrix, axis=1))[:, None]
-    return Group([i for i, _, _ in passages], [w for _, w, _ in passages], [a for _, _, a in passages], place, idf, matrix)
+    length = np.maximum(1e-12, np.linalg.norm(matrix, axis=1))
+    column = np.concatenate([place[s] for s in slots])
+    holder = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
+    rare = np.bincount(column, minlength=len(used))[column] <= RARE
+    turn = np.argsort(column[rare], kind="stable")
+    first = np.searchsorted(column[rare][turn], np.arange(len(used) + 1))
+    return Group([i for i, _, _ in passages], [w for _, w, _ in passages], [a for _, _, a in passages], place, idf, matrix / length[:, None], length, first, holder[rare][turn])
 
 
 def _near(shared, least: float):
-    """Passages whose part within the vocabulary has at least `least` of their length, with the words around them."""
+    """Passages that can have a cosine of `least` with a benchmark passage, with the words around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, idf = shared.value
+        place, idf, lengths, first, holders = shared.value
         for digests, texts in _groups_of_texts(batches):
             text, start, window, slots = distinct_slots(texts)
             square = idf[slots] ** 2
             total = np.bincount(window, weights=square, minlength=len(text))
             inside = place[slots] >= 0
-            own = np.bincount(window[inside], weights=square[inside], minlength=len(text))
-            kept = np.flatnonzero((own >= least * least * total) & (own > 0))
+            column, of, weight = place[slots[inside]], window[inside], square[inside]
+            count = first[column + 1] - first[column]
+            common = np.bincount(of[count == 0], weights=weight[count == 0], minlength=len(text))
+            ends = np.cumsum(count)
+            held = holders[np.repeat(first[column] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+            shared_weight = np.bincount(np.repeat(of, count) * len(lengths) + held, weights=np.repeat(weight, count), minlength=len(text) * len(lengths))
+            most = (shared_weight.reshape(len(text), -1) + common[:, None]) / lengths[None, :]
+            kept = np.flatnonzero((most.max(1) >= (least - 1e-9) * np.sqrt(total)) & (np.bincount(of, minlength=len(text)) > 0))
             if not len(kept):
                 continue
-            window, column = window[inside], place[slots[inside]]
-            a, b = np.searchsorted(window, kept), np.searchsorted(window, kept, side="right")
+            a, b = np.searchsorted(of, kept), np.searchsorted(of, kept, side="right")
             around = [" ".join(texts[text[k]][max(0, start[k] - AROUND) : start[k] + WORDS + AROUND]) for k in kept]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -326,7 +339,7 @@ def find_leaks(
     found = None
     for k in range(0, len(passages), GROUP):
         group = make_group(passages[k : k + GROUP], idf)
-        near = written(texts.mapInArrow(_near(spark.sparkContext.broadcast((group.place, idf)), least), "digest binary, columns array<int>, length double, around string"), "leaks-near")
+        near = written(texts.mapInArrow(_near(spark.sparkContext.broadcast((group.place, idf, group.length, group.first, group.holders)), least), "digest binary, columns array<int>, length double, around string"), "leaks-near")
         basis = latent_basis(near, group)
         checked = near.mapInArrow(_check(spark.sparkContext.broadcast((group, basis)), least, overlap, overlap_with_answer), FOUND)
         now = written(checked.groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m")).select("digest", (-F.col("m.col3")).alias("item_id"), "m.cosine", "m.overlap"), "leaks")

@@ -66,7 +66,7 @@ def test_latent_cosines_equal_tfidf_cosines(spark):
     counts = dc._summed(docs.mapInArrow(dc._frequencies, "part int, body binary"), (1 << dc.SLOT_BITS) + 1)
     idf = np.log((2 + counts[-1]) / (1 + counts[:-1]))
     group = dc.make_group(dc.benchmark_passages(list(enumerate(ITEM[:20])), 5), idf)
-    near = docs.mapInArrow(dc._near(spark.sparkContext.broadcast((group.place, idf)), 0.3), "digest binary, columns array<int>, length double, around string").cache()
+    near = docs.mapInArrow(dc._near(spark.sparkContext.broadcast((group.place, idf, group.length, group.first, group.holders)), 0.3), "digest binary, columns array<int>, length double, around string").cache()
     basis = dc.latent_basis(near, group, rank=6)
     want = 0
     for words in (t.lower().split() for t in texts):
