@@ -32,6 +32,8 @@ from millrace.llm.common import discard, written
 NO_ID = np.iinfo(np.int64).max
 #: Room for rounding: distances are computed in floating point from exact squares.
 SLACK = 1e-6
+#: Vectors in a cell.
+CELL = 512
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -84,30 +86,40 @@ def _packed(items: DataFrame, rows_each: int, pivots: dict[int, np.ndarray]) ->
     return written(keyed.groupBy("part", "size").applyInArrow(_packer(pivots), "part bigint, size int, body binary"), "topk-parts"), parts
 
 
-def search_block(q: np.ndarray, qid: int, own: bool, qd: np.ndarray, ids, n, x, d, k: int, cell: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def search_block(q: np.ndarray, qid: int, own: bool, qd: np.ndarray, ids, n, x, d, k: int, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best rows of a block for one query; own: leave out one row with id qid and vector q."""
-    norms = _search_norms(x)
-    q2 = float((q.astype(np.float64) ** 2).sum())
-    exact = float(np.abs(q).max(initial=0)) * norms[1] * max(1, len(q)) < 2**52
+    norms, peak, low, high, cell_norm, real = _search_norms(x)
+    qf = q.astype(np.float64)
+    q2 = float(qf @ qf)
+    exact = float(np.abs(q).max(initial=0)) * peak * max(1, len(q)) < 2**52
     starts = np.arange(0, len(x), cell)
-    low, high, cell_norm = norms[2], norms[3], norms[4]
     gap = np.maximum(0, np.maximum(low - qd, qd - high)).max(1, initial=0) if d.shape[1] else np.zeros(len(starts))
-    root = np.sqrt(q2)
-    bound = np.minimum((q2 + cell_norm - gap * gap) / 2, root * np.sqrt(cell_norm)) * (1 + SLACK) + SLACK + SLACK * (q2 + cell_norm)
+    bound = np.minimum((q2 + cell_norm - gap * gap) / 2, np.sqrt(q2) * np.sqrt(cell_norm)) * (1 + SLACK) + SLACK + SLACK * (q2 + cell_norm)
     best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for c in np.argsort(-bound, kind="stable"):
         least = best[k - 1] if len(best) >= k else None
         if least is not None and bound[c] < least:
             break
-        rows = slice(int(starts[c]), int(starts[c]) + cell)
-        at = np.arange(rows.start, min(rows.stop, len(x)))
+        first, last = int(starts[c]), min(int(starts[c]) + cell, len(x))
+        at = None  # None: all of the cell
         if least is not None and d.shape[1]:
-            lower = np.abs(d[rows] - qd).max(1)
-            upper = (q2 + norms[0][rows] - lower * lower) / 2
-            at = at[upper * (1 + SLACK) + SLACK * (1 + q2 + norms[0][rows]) >= least]
-        if not len(at):
-            continue
-        scores = np.rint(x[at].astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if exact else x[at].astype(np.int64) @ q.astype(np.int64)
+            lower = np.abs(d[first:last] - qd).max(1)
+            upper = (q2 + norms[first:last] - lower * lower) / 2
+            able = upper * (1 + SLACK) + SLACK * (1 + q2 + norms[first:last]) >= least
+            if not able.any():
+                continue
+            if able.mean() < 0.5:
+                at = first + np.flatnonzero(able)
+        if exact:
+            scores = np.rint((real[first:last] if at is None else real[at]) @ qf).astype(np.int64)
+        else:
+            scores = (x[first:last] if at is None else x[at]).astype(np.int64) @ q.astype(np.int64)
+        at = np.arange(first, last) if at is None else at
+        if least is not None:
+            good = scores >= least
+            if not good.any():
+                continue
+            at, scores = at[good], scores[good]
         copies = np.minimum(n[at], k + 1)
         if own:
             copies = copies - ((ids[at] == qid) & (x[at] == q).all(1) & (n[at] <= k + 1))
@@ -129,14 +141,15 @@ def _search_norms(x: np.ndarray) -> tuple:
     return _NORMS[id(x)]
 
 
-def _prepare(x: np.ndarray, d: np.ndarray, cell: int = 256) -> None:
-    """Squared norms and each cell's distance ranges of the block that is searched next."""
+def _prepare(x: np.ndarray, d: np.ndarray, cell: int = CELL) -> None:
+    """Squared norms, each cell's distance ranges and the real numbers of the block that is searched next."""
     _NORMS.clear()
-    norms = (x.astype(np.float64) ** 2).sum(1)
+    real = x.astype(np.float64)
+    norms = (real**2).sum(1)
     cuts = np.arange(0, len(x), cell)
     low = np.minimum.reduceat(d, cuts, axis=0) if len(x) else d
     high = np.maximum.reduceat(d, cuts, axis=0) if len(x) else d
-    _NORMS[id(x)] = (norms, float(np.abs(x).max(initial=0)), low, high, np.maximum.reduceat(norms, cuts) if len(x) else norms)
+    _NORMS[id(x)] = (norms, float(np.abs(x).max(initial=0)), low, high, np.maximum.reduceat(norms, cuts) if len(x) else norms, real)
 
 
 def _searcher(k: int):

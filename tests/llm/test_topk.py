@@ -45,12 +45,12 @@ def test_bounds_skip_far_cells():
     x = np.concatenate([r.integers(-9, 9, (2000, 8)) + 400 * c for c in np.eye(8, dtype=int)]).astype(np.int32)
     pivots = x[:: 2000].astype(float)
     d = topk._distances(x.astype(float), pivots)
-    topk._prepare(x, d)
+    topk._prepare(x, d, 256)
     seen = []
     lookup = topk.np.rint
     topk.np = type("np", (), {"__getattr__": lambda s, n: (lambda v: (seen.append(len(v)), lookup(v))[1]) if n == "rint" else getattr(np, n)})()
     try:
-        ids, scores = topk.search_block(x[5], 5, True, d[5], np.arange(len(x)), np.ones(len(x), int), x, d, 10)
+        ids, scores = topk.search_block(x[5], 5, True, d[5], np.arange(len(x)), np.ones(len(x), int), x, d, 10, 256)
     finally:
         topk.np = np
     want = x.astype(np.int64) @ x[5].astype(np.int64)
