@@ -43,6 +43,8 @@ _KEPT_UNITS, _UNITS_A_CALL = 400_000, 500
 #: Stand for a comma, a full stop, a full stop at a line's end, and a line's end before a unit.
 _COMMA, _STOP, _STOP_LINE, _LINE = "\1", "\2", "\3", "\4"
 _MARKS = re.compile("[\1-\4]")
+#: Units without white space at either end.
+_SURE = re.compile(r"\x04?[^\s\x04](?:.*\S)?", re.S)
 _LOADED: dict[str, "UnitEncoder"] = {}
 
 
@@ -77,6 +79,9 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.bytes_of[k] = len(token)  # byte-level tokens have a character a byte
         self.place = _Places({_COMMA: 0, _STOP: 1, _STOP_LINE: 2})
         self.place.new = []
         self.flat = np.array([self._whole([x])[0].ids[0] for x in ",.."], np.uint32)
@@ -90,26 +95,28 @@ class UnitEncoder:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn(self) -> None:
-        """Encodes the new units, many to a text: the library splits them there again."""
+        """Encodes the new units, many to a text: the library splits them there again. How many ids each has shows
+        in the ids' byte lengths, for no id reaches over the start of a unit."""
         new, self.place.new = self.place.new, []
-        sure = [bool(x.strip(_LINE)) and not (x[0].isspace() or x[-1].isspace() or x[1:2].isspace() and x[0] == _LINE) for x in new]
+        sure = np.fromiter(map(bool, map(_SURE.fullmatch, new)), bool, len(new))
+        line = np.fromiter((x.startswith(_LINE) for x in new), bool, len(new))
         sizes, begin, flat, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
-        for lead in (" ", "\n"):
-            group = [k for k, x in enumerate(new) if sure[k] and (x[0] == _LINE) == (lead == "\n")]
-            runs = [group[k : k + _UNITS_A_CALL] for k in range(0, len(group), _UNITS_A_CALL)]
-            texts = [[lead + new[k].removeprefix(_LINE) for k in run] for run in runs]
-            for run, text, got in zip(runs, texts, self.tokenizer.encode_batch(["".join(x) for x in texts], add_special_tokens=False), strict=True):
-                starts = np.cumsum([0, *map(len, text)])
-                found = np.searchsorted(np.array([x for x, _ in got.offsets], np.int64), starts)
-                flat.append(np.array(got.ids, np.uint32))
-                begin[run], sizes[run] = held + found[:-1], np.diff(found)
-                held += len(flat[-1])
+        for lead, group in ((" ", np.flatnonzero(sure & ~line)), ("\n", np.flatnonzero(sure & line))):
+            units = [lead + new[k].removeprefix(_LINE) for k in group]
+            runs = ["".join(units[k : k + _UNITS_A_CALL]) for k in range(0, len(units), _UNITS_A_CALL)]
+            ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in self._whole(runs)), np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            starts = np.cumsum([0, *map(len, map(str.encode, units))])
+            found = np.searchsorted(ends, starts, side="right")
+            begin[group], sizes[group] = held + found[:-1], np.diff(found)
+            flat.append(ids)
+            held += len(ids)
         self.flat = np.concatenate(flat)
         self.starts = np.concatenate([self.starts, begin])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        self.sure = np.concatenate([self.sure, np.array(sure, bool)])
-        self.open = np.concatenate([self.open, np.array([x[-1:].isalpha() or x[-1:].isdecimal() for x in new], bool)])
+        self.sure = np.concatenate([self.sure, sure])
+        self.open = np.concatenate([self.open, np.fromiter((x[-1:].isalpha() or x[-1:].isdecimal() for x in new), bool, len(new))])
 
     def _forget(self) -> None:
         kept = np.sort(np.argsort(-self.uses, kind="stable")[: _KEPT_UNITS // 2])
@@ -156,6 +163,9 @@ class UnitEncoder:
         return out
 
 
+_BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A page's payload."""
     n = len(ids)
@@ -165,7 +175,7 @@ def pack(ids: np.ndarray) -> bytes:
     x = np.pad(ids.astype(np.uint32), (0, blocks * BLOCK - n), mode="edge").reshape(blocks, BLOCK)
     low = x.min(1)
     rest = x - low[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    bits = _BITS[rest] if rest.max() < len(_BITS) else np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
     at = int(BLOCK * PERCENTILE)
     width = np.partition(bits, at, axis=1)[:, at]
     sizes = width.astype(np.int64) * (BLOCK // 8)
