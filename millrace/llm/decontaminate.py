@@ -279,11 +279,14 @@ def best_overlap(item: np.ndarray, around: np.ndarray, weight: np.ndarray, answe
     """The greatest share of item's weight in common with a stretch of around half as long again as item, of those
     stretches that count as a leak; None if none does."""
     total, span, best = weight.sum(), max(12, len(item) * 3 // 2), None
-    for start in range(0, max(1, len(around) - span + len(item) // 4), max(1, len(item) // 4)):
-        stretch = around[start : start + span]
-        if weight[np.isin(item, stretch)].sum() < min(overlap, overlap_with_answer) * total:
-            continue  # no order of the words can be enough
-        used = common_weight(item, stretch, weight)
+    starts = np.arange(0, max(1, len(around) - span + len(item) // 4), max(1, len(item) // 4))
+    same = item[:, None] == around[None, :]
+    # whatever the order of its words, a stretch can't hold more than this
+    most = np.array([weight[same[:, k : k + span].any(1)].sum() for k in starts]) / total
+    for k in np.argsort(-most, kind="stable"):
+        if most[k] < min(overlap, overlap_with_answer) or (best is not None and most[k] <= best):
+            break
+        used = common_weight(item, around[starts[k] : starts[k] + span], weight)
         share = float(weight[used].sum() / total)
         if (share >= overlap or share >= overlap_with_answer and used[answer:].all()) and (best is None or share > best):
             best = share
