@@ -100,7 +100,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
     columns = [x[x >= 0] for x in columns]
     sizes = np.array([len(x) for x in columns])
     column = np.concatenate(columns)
+    del columns
     row_of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    # sums over rows go by blocks of rows, which bounds what they hold at once
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    blocks = [(a, min(a + 1000, len(rows)), slice(int(ends[a]), int(ends[min(a + 1000, len(rows))]))) for a in range(0, len(rows), 1000)]
     # common slots carry less: a slot's step is scaled by its rarity
     scale = np.log1p(len(rows) / np.maximum(1, seen[kept])) / np.sqrt(max(1.0, sizes.mean()))
     value = scale.astype(np.float32)[column]
@@ -109,7 +113,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
     p[k + 1 :] = np.log(np.diff(cuts))  # thresholds are the first and the logarithms of the gaps: their order holds
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
-        score = np.bincount(row_of, weights=p[column] * value, minlength=len(rows)) if k else np.zeros(len(rows))
+        score = np.zeros(len(rows))
+        for a, b, part in blocks:
+            score[a:b] = np.bincount(row_of[part] - a, weights=p[column[part]] * value[part], minlength=b - a)
         gaps = np.exp(p[k + 1 :])
         cuts = p[k] + np.concatenate([[0], np.cumsum(gaps)])
         tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -60, 60)))
@@ -126,7 +132,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
         pull = sign * slope  # d log likelihood / d (score - threshold)
         by_row = pull.sum(1)
         g = np.empty_like(p)
-        g[:k] = -np.bincount(column, weights=by_row[row_of] * value, minlength=k) / len(rows) + ridge / len(rows) * p[:k] if k else 0
+        g[:k] = ridge / len(rows) * p[:k]
+        for _, _, part in blocks if k else ():
+            g[:k] -= np.bincount(column[part], weights=by_row[row_of[part]] * value[part], minlength=k) / len(rows)
         moved = np.cumsum((pull.sum(0) / len(rows))[::-1])[::-1]  # by a threshold and all above it
         g[k] = moved[0] + 1e-4 * p[k]
         g[k + 1 :] = moved[1:] * gaps + 1e-4 * p[k + 1 :]
@@ -159,7 +167,7 @@ def fit_on(docs: DataFrame, graded: DataFrame, *, n_grades: int, bits: int = 18,
     table = rows.toArrow()
     flat = [x.to_numpy(zero_copy_only=False) for chunk in table.column("slots").chunks for x in (chunk.slice(i, 1).flatten() for i in range(len(chunk)))]
     grades = table.column("grade").to_numpy() if table.num_rows else np.zeros(0, int)
-    order = sorted(range(len(flat)), key=lambda i: (int(grades[i]), flat[i].tobytes()))  # results don't depend on the order in which rows come
+    order = sorted(range(len(flat)), key=lambda i: (int(grades[i]), len(flat[i]), xxhash.xxh64_intdigest(flat[i].tobytes())))  # results don't depend on the order in which rows come
     return fit([flat[i] for i in order], np.array([int(grades[i]) for i in order], int), n_grades, bits)
 
 
