@@ -24,6 +24,7 @@ row is judged by itself, whatever its id; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ from millrace.llm.suffix_dedup import _release, merged
 
 SHINGLE, MIN_WORDS, FUNCTIONS, SIMILARITY = 5, 50, 4, 0.8
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
+LEAST_COMMON = 41  # distinct shingles that passages of MIN_SHINGLES share at SIMILARITY
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(bytes([k]), 3) | 1 for k in range(FUNCTIONS)], np.uint64)
 _KEPT_WORDS = 400_000
@@ -213,25 +215,110 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def similar_stretch(a: np.ndarray, b: np.ndarray, ca: int, cb: int, in_b: np.ndarray, in_a: np.ndarray, judged: dict) -> tuple[int, int, int, int] | None:
-    """Shingles (first and last, of a and of b) of similar passages around a[ca] = b[cb]; None if there are none.
-    judged: whether pairs of stretches of a and b are similar, as far as known."""
+def places_of(b: np.ndarray) -> dict[int, list[int]]:
+    """The places of each shingle, ascending."""
+    found: dict[int, list[int]] = {}
+    for k, x in enumerate(b.tolist()):
+        found.setdefault(x, []).append(k)
+    return found
 
-    def similar(found: tuple[int, int, int, int]) -> bool:
-        if found not in judged:
-            a0, a1, b0, b1 = found
-            judged[found] = min(a1 - a0, b1 - b0) + 1 >= MIN_SHINGLES and _jaccard(a[a0 : a1 + 1], b[b0 : b1 + 1]) >= SIMILARITY
-        return judged[found]
 
-    found = (*_grow(in_b, ca), *_grow(in_a, cb))
-    if similar(found):
+class _Pair:
+    """Similar passages of two texts' shingles a and b, or (own) of one text with itself. where: the places of b's shingles."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, where: dict[int, list[int]], own: bool = False):
+        self.a, self.b, self.where, self.own = a, b, where, own
+        self.in_b, self.in_a = np.isin(a, b), np.isin(b, a)
+        if own:  # a passage is no repeat of itself: only what occurs twice can match
+            _, back, count = np.unique(a, return_inverse=True, return_counts=True)
+            self.in_b = self.in_a = count[back] > 1
+        self.hopeless = len(np.unique(a[self.in_b])) < LEAST_COMMON
+        self.judged: dict[tuple[int, int, int, int], bool] = {}
+        self.chains: dict[tuple[int, int], tuple[list[tuple[int, int, int]], int]] = {}
+
+    def similar(self, found: tuple[int, int, int, int]) -> bool:
+        if found not in self.judged:
+            a0, a1, b0, b1 = found
+            self.judged[found] = min(a1 - a0, b1 - b0) + 1 >= MIN_SHINGLES and not (self.own and (a0, a1) == (b0, b1)) and _jaccard(self.a[a0 : a1 + 1], self.b[b0 : b1 + 1]) >= SIMILARITY
+        return self.judged[found]
+
+    def _next(self, at: Iterator[int], i: int, j: int, way: int) -> tuple[int, int] | None:
+        """The match nearest to a[i], b[j] beyond both; at: the places of a from there that b has."""
+        best, far = None, None
+        for x in at:
+            if far is not None and abs(x - i) >= far:
+                break
+            places = self.where[int(self.a[x])]
+            k = bisect.bisect_right(places, j) if way > 0 else bisect.bisect_left(places, j) - 1
+            while 0 <= k < len(places) and self.own and (x > places[k]) != (i > j):
+                k += way
+            if 0 <= k < len(places) and (far is None or abs(x - i) + abs(places[k] - j) < far):
+                best, far = (x, places[k]), abs(x - i) + abs(places[k] - j)
+        return best
+
+    def chain(self, i: int, j: int) -> tuple[list[tuple[int, int, int]], int]:
+        """Runs (first places, length) in which a and b agree, in order of both, from the one with a[i] = b[j] to both ends
+        of the texts; and its number."""
+        a, b = self.a, self.b
+        same = np.flatnonzero(a[i : i + len(b) - j] != b[j : j + len(a) - i])
+        n = int(same[0]) if len(same) else min(len(a) - i, len(b) - j)
+        same = np.flatnonzero(a[i - min(i, j) : i] != b[j - min(i, j) : j])
+        back = min(i, j) - 1 - int(same[-1]) if len(same) else min(i, j)
+        start = (i - back, j - back)
+        if start in self.chains:
+            return self.chains[start]
+        found = [(*start, n + back)]
+        matches = np.flatnonzero(self.in_b)
+        for way in (1, -1):
+            while True:
+                x, y, n = found[-1 if way > 0 else 0]
+                x, y = (x + n - 1, y + n - 1) if way > 0 else (x, y)
+                k = np.searchsorted(matches, x, side="right" if way > 0 else "left")
+                to = self._next(map(int, matches[k:] if way > 0 else matches[:k][::-1]), x, y, way)
+                if to is None:
+                    break
+                x, y = to
+                if way > 0:
+                    differ = np.flatnonzero(a[x : x + len(b) - y] != b[y : y + len(a) - x])
+                    n = int(differ[0]) if len(differ) else min(len(a) - x, len(b) - y)
+                    found.append((x, y, n))
+                else:
+                    low = min(x, y)
+                    differ = np.flatnonzero(a[x - low : x] != b[y - low : y])
+                    n = low - 1 - int(differ[-1]) if len(differ) else low
+                    found.insert(0, (x - n, y - n, n + 1))
+        for k, (x, y, _) in enumerate(found):
+            self.chains.setdefault((x, y), (found, k))
+        return self.chains[start]
+
+    def aligned(self, ca: int, cb: int) -> Iterator[tuple[int, int, int, int]]:
+        """Stretches around a[ca] = b[cb] from run to run that can be similar, longest first. With m places that agree, Jaccard
+        0.8 is 9 m >= 4 (length + length): sums over runs, so the farthest end for each start is found by a search."""
+        runs, r = self.chain(ca, cb)
+        x, y, n = np.array(runs, np.int64).T
+        total = np.cumsum(n)
+        end = 9 * total - 4 * (x + n + y + n)
+        start = 9 * (total - n) - 4 * (x + y)
+        far = np.maximum.accumulate(end[r:][::-1])  # ascending
+        k = np.searchsorted(far, start[: r + 1], side="left")
+        left = np.flatnonzero(k < len(far))
+        right = len(runs) - 1 - k[left]
+        size = (x + y + 2 * n)[right] - (x + y)[left]
+        for t in np.argsort(-size, kind="stable"):
+            p, q = left[t], right[t]
+            yield int(x[p]), int(x[q] + n[q] - 1), int(y[p]), int(y[q] + n[q] - 1)
+        yield int(x[r]), int(x[r] + n[r] - 1), int(y[r]), int(y[r] + n[r] - 1)
+
+    def stretch(self, ca: int, cb: int) -> tuple[int, int, int, int] | None:
+        """Shingles (first and last, of a and of b) of the longest similar passages around a[ca] = b[cb]; None if there are none."""
+        if self.hopeless:
+            return None
+        found = next(filter(self.similar, self.aligned(ca, cb)), None)
+        if not self.own:  # passages in another order of their parts
+            grown = (*_grow(self.in_b, ca), *_grow(self.in_a, cb))
+            if (found is None or grown[1] - grown[0] + grown[3] - grown[2] > found[1] - found[0] + found[3] - found[2]) and self.similar(grown):
+                found = grown
         return found
-    # shingles also match in other places: keep to those near the same distance from the minimum
-    left, right = min(ca, cb), min(len(a) - ca, len(b) - cb)
-    same = a[ca - left : ca + right] == b[cb - left : cb + right]
-    s0, s1 = _grow(same, left)
-    found = (ca - left + s0, ca - left + s1, cb - left + s0, cb - left + s1)
-    return found if similar(found) else None
 
 
 VERIFIED = "tid bigint, first bigint, key bigint, c int, a0 int, a1 int, b0 int, b1 int"
@@ -239,7 +326,7 @@ VERIFIED = "tid bigint, first bigint, key bigint, c int, a0 int, a1 int, b0 int,
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every link of a pair of texts its passages, or null."""
-    last, b = None, None
+    last, b, where = None, None, {}
     for batch in batches:
         out: list[list] = [[] for _ in range(8)]
         for row in range(len(batch)):
@@ -247,17 +334,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = shingles(batch.column("text")[row].as_py())
             if first != last:
                 last, b = first, shingles(batch.column("other")[row].as_py())
-            in_b, in_a = np.isin(a, b), np.isin(b, a)
-            if tid == first:  # a passage is no repeat of itself: only what occurs twice can match
-                _, back, count = np.unique(a, return_inverse=True, return_counts=True)
-                in_b = in_a = count[back] > 1
+                where = places_of(b)
+            pair = _Pair(a, b, where, tid == first)
             known: list[tuple[int, int, int, int]] = []
-            judged: dict[tuple[int, int, int, int], bool] = {}
             for link in batch.column("links")[row].as_py():
                 ca, cb = link["c"], link["c0"]
-                found = next((k for k in known if k[0] <= ca <= k[1] and k[2] <= cb <= k[3]), None) or similar_stretch(a, b, ca, cb, in_b, in_a, judged)
-                if found is not None and tid == first and found[0] <= found[3] and found[2] <= found[1] and found[:2] == found[2:]:
-                    found = None
+                found = next((k for k in known if k[0] <= ca <= k[1] and k[2] <= cb <= k[3]), None) or pair.stretch(ca, cb)
                 if found is not None and found not in known:
                     known.append(found)
                 for column, value in zip(out, (tid, first, link["key"], ca, *(found or (None,) * 4)), strict=True):

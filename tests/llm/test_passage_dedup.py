@@ -76,3 +76,43 @@ def test_windows_of_one_function_make_no_keys():
 
     batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([1, 1], pa.int32()), pa.array([7, 7]), *(pa.array(x, pa.int32()) for x in ([0, 60], [3, 70], [50, 120]))], ["v", "f", "tid", "lo", "c", "hi"])
     assert list(pd_._keys(iter([batch]))) == []
+
+
+def _stretches(a, b, own=False):
+    """Whether a stretch is found from each shared shingle of two lists of words."""
+    x = pd_.shingles(" ".join(a))
+    y = x if own else pd_.shingles(" ".join(b))
+    where = pd_.places_of(y)
+    pair = pd_._Pair(x, y, where, own)
+    return [(i, j, pair.stretch(i, j)) for i, v in enumerate(x.tolist()) for j in where.get(v, []) if not own or i > j]
+
+
+@pytest.mark.parametrize("every", [28, 30, 35])
+def test_an_exact_run_among_edits_is_found(every):
+    a = _prose(680)
+    b = [x if k % every or 300 <= k < 399 else f"edit{k}" for k, x in enumerate(a)]
+    found = _stretches(_prose(50) + a + _prose(50), _prose(80) + b + _prose(20))
+    inside = [f for i, _, f in found if 352 <= i < 442]
+    assert len(inside) > 80 and all(inside)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_equal_brute_force(seed):
+    r = random.Random(seed)
+    a = _prose(75)
+    b = [x if r.random() > 0.03 else "edit" for x in a]
+    if seed % 2:
+        del b[r.randrange(20, 50)]
+    x, y = pd_.shingles(" ".join(a)), pd_.shingles(" ".join(b))
+    least = pd_.MIN_SHINGLES
+    ok = [
+        (a0, a1, b0, b1)
+        for a0 in range(len(x)) for a1 in range(a0 + least - 1, len(x))
+        for b0 in range(max(0, a0 - 3), min(len(y), a0 + 4)) for b1 in range(max(b0 + least - 1, a1 - 3), min(len(y), a1 + 4))
+        if pd_._jaccard(x[a0 : a1 + 1], y[b0 : b1 + 1]) >= 0.8
+    ]
+    for i, j, found in _stretches(a, b):
+        around = [f for f in ok if f[0] <= i <= f[1] and f[2] <= j <= f[3]]
+        assert (found is not None) == bool(around)
+        if found:
+            assert found in ok and found[1] - found[0] >= max(f[1] - f[0] for f in around) - 12
