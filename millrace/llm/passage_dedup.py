@@ -11,8 +11,8 @@ about 2 / MIN_SHINGLES of the text's length, and stand for all of its passages.
    that share a key agree in two min-hashes, and in more than one phrase.
 3. Each key's members are linked to its first member (the least in order of text and place), so a key of n members gives
    n - 1 links, not a row a pair. Links are combined by pair of texts.
-4. Verification: from each shared minimum, passages are grown on both sides to the longest stretch in which shingles
-   match, and count if they have at least 50 words and a Jaccard similarity of 0.8 or more.
+4. Verification: from each shared minimum, both texts are aligned run by run; the longest stretch around it counts that has
+   at least 50 words and a Jaccard similarity of 0.8 or more.
 5. Members that weren't verified against the first are linked among themselves the same way, `rounds` times. This is a
    bound: a key whose first members all fail (a line that is common, but shorter than a passage) is not searched on, for
    its members agree in no passage as far as seen; passages that agree in other pairs of min-hashes have other keys.
@@ -309,6 +309,27 @@ class _Pair:
             yield int(x[p]), int(x[q] + n[q] - 1), int(y[p]), int(y[q] + n[q] - 1)
         yield int(x[r]), int(x[r] + n[r] - 1), int(y[r]), int(y[r] + n[r] - 1)
 
+    def padded(self, ca: int, cb: int) -> Iterator[tuple[int, int, int, int]]:
+        """The same where the runs are shorter than MIN_SHINGLES, so that a passage also takes words beyond its first or last run."""
+        runs, r = self.chain(ca, cb)
+        x, y, n = np.array(runs, np.int64).T
+        p = np.flatnonzero((ca - x < MIN_SHINGLES) & (cb - y < MIN_SHINGLES) & (np.arange(len(x)) <= r))[:, None]
+        q = np.flatnonzero((x + n - ca <= MIN_SHINGLES) & (y + n - cb <= MIN_SHINGLES) & (np.arange(len(x)) >= r))[None, :]
+        total = np.cumsum(n)
+        both = total[q] - total[p] + n[p]
+        length, other = (x + n)[q] - x[p], (y + n)[q] - y[p]
+        size = np.maximum(length, MIN_SHINGLES) + np.maximum(other, MIN_SHINGLES)
+        at = np.argwhere((np.minimum(length, other) < MIN_SHINGLES) & (9 * both >= 4 * size))
+        for k, m in at[np.argsort(-size[tuple(at.T)], kind="stable")]:
+            for left in (True, False):
+                found = []
+                for here, text in ((x, self.a), (y, self.b)):
+                    begin, end = int(here[p[k, 0]]), int((here + n)[q[0, m]])
+                    lack = max(0, MIN_SHINGLES - (end - begin))
+                    before = min(lack, begin) if left else lack - min(lack, len(text) - end)
+                    found += [begin - before, end + lack - before - 1]
+                yield tuple(found)
+
     def stretch(self, ca: int, cb: int) -> tuple[int, int, int, int] | None:
         """Shingles (first and last, of a and of b) of the longest similar passages around a[ca] = b[cb]; None if there are none."""
         if self.hopeless:
@@ -318,7 +339,7 @@ class _Pair:
             grown = (*_grow(self.in_b, ca), *_grow(self.in_a, cb))
             if (found is None or grown[1] - grown[0] + grown[3] - grown[2] > found[1] - found[0] + found[3] - found[2]) and self.similar(grown):
                 found = grown
-        return found
+        return found or next(filter(self.similar, self.padded(ca, cb)), None)
 
 
 VERIFIED = "tid bigint, first bigint, key bigint, c int, a0 int, a1 int, b0 int, b1 int"

@@ -116,3 +116,18 @@ def test_stretches_equal_brute_force(seed):
         assert (found is not None) == bool(around)
         if found:
             assert found in ok and found[1] - found[0] >= max(f[1] - f[0] for f in around) - 12
+
+
+@pytest.mark.parametrize(("n", "at"), [(55, 10), (55, 5), (60, 12), (65, 15), (50, 3), (50, 46), (51, 4)])
+def test_a_changed_word_near_the_end_of_a_short_passage(n, at):
+    a = _prose(n)
+    found = _stretches(_prose(100) + a + _prose(100), _prose(60) + a[:at] + ["edit"] + a[at + 1 :] + _prose(90))
+    assert len(found) >= n - 9 and all(f for *_, f in found)
+
+
+@pytest.mark.parametrize("at", [(3, 52), (52, 3)])
+def test_padding_stays_in_the_texts(at):
+    a = _prose(56)
+    b = [x if k not in at else "edit" for k, x in enumerate(a)]
+    for i, j, f in _stretches(a[: at[1] + 1], b[: at[1] + 1]) if at[0] < at[1] else _stretches(a[at[1] :], b[at[1] :]):
+        assert f and 0 <= f[0] <= i <= f[1] and 0 <= f[2] <= j <= f[3] and min(f[1] - f[0], f[3] - f[2]) + 1 >= pd_.MIN_SHINGLES
