@@ -105,6 +105,22 @@ def compact_windows(h: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarra
     return lo[first], c[first], hi[first]
 
 
+def _twins(following: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a node's shingle occurs again within its range: for each of its places the part of the range in which it is
+    alone, if at least `least` long. These are the windows of passages that repeat in their own text.
+    following: the next place of each place's shingle, or a number beyond all places."""
+    again = np.flatnonzero(following[c] <= hi)
+    at, before, hi = c[again], lo[again] - 1, hi[again]
+    found = []
+    while len(at):
+        after = np.minimum(following[at], hi + 1)
+        fits = after - before - 1 >= least
+        found.append((before[fits] + 1, at[fits], after[fits] - 1))
+        go = following[at] <= hi
+        at, before, hi = following[at[go]], at[go], hi[go]
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
 WINDOW = "v bigint, f int, tid bigint, lo int, c int, hi int"
 
 
@@ -115,11 +131,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.concatenate([y for x in found for y in (x, gap)])
         real = np.ones(len(whole), bool)
         real[begin[1:] - 1] = False
+        order = np.argsort(whole, kind="stable")
+        following = np.full(len(whole), len(whole), np.int64)
+        twin = whole[order[1:]] == whole[order[:-1]]
+        following[order[:-1][twin]] = order[1:][twin]
         for f in range(FUNCTIONS):
             h = (whole ^ _SEEDS[f]) * _ODD
             h = (h ^ (h >> np.uint64(32))) * _SEEDS[f]
             h = np.where(real, h | np.uint64(1), np.uint64(0))
-            lo, c, hi = compact_windows(h)
+            nodes = compact_windows(h)
+            lo, c, hi = (np.concatenate(x) for x in zip(nodes, _twins(following, *nodes), strict=True))
             of = np.searchsorted(begin, c, side="right") - 1
             columns = [h[c].view(np.int64), np.full(len(c), f, np.int32), np.array(tids, np.int64)[of], *((x - begin[of]).astype(np.int32) for x in (lo, c, hi))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "f", "tid", "lo", "c", "hi"])

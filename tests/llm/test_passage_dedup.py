@@ -131,3 +131,14 @@ def test_padding_stays_in_the_texts(at):
     b = [x if k not in at else "edit" for k, x in enumerate(a)]
     for i, j, f in _stretches(a[: at[1] + 1], b[: at[1] + 1]) if at[0] < at[1] else _stretches(a[at[1] :], b[at[1] :]):
         assert f and 0 <= f[0] <= i <= f[1] and 0 <= f[2] <= j <= f[3] and min(f[1] - f[0], f[3] - f[2]) + 1 >= pd_.MIN_SHINGLES
+
+
+@pytest.mark.parametrize(("n", "gap"), [(60, 0), (60, 5), (200, 40), (500, 100)])
+def test_copies_side_by_side_in_one_text(spark, n, gap):
+    p = _prose(n)
+    found = _stretches(_prose(30) + p + _prose(gap) + p + _prose(40), None, own=True)
+    assert len(found) == n - 4 and all(f for *_, f in found)
+    row = (1, " ".join(_prose(30) + p + _prose(gap) + p + _prose(40)), "", 0)
+    spans = pd_.near_duplicate_passages(spark.createDataFrame([row], DOCS)).collect()[0].spans
+    ends = [(30, 30 + 2 * n)] if gap == 0 else [(30, 30 + n), (30 + n + gap, 30 + 2 * n + gap)]
+    assert [(s.start, s.end) for s in spans] == ends
