@@ -13,9 +13,9 @@ about 2 / MIN_SHINGLES of the text's length, and stand for all of its passages.
    n - 1 links, not a row a pair. Links are combined by pair of texts.
 4. Verification: from each shared minimum, both texts are aligned run by run; the longest stretch around it counts that has
    at least 50 words and a Jaccard similarity of 0.8 or more.
-5. Members that weren't verified against the first are linked among themselves the same way, `rounds` times. This is a
-   bound: a key whose first members all fail (a line that is common, but shorter than a passage) is not searched on, for
-   its members agree in no passage as far as seen; passages that agree in other pairs of min-hashes have other keys.
+5. Members that weren't verified against the first are linked among themselves the same way, `rounds` times. Those left
+   after that (of a line that is common, but shorter than a passage) are compared with all members of their keys whose
+   texts share enough for a passage (_rest).
 
 Defined results: A-Z and other letters are lowered, words are separated by white space; null and empty texts, and texts
 under 50 words, have no passages; a passage that repeats in its own text counts; repeated rows repeat each other; each
@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import discard, small_batches, text_or_empty, written
@@ -363,14 +364,14 @@ class _Pair:
         return found or next(filter(self.similar, self.padded(ca, cb)), None)
 
 
-VERIFIED = "tid bigint, first bigint, key bigint, c int, a0 int, a1 int, b0 int, b1 int"
+VERIFIED = "tid bigint, first bigint, key bigint, c int, c0 int, a0 int, a1 int, b0 int, b1 int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every link of a pair of texts its passages, or null."""
     last, b, where = None, None, {}
     for batch in batches:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(9)]
         for row in range(len(batch)):
             tid, first = batch.column("tid")[row].as_py(), batch.column("first")[row].as_py()
             a = shingles(batch.column("text")[row].as_py())
@@ -384,10 +385,76 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = next((k for k in known if k[0] <= ca <= k[1] and k[2] <= cb <= k[3]), None) or pair.stretch(ca, cb)
                 if found is not None and found not in known:
                     known.append(found)
-                for column, value in zip(out, (tid, first, link["key"], ca, *(found or (None,) * 4)), strict=True):
+                for column, value in zip(out, (tid, first, link["key"], ca, cb, *(found or (None,) * 4)), strict=True):
                     column.append(value)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["tid", "first", "key", "c", "a0", "a1", "b0", "b1"])
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["tid", "first", "key", "c", "c0", "a0", "a1", "b0", "b1"])
+
+
+PHRASE = "tid bigint, g bigint"
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text."""
+    for batch in batches:
+        for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text"), strict=True):
+            g = np.unique(shingles(text.as_py())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), tid, np.int64)), pa.array(g)], ["tid", "g"])
+
+
+def _checked(numbered: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of links (tid, first, c, c0, key) VERIFIED, and the spans of it."""
+    pairs = links.groupBy("tid", "first").agg(F.sort_array(F.collect_list(F.struct("c", "c0", "key"))).alias("links"))
+    pairs = written(pairs, "passage-pairs")
+    other = numbered.select(F.col("tid").alias("first"), F.col("text").alias("other"))
+    checked = written(pairs.join(numbered, "tid").join(other, "first").mapInArrow(_verify, VERIFIED), "passage-checked")
+    discard(pairs)
+    good = checked.filter("a0 IS NOT NULL")
+    sides = good.select("tid", "a0", "a1").unionByName(good.select(F.col("first").alias("tid"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))).distinct()
+    return checked, written(sides, "passage-spans")
+
+
+def _rest(numbered: DataFrame, left: DataFrame, members: DataFrame) -> Iterator[DataFrame]:
+    """Spans of the members left (key, tid, c), each compared with all members of its key that it can be similar to.
+
+    Similar passages share LEAST_COMMON shingles, so two texts that have some share one besides the LEAST_COMMON - 1 most
+    frequent of each. What shares a line only has no such shingle. Texts that share one are compared with the first of
+    its texts, then with the next four, sixteen and so on, while they have members left: a family of texts takes one or two
+    rounds, and nothing is left out."""
+    tids = members.select("tid").distinct()
+    phrases = written(numbered.join(tids, "tid").mapInArrow(_phrases, PHRASE), "passage-phrases")
+    common = phrases.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+    turn = Window.partitionBy("tid").orderBy(F.desc("n"), "g")
+    rare = phrases.join(common, "g").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") >= LEAST_COMMON)
+    groups = written(rare.select("g", "tid", F.row_number().over(Window.partitionBy("g").orderBy("tid")).alias("rank")), "passage-phrases")
+    discard(phrases)
+    _release()
+    most = groups.agg(F.max("rank")).first()[0] or 0
+    twice = left.join(members.select("key", "tid").groupBy("key", "tid").agg(F.count("*").alias("n")).filter("n > 1"), ["key", "tid"])
+    pairs = twice.select(F.col("tid").alias("x"), F.col("tid").alias("y")).distinct()
+    done, low, size = None, 1, 1
+    while True:
+        pivots = groups.filter(F.col("rank").between(low, low + size - 1)).select("g", F.col("tid").alias("pivot"))
+        now = groups.join(left.select("tid").distinct(), "tid").join(pivots, "g").filter("tid <> pivot")
+        now = now.select(F.least("tid", "pivot").alias("x"), F.greatest("tid", "pivot").alias("y")).distinct()
+        pairs = written(now if done is not None else now.unionByName(pairs), "passage-texts-alike")
+        new = pairs if done is None else pairs.join(done, ["x", "y"], "left_anti")
+        a, b = members.select("key", F.col("tid").alias("x"), F.col("c").alias("c0")), members.select("key", F.col("tid").alias("y"), F.col("c").alias("c"))
+        still = left.select("key", "tid", "c", F.lit(True).alias("still"))
+        links = new.join(a, "x").join(b, ["key", "y"]).filter("x <> y OR c0 < c")
+        links = links.join(still.toDF("key", "x", "c0", "still_a"), ["key", "x", "c0"], "left").join(still.toDF("key", "y", "c", "still_b"), ["key", "y", "c"], "left")
+        links = links.filter("still_a OR still_b").select(F.col("y").alias("tid"), F.col("x").alias("first"), "c", "c0", "key")
+        checked, sides = _checked(numbered, written(links, "passage-links"))
+        yield sides
+        good = checked.filter("a0 IS NOT NULL")
+        found = good.select("key", "tid", "c").unionByName(good.select("key", F.col("first").alias("tid"), F.col("c0").alias("c"))).distinct()
+        left = written(left.join(found, ["key", "tid", "c"], "left_anti"), "passage-keys")
+        discard(checked)
+        _release()
+        done = pairs if done is None else done.unionByName(pairs)
+        low, size = low + size, size * 4
+        if low > most:
+            return
 
 
 def repeated_passages(numbered: DataFrame, rounds: int = 4) -> DataFrame:
@@ -399,24 +466,23 @@ def repeated_passages(numbered: DataFrame, rounds: int = 4) -> DataFrame:
     members = written(windows.repartition("tid").sortWithinPartitions("tid").mapInArrow(_keys, KEYED), "passage-keys")
     discard(windows)
     _release()
-    spans = None
+    spans = []
     for _ in range(rounds):
         firsts = members.groupBy("key").agg(F.min(F.struct("tid", "c")).alias("m"), F.count("*").alias("n")).filter("n > 1")
         firsts = firsts.select("key", F.col("m.tid").alias("first"), F.col("m.c").alias("c0"))
-        links = members.join(firsts, "key").filter("NOT (tid = first AND c = c0)")
-        pairs = links.groupBy("tid", "first").agg(F.sort_array(F.collect_list(F.struct("c", "c0", "key"))).alias("links"))
-        pairs = written(pairs, "passage-pairs")
-        if pairs.isEmpty():
-            break
-        other = numbered.select(F.col("tid").alias("first"), F.col("text").alias("other"))
-        checked = written(pairs.join(numbered, "tid").join(other, "first").mapInArrow(_verify, VERIFIED), "passage-checked")
-        good = checked.filter("a0 IS NOT NULL")
-        sides = good.select("tid", "a0", "a1").unionByName(good.select(F.col("first").alias("tid"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))).distinct()
-        spans = sides if spans is None else spans.unionByName(sides)
+        checked, sides = _checked(numbered, members.join(firsts, "key").filter("NOT (tid = first AND c = c0)"))
+        spans.append(sides)
+        discard(members)
         members = written(checked.filter("a0 IS NULL").select("key", "tid", "c"), "passage-keys")
+        discard(checked)
         _release()
-    if spans is None:
-        return numbered.sparkSession.createDataFrame([], "tid bigint, a array<int>, b array<int>")
+        if members.isEmpty():
+            break
+    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    left = written(members.join(several, "key"), "passage-keys")
+    if not left.isEmpty():
+        spans += _rest(numbered, left, left)
+    spans = reduce(DataFrame.unionByName, spans)
     return spans.groupBy("tid").agg(F.collect_list("a0").alias("a"), F.collect_list(F.col("a1") + SHINGLE).alias("b"))
 
 

@@ -142,3 +142,16 @@ def test_copies_side_by_side_in_one_text(spark, n, gap):
     spans = pd_.near_duplicate_passages(spark.createDataFrame([row], DOCS)).collect()[0].spans
     ends = [(30, 30 + 2 * n)] if gap == 0 else [(30, 30 + n), (30 + n + gap, 30 + 2 * n + gap)]
     assert [(s.start, s.end) for s in spans] == ends
+
+
+def test_families_that_share_a_line_are_all_found(spark):
+    """The only keys are those of the line, which is no passage by itself."""
+    line = _prose(35)
+    families = [_prose(25) for _ in range(25)]
+    rows = [(2 * k + t, " ".join(_prose(60) + line + f + _prose(60)), "", 0) for k, f in enumerate(families) for t in (0, 1)]
+    texts = spark.createDataFrame([(r[0], r[1]) for r in rows], "tid bigint, text string").cache()
+    members = spark.createDataFrame([(7, r[0], 75) for r in rows], "key bigint, tid bigint, c int")
+    found = set()
+    for sides in pd_._rest(texts, members, members):
+        found |= {r.tid for r in sides.collect()}
+    assert found == {r[0] for r in rows}
