@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -33,3 +34,25 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.execute(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+WIDER = "/root/testdata/sf0.01"
+
+
+def test_nearest_of_all_suppliers(spark):
+    sha = lambda x: hashlib.sha1(str(x).encode()).digest()
+    nodes = [(int.from_bytes(sha(c)), c) for (c,) in duckdb.sql(f"SELECT c_custkey FROM '{WIDER}/customer.parquet'").fetchall()]
+    want = set()
+    for (k,) in duckdb.sql(f"SELECT s_suppkey FROM '{WIDER}/supplier.parquet'").fetchall():
+        x = int.from_bytes(sha(k))
+        want |= {(k, c, rank) for rank, (_, c) in enumerate(sorted((x ^ y, c) for y, c in nodes)[:8], 1)}
+    got = [tuple(r) for r in catalog.QUERIES["xor_nearest_8"](spark, WIDER).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({k for k, *_ in want}) > 20
+
+
+def test_pieces_of_all_parts(spark, tmp_path):
+    names = [f"part {k * k}" for k in range(1, 251)]
+    spark.createDataFrame(list(enumerate(names, 1)), "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {(hashlib.sha1(n.encode() * 2000).hexdigest().upper(), len(n) * 2000) for n in names}
+    got = [tuple(r) for r in catalog.QUERIES["piece_reassembly"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) == 250 and set(got) == want
