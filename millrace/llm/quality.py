@@ -82,9 +82,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, rounds: int = 200, rate: float = 0.2, ridge: float = 0.5, least_docs: int = 5, least_share: float = 0.005) -> OrdinalModel:
-    """Maximum posterior (ridge: the precision of the weights), by Adam over all rows. Slots in fewer than least_docs rows, or
-    less than least_share of them, get weight 0."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *, rounds: int = 200, rate: float = 0.2, ridge: float = 0.5, least_docs: int = 5) -> OrdinalModel:
+    """Maximum posterior (ridge: the precision of the weights), by Adam over all rows. Slots in fewer than least_docs rows
+    get weight 0, however many rows there are; rare ones are left to the ridge."""
     cuts = np.linspace(-1, 1, n_grades - 1)
     weights = np.zeros(1 << bits, np.float32)
     if not rows:
@@ -92,7 +92,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bits: int, *,
     seen = np.zeros(1 << bits, np.int64)
     for x in rows:
         seen[x] += 1
-    kept = np.flatnonzero(seen >= max(least_docs, int(least_share * len(rows))))
+    kept = np.flatnonzero(seen >= least_docs)
     k = len(kept)
     place = np.full(1 << bits, -1, np.int32)
     place[kept] = np.arange(k)

@@ -54,3 +54,15 @@ def test_odd_rows(spark, labels):
     assert len(got) == 4 and all(0 <= r.p_above <= 1 and 0 <= r.expected_grade <= 2 for r in got)
     assert {r.grade for r in got} == {"a", "b", "c", None}
     assert quality.rated(docs.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_rare_words_count_however_many_rows_there_are():
+    r = np.random.default_rng(4)
+    rows = [np.unique(r.integers(1, 200, 20)).astype(np.int32) for _ in range(4000)]
+    grades = np.ones(4000, np.int64)
+    grades[r.random(4000) < 0.2] = 0
+    for k in range(12):  # under 0.5 % of the rows
+        rows[300 * k] = np.append(rows[300 * k], 700).astype(np.int32)
+        grades[300 * k] = 0
+    model = quality.fit(rows, grades, 2, 10)
+    assert model.weights[700] < -0.1
