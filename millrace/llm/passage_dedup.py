@@ -14,8 +14,8 @@ about 2 / MIN_SHINGLES of the text's length, and stand for all of its passages.
 4. Verification: from each shared minimum, both texts are aligned run by run; the longest stretch around it counts that has
    at least 50 words and a Jaccard similarity of 0.8 or more.
 5. Members that weren't verified against the first are linked among themselves the same way, `rounds` times. Those left
-   after that (of a line that is common, but shorter than a passage) are compared with all members of their keys whose
-   texts share enough for a passage (_rest).
+   after that (of a line that is common, but shorter than a passage) are compared with all others left of their keys
+   whose texts share enough for a passage (_rest).
 
 Defined results: A-Z and other letters are lowered, words are separated by white space; null and empty texts, and texts
 under 50 words, have no passages; a passage that repeats in its own text counts; repeated rows repeat each other; each
