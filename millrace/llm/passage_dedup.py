@@ -1,72 +1,80 @@
 """Near-duplicate passages by compact windows.
 
-A text is its sequence of 5-word shingles. For a hash function, the Cartesian tree over the shingles' hashes has a
-node for each shingle c that is the least of a range [lo, hi] around it: every passage within the range that contains c
-has c's hash as its min-hash. Ranges shorter than MIN_SHINGLES (50 words) hold no passage of interest; the others are
-about 2 / MIN_SHINGLES of the text's length, and stand for all of its passages.
-
-1. The windows of FUNCTIONS hash functions are dealt by hash; those whose hash occurs once in the corpus go.
-2. Interval join within each text: two windows of different functions meet if a passage of MIN_SHINGLES fits into both and
-   can contain both minima, and the minima are shingles without a common word. The pair of hashes is a key: passages
-   that share a key agree in two min-hashes, and in more than one phrase.
-3. Each key's members are linked to its first member (the least in order of text and place), so a key of n members gives
-   n - 1 links, not a row a pair. Links are combined by pair of texts.
-4. Verification: from each shared minimum, both texts are aligned run by run; the longest stretch around it counts that has
-   at least 50 words and a Jaccard similarity of 0.8 or more.
-5. Members that weren't verified against the first are linked among themselves the same way, `rounds` times. Those left
-   after that (of a line that is common, but shorter than a passage) are compared with all others left of their keys
-   whose texts share enough for a passage (_rest).
+A passage is a run of 50 words: 46 shingles of 5 words. Two passages are similar if at least 41 of their shingles agree (a
+Jaccard similarity of 41 / 51 >= 0.8, shingles that repeat counted as often as they repeat). A word is repeated if it
+lies in a passage that has a similar one elsewhere, between the first and the last shingle in which they agree; longer
+passages are the union of those.
+
+For a hash function, the Cartesian tree over the shingles' hashes has a node for each shingle c that is the least of a
+range [lo, hi] around it: every passage within the range that contains c has c's hash as its min-hash. Ranges shorter
+than a passage hold none; the others, about 2 / 46 of the text's length, stand for all of its passages.
+
+1. The windows of FUNCTIONS hash functions are dealt by hash. Those whose hash occurs once in the corpus go; those whose
+   surroundings (all passages that contain c) occur twice, word for word, are repeated as they stand, and one of them
+   represents the others from here on.
+2. Interval join within each text: a window stays if a passage fits into it and into a window of another function, with
+   both minima. So similar passages are asked to agree in ENOUGH min-hashes; as all but ENOUGH - 1 functions then have
+   a window for each pair, only those carry their surroundings on.
+3. Verification per hash: the surroundings of its windows are compared, all with all if there are few. If there are many,
+   windows are compared with the first one; then a passage that is still without a similar one needs a partner that
+   shares one of the 6 least frequent of its 46 shingles (else they can't agree in 41), so only windows that share such
+   a shingle are compared, one after the other until every passage that asks for one has a similar one.
+
+Common lines shorter than a passage cost little that way: what is around them is rare. Windows whose surroundings repeat
+often are combined before they are shuffled.
 
 Defined results: A-Z and other letters are lowered, words are separated by white space; null and empty texts, and texts
-under 50 words, have no passages; a passage that repeats in its own text counts; repeated rows repeat each other; each
-row is judged by itself, whatever its id; other columns are ignored.
+under 50 words, have no passages; a passage that repeats in its own text counts if its copies don't overlap; repeated rows
+repeat each other; each row is judged by itself, whatever its id; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, small_batches, text_or_empty, written
-from millrace.llm.suffix_dedup import _release, merged
+from millrace.llm.common import batch_rows, discard, text_or_empty, written
+from millrace.llm.suffix_dedup import merged
 
-SHINGLE, MIN_WORDS, FUNCTIONS, SIMILARITY = 5, 50, 4, 0.8
+SHINGLE, MIN_WORDS, FUNCTIONS, ENOUGH = 5, 50, 4, 2
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
-LEAST_COMMON = 41  # distinct shingles that passages of MIN_SHINGLES share at SIMILARITY
+AGREE = 41  # of the shingles of two passages: the least with a Jaccard similarity of 0.8
+RARE = MIN_SHINGLES - AGREE + 1
+AROUND = MIN_SHINGLES - 1  # shingles on either side of a minimum that passages with it reach
+WIDTH = 2 * AROUND + 1
+SMALL = 64  # windows of a hash that are compared all with all
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(bytes([k]), 3) | 1 for k in range(FUNCTIONS)], np.uint64)
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 100_000
 
 
-class _Words(dict):
+class Words(dict):
+    """Word to hash; a task's own."""
+
     def __missing__(self, word: str) -> int:
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
         return h
 
 
-_WORDS = _Words()
-
-
-def shingles(text: str) -> np.ndarray:
-    """64-bit hashes of the 5-word shingles."""
-    if len(_WORDS) > _KEPT_WORDS:
-        _WORDS.clear()
+def shingles(text: str, known: Words | None = None) -> np.ndarray:
+    """64-bit hashes of the 5-word shingles (never 0)."""
+    known = Words() if known is None else known
+    if len(known) > _KEPT_WORDS:
+        known.clear()
     words = text.lower().split()
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     h = w[:n].copy()
     for k in range(1, SHINGLE):
         h = (h ^ (h >> np.uint64(31))) * _ODD + w[k : k + n]
-    return h
+    return h | np.uint64(1)
 
 
 def compact_windows(h: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,34 +130,63 @@ def _twins(following: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray,
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
 
 
-WINDOW = "v bigint, f int, tid bigint, lo int, c int, hi int"
+def _surroundings(h: np.ndarray) -> np.ndarray:
+    """A hash of the WIDTH places around each place of h (which begins and ends with AROUND zeros)."""
+    n, sums, size = len(h) - WIDTH + 1, [h], 1
+    while size * 2 <= WIDTH:
+        last = sums[-1]
+        sums.append((last[:-size] ^ (last[:-size] >> np.uint64(29))) * _ODD + last[size:])
+        size *= 2
+    out, at = np.zeros(n, np.uint64), 0
+    for k in range(len(sums) - 1, -1, -1):
+        if WIDTH >> k & 1:
+            out = (out ^ (out >> np.uint64(31))) * _SEEDS[0] + sums[k][at : at + n]
+            at += 1 << k
+    return np.concatenate([np.zeros(AROUND, np.uint64), out, np.zeros(AROUND, np.uint64)])
+
+
+WINDOW = "v bigint, ctx bigint, f tinyint, tid bigint, c int, lo tinyint, hi tinyint, twice boolean"
+_WINDOW = ["v", "ctx", "f", "tid", "c", "lo", "hi", "twice"]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WINDOW rows; lo and hi are the ends of the range within AROUND of c, relative to c. twice: known to be repeated."""
+    words, gap = Words(), np.zeros(AROUND, np.uint64)
+
     def made(tids: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        gap = np.zeros(1, np.uint64)
-        begin = np.cumsum([0, *(len(x) + 1 for x in found)])
-        whole = np.concatenate([y for x in found for y in (x, gap)])
-        real = np.ones(len(whole), bool)
-        real[begin[1:] - 1] = False
+        begin = np.cumsum([AROUND, *(len(x) + AROUND for x in found)])
+        whole = np.concatenate([gap, *(y for x in found for y in (x, gap))])
         order = np.argsort(whole, kind="stable")
         following = np.full(len(whole), len(whole), np.int64)
         twin = whole[order[1:]] == whole[order[:-1]]
         following[order[:-1][twin]] = order[1:][twin]
+        around = _surroundings(whole)
         for f in range(FUNCTIONS):
             h = (whole ^ _SEEDS[f]) * _ODD
             h = (h ^ (h >> np.uint64(32))) * _SEEDS[f]
-            h = np.where(real, h | np.uint64(1), np.uint64(0))
+            h = np.where(whole > 0, h | np.uint64(1), np.uint64(0))
             nodes = compact_windows(h)
             lo, c, hi = (np.concatenate(x) for x in zip(nodes, _twins(following, *nodes), strict=True))
+            c, first = np.unique(c, return_index=True)
+            lo, hi = lo[first], hi[first]
             of = np.searchsorted(begin, c, side="right") - 1
-            columns = [h[c].view(np.int64), np.full(len(c), f, np.int32), np.array(tids, np.int64)[of], *((x - begin[of]).astype(np.int32) for x in (lo, c, hi))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["v", "f", "tid", "lo", "c", "hi"])
+            # of those alike in hash and surroundings only two go on; the others are known to be repeated
+            v, ctx = h[c], around[c]
+            turn = np.lexsort((ctx, v))
+            v, ctx, lo, c, hi, of = v[turn], ctx[turn], lo[turn], c[turn], hi[turn], of[turn]
+            alike = np.concatenate([[False], (v[1:] == v[:-1]) & (ctx[1:] == ctx[:-1])])
+            twice = alike & np.concatenate([[False], alike[:-1]])
+            v = np.where(twice, np.array(tids, np.uint64)[of] * _ODD, v)
+            columns = [
+                v.view(np.int64), ctx.view(np.int64), np.full(len(c), f, np.int8), np.array(tids, np.int64)[of], (c - begin[of]).astype(np.int32),
+                np.maximum(lo - c, -AROUND).astype(np.int8), np.minimum(hi - c, AROUND).astype(np.int8), twice,
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _WINDOW)
 
     for batch in batches:
         tids, found, held = [], [], 0
         for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text"), strict=True):
-            h = shingles(text.as_py())
+            h = shingles(text.as_py(), words)
             if len(h) >= MIN_SHINGLES:
                 tids.append(tid)
                 found.append(h)
@@ -161,329 +198,285 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from made(tids, found)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by v; those whose v occurs once go. One row is held back between batches."""
-    held: pa.RecordBatch | None = None
-    before = None  # v of the row before the one held back
-    for batch in batches:
-        if not len(batch):
-            continue
-        both = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-        v = both.column("v").to_numpy()
-        same = np.zeros(len(v), bool)
-        same[1:] |= v[1:] == v[:-1]
-        same[:-1] |= v[1:] == v[:-1]
-        same[0] |= before is not None and v[0] == before
-        yield from both.slice(0, len(v) - 1).filter(pa.array(same[:-1])).to_batches()
-        before = v[-2] if len(v) > 1 else before
-        held = both.slice(len(v) - 1).to_batches()[0]
-    if held is not None and before is not None and held.column("v")[0].as_py() == before:
-        yield held
-
-
-KEYED = "key bigint, tid bigint, c int"
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tid."""
-
-    def made(tid: int, rows: np.ndarray) -> pa.RecordBatch | None:
-        f, v, lo, c, hi = rows
-        by = [np.flatnonzero(f == k) for k in range(FUNCTIONS)]
-        keys, places = [], []
-        for i in range(FUNCTIONS):
-            for j in range(i + 1, FUNCTIONS):
-                for k in range(0, len(by[i]), 512):
-                    a, b = by[i][k : k + 512, None], by[j][None, :]
-                    left, right = np.maximum(lo[a], lo[b]), np.minimum(hi[a], hi[b])
-                    x, y = np.nonzero((right - left + 1 >= MIN_SHINGLES) & (left <= np.minimum(c[a], c[b])) & (right >= np.maximum(c[a], c[b])) & (np.abs(c[a] - c[b]) >= SHINGLE))
-                    x, y = by[i][k + x], by[j][y]
-                    keys.append((v[x] * np.int64(2 * i + 3)) ^ ((v[y] >> np.int64(7)) * np.int64(2 * j + 1)))
-                    places.append(c[x])
-        if not sum(map(len, keys)):
-            return None
-        keys = np.concatenate(keys)
-        rows = np.unique(np.stack([keys, np.concatenate(places)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(np.full(len(rows), tid, np.int64)), pa.array(rows[:, 1].astype(np.int32))], ["key", "tid", "c"])
-
-    held, owner = [], None
+MEMBER = "v bigint, f tinyint, tid bigint, c int, lo tinyint, hi tinyint, exact boolean, n int"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by v and ctx, and a v may run on into the next batch. exact: the surroundings repeat; n: how many
+    the row represents in the comparison of its v (0: it takes no part)."""
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        v, ctx = (rows.column(k).to_numpy() for k in ("v", "ctx"))
+        done = rows.column("twice").to_numpy(zero_copy_only=False)
+        fresh = np.concatenate([[True], (v[1:] != v[:-1]) | (ctx[1:] != ctx[:-1]) | done[1:] | done[:-1]])
+        kind = np.cumsum(fresh) - 1
+        alike = np.bincount(kind)
+        group = np.cumsum(np.concatenate([[True], (v[1:] != v[:-1]) | done[1:] | done[:-1]])) - 1
+        kinds = np.bincount(group, weights=fresh)
+        odd = np.bincount(group, weights=fresh & (alike[kind] == 1))
+        compare = fresh & (kinds[group] > 1) & (odd[group] > 0)
+        exact = done | (alike[kind] > 1)
+        kept = exact | compare
+        n = np.where(compare, alike[kind], 0).astype(np.int32)
+        out = rows.select(["v", "f", "tid", "c", "lo", "hi"]).append_column("exact", pa.array(exact)).append_column("n", pa.array(n))
+        return out.filter(pa.array(kept)).combine_chunks()
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
-        tid = batch.column("tid").to_numpy()
-        rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("f", "v", "lo", "c", "hi")])
-        cuts = [0, *(np.flatnonzero(np.diff(tid)) + 1), len(tid)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if owner is not None and tid[a] != owner:
-                if (out := made(owner, np.concatenate(held, axis=1))) is not None:
-                    yield out
-                held = []
-            owner = int(tid[a])
-            held.append(rows[:, a:b])
-    if held and (out := made(owner, np.concatenate(held, axis=1))) is not None:
-        yield out
-
-
-def _grow(match: np.ndarray, at: int) -> tuple[int, int]:
-    """First and last place of the best stretch around `at`: a match counts 1, any other -4."""
-    score = np.where(match, 1, -4)
-    right, left = np.cumsum(score[at:]), np.cumsum(score[: at + 1][::-1])
-    return at - int(len(left) - 1 - np.argmax(left[::-1])), at + int(len(right) - 1 - np.argmax(right[::-1]))
-
-
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = np.unique(a), np.unique(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
-def places_of(b: np.ndarray) -> dict[int, list[int]]:
-    """The places of each shingle, ascending."""
-    found: dict[int, list[int]] = {}
-    for k, x in enumerate(b.tolist()):
-        found.setdefault(x, []).append(k)
+        v = batch.column("v").to_numpy()
+        last = int(np.searchsorted(v, v[-1]))
+        if last or held and held[-1].column("v")[0].as_py() != v[-1]:
+            yield from judged(pa.Table.from_batches([*held, batch.slice(0, last)])).to_batches()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from judged(pa.Table.from_batches(held)).to_batches()
+
+
+def agreeing(c: np.ndarray, f: np.ndarray, lo: np.ndarray, hi: np.ndarray, enough: int = ENOUGH) -> np.ndarray:
+    """Which windows of one text (c ascending) have a passage that contains the minima of `enough` functions' windows, their
+    own among them, within all of their ranges. A sweep: minima of one passage are at most AROUND apart."""
+    n = len(c)
+    found = np.full(n, enough < 2)
+    left, right = c + lo, c + hi
+    d = 1
+    while d < n and not found.all():
+        near = np.flatnonzero(c[d:] - c[:-d] <= AROUND)
+        if not len(near):
+            break
+        a, b = near, near + d
+        x, y = np.maximum(left[a], left[b]), np.minimum(right[a], right[b])
+        ok = (f[a] != f[b]) & (y - x + 1 >= MIN_SHINGLES) & (x <= c[a]) & (y >= c[b])
+        found[a[ok]] = found[b[ok]] = True
+        d += 1
     return found
 
 
-class _Pair:
-    """Similar passages of two texts' shingles a and b, or (own) of one text with itself. where: the places of b's shingles."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, where: dict[int, list[int]], own: bool = False):
-        self.a, self.b, self.where, self.own = a, b, where, own
-        self.in_b, self.in_a = np.isin(a, b), np.isin(b, a)
-        if own:  # a passage is no repeat of itself: only what occurs twice can match
-            _, back, count = np.unique(a, return_inverse=True, return_counts=True)
-            self.in_b = self.in_a = count[back] > 1
-        self.hopeless = len(np.unique(a[self.in_b])) < LEAST_COMMON
-        self.judged: dict[tuple[int, int, int, int], bool] = {}
-        self.chains: dict[tuple[int, int], tuple[list[tuple[int, int, int]], int]] = {}
-
-    def similar(self, found: tuple[int, int, int, int]) -> bool:
-        if found not in self.judged:
-            a0, a1, b0, b1 = found
-            self.judged[found] = min(a1 - a0, b1 - b0) + 1 >= MIN_SHINGLES and not (self.own and (a0, a1) == (b0, b1)) and _jaccard(self.a[a0 : a1 + 1], self.b[b0 : b1 + 1]) >= SIMILARITY
-        return self.judged[found]
-
-    def _next(self, at: Iterator[int], i: int, j: int, way: int) -> tuple[int, int] | None:
-        """The match nearest to a[i], b[j] beyond both; at: the places of a from there that b has."""
-        best, far = None, None
-        for x in at:
-            if far is not None and abs(x - i) >= far:
-                break
-            places = self.where[int(self.a[x])]
-            k = bisect.bisect_right(places, j) if way > 0 else bisect.bisect_left(places, j) - 1
-            while 0 <= k < len(places) and self.own and (x > places[k]) != (i > j):
-                k += way
-            if 0 <= k < len(places) and (far is None or abs(x - i) + abs(places[k] - j) < far):
-                best, far = (x, places[k]), abs(x - i) + abs(places[k] - j)
-        return best
-
-    def chain(self, i: int, j: int) -> tuple[list[tuple[int, int, int]], int]:
-        """Runs (first places, length) in which a and b agree, in order of both, from the one with a[i] = b[j] to both ends
-        of the texts; and its number."""
-        a, b = self.a, self.b
-        same = np.flatnonzero(a[i : i + len(b) - j] != b[j : j + len(a) - i])
-        n = int(same[0]) if len(same) else min(len(a) - i, len(b) - j)
-        same = np.flatnonzero(a[i - min(i, j) : i] != b[j - min(i, j) : j])
-        back = min(i, j) - 1 - int(same[-1]) if len(same) else min(i, j)
-        start = (i - back, j - back)
-        if start in self.chains:
-            return self.chains[start]
-        found = [(*start, n + back)]
-        matches = np.flatnonzero(self.in_b)
-        for way in (1, -1):
-            while True:
-                x, y, n = found[-1 if way > 0 else 0]
-                x, y = (x + n - 1, y + n - 1) if way > 0 else (x, y)
-                k = np.searchsorted(matches, x, side="right" if way > 0 else "left")
-                to = self._next(map(int, matches[k:] if way > 0 else matches[:k][::-1]), x, y, way)
-                if to is None:
-                    break
-                x, y = to
-                if way > 0:
-                    differ = np.flatnonzero(a[x : x + len(b) - y] != b[y : y + len(a) - x])
-                    n = int(differ[0]) if len(differ) else min(len(a) - x, len(b) - y)
-                    found.append((x, y, n))
-                else:
-                    low = min(x, y)
-                    differ = np.flatnonzero(a[x - low : x] != b[y - low : y])
-                    n = low - 1 - int(differ[-1]) if len(differ) else low
-                    found.insert(0, (x - n, y - n, n + 1))
-        for k, (x, y, _) in enumerate(found):
-            self.chains.setdefault((x, y), (found, k))
-        return self.chains[start]
-
-    def aligned(self, ca: int, cb: int) -> Iterator[tuple[int, int, int, int]]:
-        """Stretches around a[ca] = b[cb] from run to run that can be similar, longest first. With m places that agree, Jaccard
-        0.8 is 9 m >= 4 (length + length): sums over runs, so the farthest end for each start is found by a search."""
-        runs, r = self.chain(ca, cb)
-        x, y, n = np.array(runs, np.int64).T
-        total = np.cumsum(n)
-        end = 9 * total - 4 * (x + n + y + n)
-        start = 9 * (total - n) - 4 * (x + y)
-        far = np.maximum.accumulate(end[r:][::-1])  # ascending
-        k = np.searchsorted(far, start[: r + 1], side="left")
-        left = np.flatnonzero(k < len(far))
-        right = len(runs) - 1 - k[left]
-        size = (x + y + 2 * n)[right] - (x + y)[left]
-        for t in np.argsort(-size, kind="stable"):
-            p, q = left[t], right[t]
-            yield int(x[p]), int(x[q] + n[q] - 1), int(y[p]), int(y[q] + n[q] - 1)
-        yield int(x[r]), int(x[r] + n[r] - 1), int(y[r]), int(y[r] + n[r] - 1)
-
-    def padded(self, ca: int, cb: int) -> Iterator[tuple[int, int, int, int]]:
-        """The same where the runs are shorter than MIN_SHINGLES, so that a passage also takes words beyond its first or last run."""
-        runs, r = self.chain(ca, cb)
-        x, y, n = np.array(runs, np.int64).T
-        p = np.flatnonzero((ca - x < MIN_SHINGLES) & (cb - y < MIN_SHINGLES) & (np.arange(len(x)) <= r))[:, None]
-        q = np.flatnonzero((x + n - ca <= MIN_SHINGLES) & (y + n - cb <= MIN_SHINGLES) & (np.arange(len(x)) >= r))[None, :]
-        total = np.cumsum(n)
-        both = total[q] - total[p] + n[p]
-        length, other = (x + n)[q] - x[p], (y + n)[q] - y[p]
-        size = np.maximum(length, MIN_SHINGLES) + np.maximum(other, MIN_SHINGLES)
-        at = np.argwhere((np.minimum(length, other) < MIN_SHINGLES) & (9 * both >= 4 * size))
-        for k, m in at[np.argsort(-size[tuple(at.T)], kind="stable")]:
-            for left in (True, False):
-                found = []
-                for here, text in ((x, self.a), (y, self.b)):
-                    begin, end = int(here[p[k, 0]]), int((here + n)[q[0, m]])
-                    lack = max(0, MIN_SHINGLES - (end - begin))
-                    before = min(lack, begin) if left else lack - min(lack, len(text) - end)
-                    found += [begin - before, end + lack - before - 1]
-                yield tuple(found)
-
-    def stretch(self, ca: int, cb: int) -> tuple[int, int, int, int] | None:
-        """Shingles (first and last, of a and of b) of the longest similar passages around a[ca] = b[cb]; None if there are none."""
-        if self.hopeless:
-            return None
-        found = next(filter(self.similar, self.aligned(ca, cb)), None)
-        if not self.own:  # passages in another order of their parts
-            grown = (*_grow(self.in_b, ca), *_grow(self.in_a, cb))
-            if (found is None or grown[1] - grown[0] + grown[3] - grown[2] > found[1] - found[0] + found[3] - found[2]) and self.similar(grown):
-                found = grown
-        return found or next(filter(self.similar, self.padded(ca, cb)), None)
-
-
-VERIFIED = "tid bigint, first bigint, key bigint, c int, c0 int, a0 int, a1 int, b0 int, b1 int"
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every link of a pair of texts its passages, or null."""
-    last, b, where = None, None, {}
+CONTEXT = "v bigint, tid bigint, c int, n int, body binary, a int, b int"
+_CONTEXT = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with its windows: the surroundings of those to compare (three bytes a shingle; zero beyond the text's
+    ends), and in rows without a body the spans of shingles that repeat as they stand."""
+    words = Words()
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
         for row in range(len(batch)):
-            tid, first = batch.column("tid")[row].as_py(), batch.column("first")[row].as_py()
-            a = shingles(batch.column("text")[row].as_py())
-            if first != last:
-                last, b = first, shingles(batch.column("other")[row].as_py())
-                where = places_of(b)
-            pair = _Pair(a, b, where, tid == first)
-            known: list[tuple[int, int, int, int]] = []
-            for link in batch.column("links")[row].as_py():
-                ca, cb = link["c"], link["c0"]
-                found = next((k for k in known if k[0] <= ca <= k[1] and k[2] <= cb <= k[3]), None) or pair.stretch(ca, cb)
-                if found is not None and found not in known:
-                    known.append(found)
-                for column, value in zip(out, (tid, first, link["key"], ca, cb, *(found or (None,) * 4)), strict=True):
-                    column.append(value)
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["tid", "first", "key", "c", "c0", "a0", "a1", "b0", "b1"])
-
-
-PHRASE = "tid bigint, g bigint"
-
-
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of each text."""
-    for batch in batches:
-        for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text"), strict=True):
-            g = np.unique(shingles(text.as_py())).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), tid, np.int64)), pa.array(g)], ["tid", "g"])
-
-
-def _checked(numbered: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of links (tid, first, c, c0, key) VERIFIED, and the spans of it."""
-    pairs = links.groupBy("tid", "first").agg(F.sort_array(F.collect_list(F.struct("c", "c0", "key"))).alias("links"))
-    pairs = written(pairs, "passage-pairs")
-    other = numbered.select(F.col("tid").alias("first"), F.col("text").alias("other"))
-    checked = written(pairs.join(numbered, "tid").join(other, "first").mapInArrow(_verify, VERIFIED), "passage-checked")
-    discard(pairs)
-    good = checked.filter("a0 IS NOT NULL")
-    sides = good.select("tid", "a0", "a1").unionByName(good.select(F.col("first").alias("tid"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))).distinct()
-    return checked, written(sides, "passage-spans")
-
-
-def _rest(numbered: DataFrame, left: DataFrame, members: DataFrame) -> Iterator[DataFrame]:
-    """Spans of the members left (key, tid, c), each compared with all members of its key that it can be similar to.
-
-    Similar passages share LEAST_COMMON shingles, so two texts that have some share one besides the LEAST_COMMON - 1 most
-    frequent of each. What shares a line only has no such shingle. Texts that share one are compared with the first of
-    its texts, then with the next four, sixteen and so on, while they have members left: a family of texts takes one or two
-    rounds, and nothing is left out."""
-    tids = members.select("tid").distinct()
-    phrases = written(numbered.join(tids, "tid").mapInArrow(_phrases, PHRASE), "passage-phrases")
-    common = phrases.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
-    turn = Window.partitionBy("tid").orderBy(F.desc("n"), "g")
-    rare = phrases.join(common, "g").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") >= LEAST_COMMON)
-    groups = written(rare.select("g", "tid", F.row_number().over(Window.partitionBy("g").orderBy("tid")).alias("rank")), "passage-phrases")
-    discard(phrases)
-    _release()
-    most = groups.agg(F.max("rank")).first()[0] or 0
-    twice = left.join(members.select("key", "tid").groupBy("key", "tid").agg(F.count("*").alias("n")).filter("n > 1"), ["key", "tid"])
-    pairs = twice.select(F.col("tid").alias("x"), F.col("tid").alias("y")).distinct()
-    done, low, size = None, 1, 1
-    while True:
-        pivots = groups.filter(F.col("rank").between(low, low + size - 1)).select("g", F.col("tid").alias("pivot"))
-        now = groups.join(left.select("tid").distinct(), "tid").join(pivots, "g").filter("tid <> pivot")
-        now = now.select(F.least("tid", "pivot").alias("x"), F.greatest("tid", "pivot").alias("y")).distinct()
-        pairs = written(now if done is not None else now.unionByName(pairs), "passage-texts-alike")
-        new = pairs if done is None else pairs.join(done, ["x", "y"], "left_anti")
-        a, b = members.select("key", F.col("tid").alias("x"), F.col("c").alias("c0")), members.select("key", F.col("tid").alias("y"), F.col("c").alias("c"))
-        still = left.select("key", "tid", "c", F.lit(True).alias("still"))
-        links = new.join(a, "x").join(b, ["key", "y"]).filter("x <> y OR c0 < c")
-        links = links.join(still.toDF("key", "x", "c0", "still_a"), ["key", "x", "c0"], "left").join(still.toDF("key", "y", "c", "still_b"), ["key", "y", "c"], "left")
-        links = links.filter("still_a OR still_b").select(F.col("y").alias("tid"), F.col("x").alias("first"), "c", "c0", "key")
-        checked, sides = _checked(numbered, written(links, "passage-links"))
-        yield sides
-        good = checked.filter("a0 IS NOT NULL")
-        found = good.select("key", "tid", "c").unionByName(good.select("key", F.col("first").alias("tid"), F.col("c0").alias("c"))).distinct()
-        left = written(left.join(found, ["key", "tid", "c"], "left_anti"), "passage-keys")
-        discard(checked)
-        _release()
-        done = pairs if done is None else done.unionByName(pairs)
-        low, size = low + size, size * 4
-        if low > most:
+            tid, text, kept = batch.column("tid")[row].as_py(), batch.column("text")[row].as_py(), batch.column("windows").slice(row, 1).flatten()
+            f, c, lo, hi, exact, n = (kept.field(k).to_numpy(zero_copy_only=False) for k in ("f", "c", "lo", "hi", "exact", "n"))
+            v = kept.field("v").to_numpy()
+            turn = np.argsort(c, kind="stable")
+            v, f, c, lo, hi, exact, n = (x[turn] for x in (v, f, c, lo, hi, exact, n))
+            h = shingles(text, words)
+            a, b = merged(np.maximum(0, c[exact] - AROUND), np.minimum(len(h), c[exact] + AROUND + 1))
+            go = (n > 0) & (f < FUNCTIONS - ENOUGH + 1) & agreeing(c, f, lo, hi)
+            padded = np.zeros(len(h) + 2 * AROUND, np.uint32)
+            padded[AROUND : AROUND + len(h)] = h >> np.uint64(40) | np.uint64(1)
+            raw = padded.view(np.uint8).reshape(-1, 4)[:, :3]
+            bodies = [raw[x : x + WIDTH].tobytes() for x in c[go].tolist()]
+            k, m = len(bodies), len(a)
+            keys = np.concatenate([v[go], np.full(m, (tid * 0x9E3779B9) & 0x7FFFFFFFFFFF)])
+            columns = [keys, np.full(k + m, tid, np.int64), np.concatenate([c[go], np.zeros(m)]).astype(np.int32), np.concatenate([n[go], np.zeros(m)]).astype(np.int32), [*bodies, *[None] * m], [*[None] * k, *a.tolist()], [*[None] * k, *b.tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT, strict=True)], ["v", "tid", "c", "n", "body", "a", "b"])
+
+
+_PLACES = np.uint64(1) << np.arange(MIN_SHINGLES, dtype=np.uint64)
+
+
+def _within(hit: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """Places in passages that hit (by first place), from where a run of them first agrees to where it last does."""
+    n = np.cumsum(np.pad(hit, ((0, 0), (1, WIDTH - hit.shape[1]))), axis=1, dtype=np.int16)
+    inside = n[:, 1:] - np.pad(n, ((0, 0), (MIN_SHINGLES, 0)))[:, 1 : WIDTH + 1] > 0
+    places, out = np.arange(WIDTH, dtype=np.int16), inside
+    for way in (slice(None), slice(None, None, -1)):
+        i, m = inside[:, way], agree[:, way] & inside[:, way]
+        begins = np.maximum.accumulate(np.where(i & ~np.pad(i, ((0, 0), (1, 0)))[:, :-1], places, -1), axis=1)
+        out = out & (np.maximum.accumulate(np.where(m, places, -1), axis=1) >= begins)[:, way]
+    return out
+
+
+def similar_passages(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For rows of surroundings a and b (WIDTH shingles with the same one in the middle): the rows with similar passages;
+    which of the passages of a and of b, by their first place, are similar to one of the other (booleans, rows x
+    MIN_SHINGLES); and the places of a and of b in those, from where they first agree to where they last do.
+
+    With 41 of 46 shingles in common, what is inserted or left out is one word: places differ by one at most."""
+    m = MIN_SHINGLES
+    same = (a == b) & (a > 0)
+    up, down = np.zeros_like(same), np.zeros_like(same)
+    up[:, :-1] = (a[:, :-1] == b[:, 1:]) & (a[:, :-1] > 0) & ~same[:, :-1] & ~same[:, 1:]
+    down[:, 1:] = (a[:, 1:] == b[:, :-1]) & (a[:, 1:] > 0) & ~same[:, 1:] & ~same[:, :-1]
+    able = np.flatnonzero(np.count_nonzero(same, 1) + np.count_nonzero(up, 1) + np.count_nonzero(down, 1) >= AGREE)
+    same, up, down = same[able], up[able], down[able]
+    s, u, d = (np.concatenate([np.zeros((len(able), 1), np.int16), np.cumsum(x, 1, dtype=np.int16)], 1) for x in (same, up, down))
+    whole_a, whole_b = ((x[able, :m] > 0) & (x[able, m - 1 :] > 0) for x in (a, b))
+
+    def between(x: np.ndarray, first: int, last: int, count: int) -> np.ndarray:
+        """Of each passage, from its place `first` to its place `last`."""
+        return x[:, last + 1 : last + 1 + count] - x[:, first : first + count]
+
+    got_a, got_b = np.zeros((len(able), m), bool), np.zeros((len(able), m), bool)
+    level = (between(s, 0, m - 1, m) + between(u, 0, m - 2, m) + between(d, 1, m - 1, m) >= AGREE) & whole_a & whole_b
+    got_a |= level
+    got_b |= level
+    later = (between(s, 1, m - 1, m - 1) + between(u, 0, m - 1, m - 1) + between(d, 2, m - 1, m - 1) >= AGREE) & whole_a[:, :-1] & whole_b[:, 1:]
+    got_a[:, :-1] |= later
+    got_b[:, 1:] |= later
+    s, u, d = s[:, 1:], u[:, 1:], d[:, 1:]  # passages of a from place 1 with those of b from place 0
+    sooner = (between(s, 0, m - 2, m - 1) + between(u, 0, m - 3, m - 1) + between(d, 0, m - 1, m - 1) >= AGREE) & whole_a[:, 1:] & whole_b[:, :-1]
+    got_a[:, 1:] |= sooner
+    got_b[:, :-1] |= sooner
+    some = np.flatnonzero(got_a.any(1))
+    got_a, got_b, same, up, down = (x[some] for x in (got_a, got_b, same, up, down))
+    in_b = same.copy()
+    in_b[:, 1:] |= up[:, :-1]
+    in_b[:, :-1] |= down[:, 1:]
+    return able[some], got_a, got_b, _within(got_a, same | up | down), _within(got_b, in_b)
+
+
+class Comparison:
+    """The windows of one or more hashes: surroundings x, texts and places; covered has a bit for each of the passages of a
+    window (by first place) that has a similar one, shown for each of the places that are repeated."""
+
+    def __init__(self, x: np.ndarray, tid: np.ndarray, c: np.ndarray):
+        self.x, self.tid, self.c = x, tid, c
+        self.covered = np.zeros(len(x), np.uint64)
+        self.shown = np.zeros((len(x), 2), np.uint64)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Compares windows a with windows b. Copies within a text must not overlap."""
+        for k in range(0, len(a), 8192):
+            i, j = a[k : k + 8192], b[k : k + 8192]
+            apart = (self.tid[i] != self.tid[j]) | (np.abs(self.c[i] - self.c[j]) >= MIN_SHINGLES)
+            i, j = i[apart], j[apart]
+            able, hit_i, hit_j, seen_i, seen_j = similar_passages(self.x[i], self.x[j])
+            for at, hit, seen in ((i[able], hit_i, seen_i), (j[able], hit_j, seen_j)):
+                np.bitwise_or.at(self.covered, at, hit @ _PLACES)
+                np.bitwise_or.at(self.shown[:, 0], at, seen[:, :MIN_SHINGLES] @ _PLACES)
+                np.bitwise_or.at(self.shown[:, 1], at, seen[:, MIN_SHINGLES:] @ _PLACES[: WIDTH - MIN_SHINGLES])
+
+    def small(self, first: np.ndarray, size: np.ndarray) -> None:
+        """All with all, of groups of neighbouring rows."""
+        for n in np.unique(size):
+            at = first[size == n]
+            x, y = np.triu_indices(int(n), 1)
+            step = max(1, 200_000 // len(x))
+            for k in range(0, len(at), step):
+                some = at[k : k + step, None]
+                self.pairs((some + x).ravel(), (some + y).ravel())
+
+    def _asking(self, rows: np.ndarray) -> np.ndarray:
+        """Bits of the passages without a similar one."""
+        x = self.x[rows]
+        return (((x[:, :MIN_SHINGLES] > 0) & (x[:, MIN_SHINGLES - 1 :] > 0)) @ _PLACES) & ~self.covered[rows]
+
+    def crowd(self, rows: np.ndarray) -> None:
+        """Rows of one hash, however many; what most others resemble should come first."""
+        self.pairs(rows[1:], np.full(len(rows) - 1, rows[0]))
+        shingle, back = np.unique(self.x[rows], return_inverse=True)
+        back = back.reshape(len(rows), WIDTH)
+        count = np.bincount(back.ravel(), minlength=len(shingle))
+        turn = np.argsort(count, kind="stable")
+        rank = np.empty(len(turn), np.int32)
+        rank[turn] = np.arange(len(turn))
+        shared = int(np.searchsorted(count[turn], 2))  # ranks from here on occur twice
+        entries = []  # rank, row, first place of a passage of the row that has it among its RARE least
+        for k in range(0, len(rows), 1024):
+            ranks = rank[back[k : k + 1024]]
+            passages = np.lib.stride_tricks.sliding_window_view(ranks, MIN_SHINGLES, axis=1)
+            least = np.partition(passages, RARE - 1, axis=2)[:, :, :RARE]
+            whole = (self.x[rows[k : k + 1024], :MIN_SHINGLES] > 0) & (self.x[rows[k : k + 1024], MIN_SHINGLES - 1 :] > 0)
+            row, place, at = np.nonzero((least >= shared) & whole[:, :, None])
+            entries.append(np.stack([least[row, place, at].astype(np.int64), row + k, place]))
+        key, row, place = np.concatenate(entries, axis=1)
+        turn = np.lexsort((row, key))
+        key, row, place = key[turn], row[turn], place[turn]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        if not len(starts):
             return
+        bits = np.bitwise_or.reduceat(_PLACES[place], starts)
+        key, row = key[starts], rows[row[starts]]
+        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                self._in_turn(row[a:b], bits[a:b])
+
+    def _in_turn(self, rows: np.ndarray, bits: np.ndarray) -> None:
+        """Compares the rows of which a passage in bits asks for a similar one with all of rows, one after the other."""
+        for k in range(len(rows)):
+            asking = rows[(bits & self._asking(rows)) > 0] if k % 16 == 0 or len(asking) > SMALL else asking
+            if not len(asking):
+                return
+            if len(asking) <= SMALL:
+                a, b = np.repeat(asking, len(rows) - k), np.tile(rows[k:], len(asking))
+                self.pairs(a[a != b], b[a != b])
+                return
+            others = asking[asking != rows[k]]
+            self.pairs(others, np.full(len(others), rows[k]))
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """tid, first shingle and the one after the last of what is repeated."""
+        some = np.flatnonzero(self.covered)
+        bits = np.concatenate([(self.shown[some, k, None] & _PLACES) > 0 for k in range(2)], axis=1)[:, :WIDTH]
+        edge = np.diff(np.pad(bits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        end = np.nonzero(edge == -1)[1]
+        begin = self.c[some[row]] - AROUND
+        return self.tid[some[row]], begin + first, begin + end
+
+
+SPAN = "tid bigint, a int, b int"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by v and falling n."""
+
+    def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        v, tid, c = (rows.column(k).to_numpy() for k in ("v", "tid", "c"))
+        raw = np.frombuffer(b"".join(x for x in rows.column("body").to_pylist()), np.uint8).reshape(len(v), WIDTH, 3)
+        x = np.zeros((len(v), WIDTH), np.uint32)
+        for k in range(3):
+            x |= raw[:, :, k].astype(np.uint32) << np.uint32(8 * k)
+        comparison = Comparison(x, tid, c.astype(np.int64))
+        first = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1])
+        size = np.diff(np.concatenate([first, [len(v)]]))
+        few = (size <= SMALL) & (size > 1)
+        comparison.small(first[few], size[few])
+        for k in np.flatnonzero(size > SMALL):
+            comparison.crowd(np.arange(first[k], first[k] + size[k]))
+        tid, a, b = comparison.spans()
+        return pa.RecordBatch.from_arrays([pa.array(tid), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["tid", "a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        plain = batch.filter(pa.array(batch.column("body").is_null()))
+        if len(plain):
+            yield plain.select(["tid", "a", "b"])
+        batch = batch.filter(pa.array(batch.column("body").is_valid()))
+        if not len(batch):
+            continue
+        v = batch.column("v").to_numpy()
+        last = int(np.searchsorted(v, v[-1]))
+        if (last or held and held[-1].column("v")[0].as_py() != v[-1]) and sum(map(len, held)) + last:
+            yield spans([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield spans(held)
 
 
-def repeated_passages(numbered: DataFrame, rounds: int = 4) -> DataFrame:
+def repeated_passages(numbered: DataFrame) -> DataFrame:
     """tid, a, b (arrays of first words and words after the last) of the texts of numbered (tid, text) that repeat passages."""
-    small_batches(numbered.sparkSession, 128)  # rows of up to two whole texts
-    windows = numbered.mapInArrow(_windows, WINDOW).repartition("v").sortWithinPartitions("v").mapInArrow(_repeated, WINDOW)
-    windows = written(windows, "passage-windows")
-    _release()
-    members = written(windows.repartition("tid").sortWithinPartitions("tid").mapInArrow(_keys, KEYED), "passage-keys")
-    discard(windows)
-    _release()
-    spans = []
-    for _ in range(rounds):
-        firsts = members.groupBy("key").agg(F.min(F.struct("tid", "c")).alias("m"), F.count("*").alias("n")).filter("n > 1")
-        firsts = firsts.select("key", F.col("m.tid").alias("first"), F.col("m.c").alias("c0"))
-        checked, sides = _checked(numbered, members.join(firsts, "key").filter("NOT (tid = first AND c = c0)"))
-        spans.append(sides)
-        discard(members)
-        members = written(checked.filter("a0 IS NULL").select("key", "tid", "c"), "passage-keys")
-        discard(checked)
-        _release()
-        if members.isEmpty():
-            break
-    several = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    left = written(members.join(several, "key"), "passage-keys")
-    if not left.isEmpty():
-        spans += _rest(numbered, left, left)
-    spans = reduce(DataFrame.unionByName, spans)
-    return spans.groupBy("tid").agg(F.collect_list("a0").alias("a"), F.collect_list(F.col("a1") + SHINGLE).alias("b"))
+    members = written(numbered.mapInArrow(_windows, WINDOW).repartition("v").sortWithinPartitions("v", "ctx").mapInArrow(_members, MEMBER), "passage-members")
+    windows = members.groupBy("tid").agg(F.collect_list(F.struct("v", "f", "c", "lo", "hi", "exact", "n")).alias("windows"))
+    contexts = windows.join(numbered, "tid").mapInArrow(_contexts, CONTEXT)
+    spans = written(contexts.repartition("v").sortWithinPartitions("v", F.desc("n"), "tid", "c").mapInArrow(_compare, SPAN), "passage-spans")
+    discard(members)
+    return spans.groupBy("tid").agg(F.collect_list("a").alias("a"), F.collect_list(F.col("b") + SHINGLE - 1).alias("b"))
 
 
 RESULT = "doc_id bigint, n_words bigint, n_repeated bigint, n_spans bigint, spans array<struct<start: int, end: int>>"
@@ -506,5 +499,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     """RESULT, a row for every row of docs (doc_id, text) that repeats a passage: its maximal runs of repeated words
     (start, and end after the last word)."""
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("tid"), "doc_id", text_or_empty().alias("text")), "passage-texts")
-    return numbered.join(repeated_passages(numbered.select("tid", "text")), "tid").mapInArrow(_spans, RESULT)
+    with batch_rows(docs.sparkSession, 500):
+        numbered = written(docs.select(F.monotonically_increasing_id().alias("tid"), "doc_id", text_or_empty().alias("text")), "passage-texts")
+        found = written(numbered.join(repeated_passages(numbered.select("tid", "text")), "tid").mapInArrow(_spans, RESULT), "passages")
+        discard(numbered)
+    return found
