@@ -39,7 +39,7 @@ from millrace.llm.common import small_batches, text_or_empty
 BLOCK, PERCENTILE, PAGE_IDS = 128, 0.9, 65536
 PAGES = "part int, page int, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
-_KEPT_UNITS, _UNITS_A_CALL = 400_000, 500
+_KEPT_UNITS, _UNITS_A_CALL = 300_000, 500
 #: Stand for a comma, a full stop, a full stop at a line's end, and a line's end before a unit.
 _COMMA, _STOP, _STOP_LINE, _LINE = "\1", "\2", "\3", "\4"
 _MARKS = re.compile("[\1-\4]")
@@ -139,27 +139,41 @@ class UnitEncoder:
         if len(self.place) > _KEPT_UNITS:
             self._forget()
         units = [self._units(x) for x in texts]
-        places = [found and np.fromiter(map(self.place.__getitem__, itertools.islice(found, 1, None)), np.int64, len(found) - 1) for found in units]
+        count = np.array([len(x) - 1 if x else 0 for x in units])
+        ends = np.cumsum(count)
+        later = itertools.chain.from_iterable(itertools.islice(x, 1, None) for x in units if x)
+        at = np.fromiter(map(self.place.__getitem__, later), np.int64, int(count.sum()))
         if self.place.new:
             self._learn()
+        # a mark must follow a letter or digit, and more must follow it
+        marked = at < 3
+        ok = self.sure[at]
+        ok[1:] &= ~marked[1:] | self.open[at[:-1]]
+        some = np.flatnonzero(count)
+        begin = ends[some] - count[some]
+        ok[begin] = self.sure[at[begin]]  # what comes before these is the first unit, seen to below
+        fits = np.ones(len(texts), bool)
+        if len(some):
+            fits[some] = np.logical_and.reduceat(ok, begin) & ~marked[ends[some] - 1]
+        first_marked = np.zeros(len(texts), bool)
+        first_marked[some] = marked[begin]
         firsts = []
-        for k, (text, found, at) in enumerate(zip(texts, units, places, strict=True)):
+        for k, (text, found) in enumerate(zip(texts, units, strict=True)):
             if found is not None:
                 first = found[0]
-                marked = at < 3
-                fits = self.sure[at].all() and self.open[at[:-1][marked[1:]]].all() and not (first[:1].isspace() or first[-1:].isspace() or not first and len(at))
-                if not fits or len(at) and (marked[0] and not (first[-1:].isalpha() or first[-1:].isdecimal()) or at[-1] < 3):
-                    places[k] = None
-            firsts.append(text if places[k] is None else found[0])
+                fits[k] &= not (first[:1].isspace() or first[-1:].isspace() or not first and count[k]) and (not first_marked[k] or first[-1:].isalpha() or first[-1:].isdecimal())
+            else:
+                fits[k] = False
+            firsts.append(found[0] if fits[k] else text)
+        np.add.at(self.uses, at, 1)
+        sizes = self.sizes[at]
+        until = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[at] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)]
+        until = np.concatenate([[0], until])
         out = []
-        for got, at in zip(self._whole(firsts), places, strict=True):
-            ids = np.array(got.ids, np.uint32)
-            if at is not None and len(at):
-                np.add.at(self.uses, at, 1)
-                sizes = self.sizes[at]
-                ends = np.cumsum(sizes)
-                ids = np.concatenate([ids, self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]])
-            out.append(ids)
+        for k, got in enumerate(self._whole(firsts)):
+            own = np.array(got.ids, np.uint32)
+            out.append(np.concatenate([own, ids[until[ends[k] - count[k]] : until[ends[k]]]]) if fits[k] and count[k] else own)
         return out
 
 
@@ -180,12 +194,9 @@ def pack(ids: np.ndarray) -> bytes:
     width = np.partition(bits, at, axis=1)[:, at]
     sizes = width.astype(np.int64) * (BLOCK // 8)
     starts = np.cumsum(sizes) - sizes
-    packed = np.zeros(int(sizes.sum()), np.uint8)
-    for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            planes = [np.packbits((rest[rows] >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1) for b in range(w)]
-            packed[starts[rows][:, None] + np.arange(int(w) * BLOCK // 8)] = np.concatenate(planes, axis=1)
+    bytes_ = rest.astype(">u4").view(np.uint8).reshape(blocks, BLOCK, 4)[:, :, 4 - -(-int(bits.max()) // 8) :]
+    planes = np.packbits(np.unpackbits(bytes_, axis=2).transpose(0, 2, 1)[:, ::-1], axis=2)  # lowest bits first
+    packed = planes[np.arange(planes.shape[1]) < width[:, None]]
     odd = bits > width[:, None]
     places = np.nonzero(odd)[1].astype(np.uint8)
     return b"".join(
@@ -211,19 +222,16 @@ def unpack(payload: bytes) -> np.ndarray:
         at += got.nbytes
         return got
 
-    starts, low, width, odd = take(np.uint32, blocks), take(np.uint32, blocks), take(np.uint8, blocks), take(np.uint8, blocks)
+    _, low, width, odd = take(np.uint32, blocks), take(np.uint32, blocks), take(np.uint8, blocks), take(np.uint8, blocks)
     packed = take(np.uint8, int(width.astype(np.int64).sum()) * (BLOCK // 8))
     places = take(np.uint8, int(odd.astype(np.int64).sum()))
     values = np.frombuffer(payload[at:], np.uint32)
-    rest = np.zeros((blocks, BLOCK), np.uint32)
-    for w in np.unique(width):
-        if w:
-            rows = np.flatnonzero(width == w)
-            planes = packed[starts[rows].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)].reshape(len(rows), int(w), -1)
-            got = np.zeros((len(rows), BLOCK), np.uint32)
-            for b in range(w):
-                got |= np.unpackbits(planes[:, b], axis=1).astype(np.uint32) << np.uint32(b)
-            rest[rows] = got
+    n_bytes = max(1, -(-int(width.max()) // 8))
+    planes = np.zeros((blocks, 8 * n_bytes, BLOCK // 8), np.uint8)
+    planes[np.arange(8 * n_bytes) < width[:, None]] = packed.reshape(-1, BLOCK // 8)
+    body = np.zeros((blocks, BLOCK, 4), np.uint8)
+    body[:, :, 4 - n_bytes :] = np.packbits(np.unpackbits(planes, axis=2)[:, ::-1].transpose(0, 2, 1), axis=2)
+    rest = body.view(">u4").reshape(blocks, BLOCK).astype(np.uint32)
     rest[np.repeat(np.arange(blocks), odd), places] = values
     return (rest + low[:, None]).reshape(-1)[:n]
 
@@ -266,8 +274,8 @@ def _pages(path: str, end_id: int):
             )
 
         for batch in batches:
-            for k in range(0, len(batch), 100):
-                some = batch.slice(k, 100)
+            for k in range(0, len(batch), 250):
+                some = batch.slice(k, 250)
                 for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
                     doc_ids.append(doc_id)
                     ids.append(got)
