@@ -26,18 +26,19 @@ targets AS (
   FROM levels),
 plans AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM targets),
-hashes AS (SELECT skey, hash, sum(size) AS size FROM items GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY skey, hash ORDER BY size) AS turn FROM items),
+hashes AS (SELECT skey, hash, sum(size) AS size, count(*) AS n FROM items GROUP BY ALL),
 edges AS (
-  SELECT h.skey, h.hash, h.size, p.target - p.passes * p.source_size AS budget,
+  SELECT h.skey, h.hash, h.size, h.n, p.target - p.passes * p.source_size AS budget,
          sum(h.size) OVER (PARTITION BY h.skey ORDER BY h.hash ROWS UNBOUNDED PRECEDING) - h.size AS start
   FROM hashes h JOIN plans p USING (skey)),
-bounds AS (
-  SELECT skey, max_by(hash + CASE WHEN 2 * (budget - start) > size THEN 1 ELSE 0 END, hash) AS below
-  FROM edges WHERE budget > 0 AND start <= budget GROUP BY skey),
+ends AS (
+  SELECT skey, hash AS at, CASE WHEN size > 0 THEN least(n, ceil((budget - start) * n / size - 0.5)) WHEN budget > start THEN n ELSE 0 END AS more
+  FROM edges WHERE budget > 0 AND start <= budget QUALIFY row_number() OVER (PARTITION BY skey ORDER BY hash DESC) = 1),
 mixed AS (
   SELECT i.* EXCLUDE (skey), p.source_size, p.target,
-         p.passes + CASE WHEN i.hash < b.below THEN 1 ELSE 0 END AS copies
-  FROM items i JOIN plans p USING (skey) LEFT JOIN bounds b USING (skey))"""
+         p.passes + CASE WHEN i.hash < e.at OR (i.hash = e.at AND i.turn <= e.more) THEN 1 ELSE 0 END AS copies
+  FROM numbered i JOIN plans p USING (skey) LEFT JOIN ends e USING (skey))"""
 
 
 OP8_SQL = f"WITH {mix_sql()} SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM mixed"
