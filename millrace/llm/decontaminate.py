@@ -1,24 +1,25 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are windows of 32 words every 16 words of whole texts; a word is one of 2^18 hashed slots, a passage the
-   set of its words weighted by idf. Document frequencies are counted over all passages of the corpus.
-2. A passage can reach the cosine threshold against a benchmark passage only if the words that they share among those
-   in at most RARE benchmark passages, plus all of its words that are in more, weigh enough. The passages that do are
-   the rows of the TF-IDF matrix; this is an upper bound, so nothing that could match is lost.
-3. Its distributed randomised SVD: tasks sum A'(A G) over their rows for a random G, the driver orthonormalises, one
-   power round repeats this, and the leading directions span the latent space. The benchmark's own rows take part
-   with weight, and what the leading directions miss of a benchmark row is added to the basis.
-4. Cosine search of all those passages against all benchmark passages in the latent space gives candidates.
-5. A candidate counts if the longest common subsequence with a stretch of the words around it (half as long again as
-   the benchmark passage) holds, by idf weight, at least `overlap` of that passage, or at least `overlap_with_answer` of it and all of its answer: its last
-   sentence (where it has more than one), or for a single sentence its last quarter.
-
-The benchmark is an evaluation set that fits the driver (checked: max_benchmark_bytes); it is searched in groups of
-256 passages, so what is sent to tasks is bounded, whatever its size.
-
-Defined results: null and empty texts are clean; benchmark items that are null or under min_words words are not looked
-for; a document is judged by its text alone, so repeated rows and null ids are judged alike; ties go to the smaller
-item_id; other columns pass through.
+1. Passages are windows of 32 words every 16 words of whole texts, their words hashed to 2^18 slots and weighted by idf, which
+   is counted over the whole corpus. Columns are the benchmark's words; words that every twentieth passage holds say
+   little and are left out, unless an item would lose a tenth of its weight by that.
+2. Distributed randomised SVD of these TF-IDF rows: tasks sum A'(A G) over all passages of the corpus for a random G, to
+   which the benchmark's own rows add as much again; the driver orthonormalises, and the leading RANK directions span the
+   latent space. Benchmark passages are folded into it. What the directions miss of them is lost to the search, as it is
+   for the corpus.
+3. Cosine search of all passages against all benchmark passages in the latent space gives candidates.
+4. A candidate counts if the longest common subsequence with a stretch of the words around it (half as long again as the
+   benchmark passage) holds, by idf weight, at least `overlap` of that passage, or at least `overlap_with_answer` of it
+   and all of its answer: its last sentence (where it has more than one), or for a single sentence its last quarter.
+5. Items under min_words words are too short for that: texts of which a whole line has their words, and no others, are
+   found by equality.
+
+The texts are read three times (counts, SVD, search), however long the benchmark is. It is an evaluation set whose words fit
+the driver (checked: max_benchmark_bytes); candidates are searched in groups of 256 passages.
+
+Defined results: null and empty texts are clean; benchmark items that are null or without words are not looked for; a
+document is judged by its text alone, so repeated rows and null ids are judged alike; ties go to the smaller item_id;
+other columns pass through. Punctuation and case don't count; a space is white space of ASCII or U+00A0.
 """
 
 from __future__ import annotations
@@ -31,74 +32,100 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, small_batches, text_or_empty, written
+from millrace.llm.common import batch_rows, text_or_empty, written
+from millrace.llm.words import bytes_hashes
 
 SLOT_BITS, WORDS, STEP, AROUND = 18, 32, 16, 64
-GROUP, PART_WORDS, RANK, RARE = 256, 64, 128, 16
-_KEPT_WORDS = 400_000
-_EDGE = ".,;:!?\"'()[]{}<>|*-_«»“”„…$%&#"
+GROUP, PART_WORDS, RANK = 256, 64, 64
+COMMON = 0.05  # share of passages from which on a word is left out of the latent space
+_PUNCTUATION = b".,;:!?\"'()[]{}<>|*-_$%&#"
+_OTHERS = "«»“”„…\u2018\u2019"
+
+
+def slots_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words of texts one after another, and how many each has."""
+    parts = []
+    for text in texts:
+        text = text.lower()
+        if not text.isascii():
+            text = text.replace("\u00a0", " ")
+            for mark in _OTHERS:
+                text = text.replace(mark, "")
+        parts.append(text.encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION))
+    hashes, sizes = bytes_hashes(parts)
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), sizes
 
 
-class _Slots(dict):
-    """Word as written to its slot; punctuation at its edges doesn't count."""
-
-    def __missing__(self, word: str) -> int:
-        slot = xxhash.xxh64_intdigest((word.strip(_EDGE) or word).encode("utf-8", "surrogatepass"), 7) >> (64 - SLOT_BITS)
-        self[word] = slot
-        return slot
-
-
-_SLOTS = _Slots()
-
-
-def slots_of(words: list[str]) -> np.ndarray:
-    if len(_SLOTS) > _KEPT_WORDS:
-        _SLOTS.clear()
-    return np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
-
-
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start in the text, length of the windows of texts of sizes words; the last one ends with its text."""
-    count = np.where(sizes > 0, np.maximum(0, -(-(sizes - WORDS) // STEP)) + 1, 0)
+@dataclass
+class Windows:
+    """The windows of some texts, as rows of the TF-IDF matrix: a window is a half of STEP words and the next one, if any."""
+
+    text: np.ndarray
+    begin: np.ndarray  # its first place in the texts' slots
+    first: np.ndarray  # its first half
+    second: np.ndarray  # its second one; a number beyond all halves if there is none
+    length: np.ndarray  # of the row, over all its words
+    half: np.ndarray  # of each distinct word with a column in a half, ascending
+    column: np.ndarray
+    halves: int
+
+    def times(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows have a word with a column, and those rows times g (which is weighted by idf)."""
+        some, sums = _sums_by(self.half, g[self.column])
+        h = np.zeros((self.halves + 1, g.shape[1]), np.float32)
+        h[some] = sums
+        has = np.zeros(self.halves + 1, bool)
+        has[some] = True
+        rows = np.flatnonzero(has[self.first] | has[self.second])
+        return rows, (h[self.first[rows]] + h[self.second[rows]]) / self.length[rows, None]
+
+    def times_back(self, rows: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns, and what the transposed rows times z add to each (but for its idf)."""
+        u = np.zeros((self.halves + 1, z.shape[1]), np.float32)
+        z = z / self.length[rows, None]
+        u[self.first[rows]] = z  # a half is the first one of one window, and the second one of another
+        u[self.second[rows]] += z
+        turn = np.argsort(self.column, kind="stable")
+        return _sums_by(self.column[turn], u[self.half[turn]])
+
+
+def windows(slots: np.ndarray, sizes: np.ndarray, place: np.ndarray, idf: np.ndarray) -> Windows:
+    """Of texts with sizes words; words in both halves of a window count twice."""
+    n_halves = -(-sizes // STEP)
+    count = np.where(sizes > 0, np.maximum(1, n_halves - 1), 0)
+    halves = int(n_halves.sum())
     text = np.repeat(np.arange(len(sizes)), count)
-    start = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * STEP
-    return text, start, np.minimum(WORDS, sizes[text] - start)
-
-
-def distinct_slots(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and start of each window of texts; then window and slot of each distinct word in one."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    slots = slots_of(list(itertools.chain.from_iterable(texts)))
-    text, start, length = windows(sizes)
-    if not len(text):
-        return text, start, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begin = (np.cumsum(sizes) - sizes)[text] + start
-    ends = np.cumsum(length)
-    each = np.repeat(begin - (ends - length), length) + np.arange(ends[-1])
-    both = np.repeat(np.arange(len(text)), length) << SLOT_BITS | slots[each]
+    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (np.cumsum(sizes) - sizes)[text] + k * STEP
+    first = (np.cumsum(n_halves) - n_halves)[text] + k
+    second = np.where(k + 1 < n_halves[text], first + 1, halves)
+    square = np.concatenate([[0], np.cumsum(idf[slots] ** 2)])
+    end = np.minimum(np.cumsum(sizes)[text], begin + WORDS)
+    length = np.sqrt(np.maximum(1e-12, square[end] - square[begin])).astype(np.float32)
+    at = np.flatnonzero(place[slots] >= 0)
+    ends = np.cumsum(sizes)
+    of = np.searchsorted(ends, at, side="right")
+    both = ((np.cumsum(n_halves) - n_halves)[of] + (at - (ends - sizes)[of]) // STEP) << SLOT_BITS | place[slots[at]]
     both.sort()
-    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    return text, start, both >> SLOT_BITS, both & ((1 << SLOT_BITS) - 1)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return Windows(text, begin, first, second, length, both >> SLOT_BITS, both & ((1 << SLOT_BITS) - 1), halves)
 
 
-def _groups_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[list[str]]]]:
-    """Digests and lower-cased words of about a MB of texts."""
+def _groups_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """About a MB of texts, or one longer text."""
     for batch in batches:
-        digests, texts, held = [], [], 0
+        texts, held = [], 0
         for text in batch.column("text"):
-            text = text.as_py()
-            digests.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
-            texts.append(text.lower().split())
-            held += len(text)
+            texts.append(text.as_py())
+            held += len(texts[-1])
             if held > 1 << 20:
-                yield digests, texts
-                digests, texts, held = [], [], 0
+                yield texts
+                texts, held = [], 0
         if texts:
-            yield digests, texts
+            yield texts
 
 
 def _sum_parts(key: tuple, table: pa.Table) -> pa.Table:
@@ -121,141 +148,109 @@ def _parts(total: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many passages each slot occurs, and the number of passages."""
+    every, none = np.arange(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
     total = np.zeros((1 << SLOT_BITS) + 1)
-    for _, texts in _groups_of_texts(batches):
-        text, _, _, slots = distinct_slots(texts)
-        total[:-1] += np.bincount(slots, minlength=1 << SLOT_BITS)
-        total[-1] += len(text)
+    for texts in _groups_of_texts(batches):
+        w = windows(*slots_of(texts), every, none)
+        # once for each half that has it and ends a window or begins one, less once for two halves of one window
+        windows_of = np.bincount(w.first, minlength=w.halves + 1) + np.bincount(w.second, minlength=w.halves + 1)
+        total[:-1] += np.bincount(w.column, weights=windows_of[w.half], minlength=1 << SLOT_BITS)
+        turn = np.argsort(w.column, kind="stable")
+        half, column = w.half[turn], w.column[turn]
+        paired = np.zeros(w.halves + 1, bool)
+        paired[w.first] = w.second < w.halves
+        twice = (column[1:] == column[:-1]) & (half[1:] == half[:-1] + 1) & paired[half[:-1]]
+        total[:-1] -= np.bincount(column[1:][twice], minlength=1 << SLOT_BITS)
+        total[-1] += len(w.text)
     yield from _parts(total)
 
 
+def inverse_frequencies(counts: np.ndarray) -> np.ndarray:
+    return np.log((2 + counts[-1]) / (1 + counts[:-1]))
+
+
 @dataclass
-class Group:
+class Benchmark:
     """Benchmark passages, ready to be searched for."""
 
     items: list[int]
-    words: list[list[str]]
+    slots: list[np.ndarray]
     answers: list[int]  # at which word the answer begins
     place: np.ndarray  # slot to column, -1 outside the vocabulary
     idf: np.ndarray  # of all slots
-    matrix: np.ndarray  # a row a passage, a column a vocabulary slot, unit length
-    length: np.ndarray  # of the rows before that
-    first: np.ndarray  # of a rare column's passages in holders; one more than columns
-    holders: np.ndarray
+    weight: np.ndarray  # idf of each column
+    matrix: np.ndarray  # a row a passage, a column a vocabulary slot, unit length over all its words
 
 
-def benchmark_passages(rows: list[tuple[int, str | None]], min_words: int) -> list[tuple[int, list[str], int]]:
-    """item_id, words, start of the answer. Long items are cut into parts of at most PART_WORDS words."""
+def benchmark_passages(rows: list[tuple[int, str | None]]) -> list[tuple[int, np.ndarray, int]]:
+    """item_id, slots of the words, start of the answer. Long items are cut into parts of at most PART_WORDS words."""
     out = []
     for item, text in sorted(((i, t) for i, t in rows if t is not None and i is not None), key=lambda x: (x[0], x[1])):
-        sentences = [x.lower().split() for x in re.split(r"(?<=[.!?])\s+", text)]
-        words = [w for s in sentences for w in s]
-        last = len(words) - len(next((s for s in reversed(sentences) if s), []))
-        n = max(1, -(-len(words) // PART_WORDS))
-        cuts = [len(words) * k // n for k in range(n + 1)]
+        sentences = re.split(r"(?<=[.!?])\s+", text)
+        slots, sizes = slots_of(sentences)
+        last = len(slots) - int(next((n for n in sizes[::-1] if n), 0))
+        n = max(1, -(-len(slots) // PART_WORDS))
+        cuts = [len(slots) * k // n for k in range(n + 1)]
         for a, b in itertools.pairwise(cuts):
-            if b - a >= min_words:
-                out.append((item, words[a:b], last - a if a < last < b else (b - a) * 3 // 4))
+            if b > a:
+                out.append((item, slots[a:b], last - a if a < last < b else (b - a) * 3 // 4))
     return out
 
 
-def make_group(passages: list[tuple[int, list[str], int]], idf: np.ndarray) -> Group:
-    slots = [np.unique(slots_of(w)) for _, w, _ in passages]
-    used = np.unique(np.concatenate(slots))
+def make_benchmark(passages: list[tuple[int, np.ndarray, int]], idf: np.ndarray, frequent: np.ndarray) -> Benchmark:
+    """frequent: the slots that COMMON passages hold."""
+    distinct = [np.unique(s) for _, s, _ in passages]
+    kept = [s[~frequent[s]] for s in distinct]
+    kept = [k if (idf[k] ** 2).sum() >= 0.9 * (idf[s] ** 2).sum() else s for k, s in zip(kept, distinct, strict=True)]
+    used = np.unique(np.concatenate(kept))
     place = np.full(1 << SLOT_BITS, -1, np.int64)
     place[used] = np.arange(len(used))
-    matrix = np.zeros((len(passages), len(used)))
-    for row, s in zip(matrix, slots, strict=True):
-        row[place[s]] = idf[s]
-    length = np.maximum(1e-12, np.linalg.norm(matrix, axis=1))
-    column = np.concatenate([place[s] for s in slots])
-    holder = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    rare = np.bincount(column, minlength=len(used))[column] <= RARE
-    turn = np.argsort(column[rare], kind="stable")
-    first = np.searchsorted(column[rare][turn], np.arange(len(used) + 1))
-    return Group([i for i, _, _ in passages], [w for _, w, _ in passages], [a for _, _, a in passages], place, idf, matrix / length[:, None], length, first, holder[rare][turn])
-
+    matrix = np.zeros((len(passages), len(used)), np.float32)
+    for row, s in zip(matrix, distinct, strict=True):
+        inside = s[place[s] >= 0]
+        row[place[inside]] = idf[inside] / max(1e-12, float(np.linalg.norm(idf[s])))
+    return Benchmark([i for i, _, _ in passages], [s for _, s, _ in passages], [a for _, _, a in passages], place, idf, idf[used].astype(np.float32), matrix)
 
-def _near(shared, least: float):
-    """Passages that can have a cosine of `least` with a benchmark passage, with the words around them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, idf, lengths, first, holders = shared.value
-        for digests, texts in _groups_of_texts(batches):
-            text, start, window, slots = distinct_slots(texts)
-            square = idf[slots] ** 2
-            total = np.bincount(window, weights=square, minlength=len(text))
-            inside = place[slots] >= 0
-            column, of, weight = place[slots[inside]], window[inside], square[inside]
-            count = first[column + 1] - first[column]
-            common = np.bincount(of[count == 0], weights=weight[count == 0], minlength=len(text))
-            ends = np.cumsum(count)
-            held = holders[np.repeat(first[column] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-            shared_weight = np.bincount(np.repeat(of, count) * len(lengths) + held, weights=np.repeat(weight, count), minlength=len(text) * len(lengths))
-            most = (shared_weight.reshape(len(text), -1) + common[:, None]) / lengths[None, :]
-            kept = np.flatnonzero((most.max(1) >= (least - 1e-9) * np.sqrt(total)) & (np.bincount(of, minlength=len(text)) > 0))
-            if not len(kept):
-                continue
-            a, b = np.searchsorted(of, kept), np.searchsorted(of, kept, side="right")
-            around = [" ".join(texts[text[k]][max(0, start[k] - AROUND) : start[k] + WORDS + AROUND]) for k in kept]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([digests[text[k]] for k in kept], pa.binary()), pa.array([column[i:j].astype(np.int32) for i, j in zip(a, b, strict=True)], pa.list_(pa.int32())),
-                    pa.array(np.sqrt(total[kept])), pa.array(around, pa.string()),
-                ],
-                ["digest", "columns", "length", "around"],
-            )
-
-    return run
-
-
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the rows' columns, and the columns, of a batch of near passages (none is empty)."""
-    columns = batch.column("columns")
-    offsets = columns.offsets.to_numpy()
-    return (offsets[:-1] - offsets[0]).astype(np.int64), columns.flatten().to_numpy().astype(np.int64)
+def _sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (given ascending), and the sum of the rows of each."""
+    if not len(key):
+        return key, rows
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(rows, first, axis=0)
 
 
 def _gram_times(shared):
-    """Sum of x'(x G) over the rows x of the TF-IDF matrix (unit length by the whole passage)."""
+    """Sum of x'(x G) over the rows x of the TF-IDF matrix (but for the columns' idf), and of |x|^2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, g = shared.value
-        total = np.zeros(g.shape)
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
-                starts, columns = _rows(some)
-                sizes = np.diff(np.concatenate([starts, [len(columns)]]))
-                value = weight[columns] / np.repeat(some.column("length").to_numpy(), sizes)
-                z = np.repeat(np.add.reduceat(value[:, None] * g[columns], starts, axis=0), sizes, axis=0) * value[:, None]
-                turn = np.argsort(columns, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], np.diff(columns[turn]) > 0]))
-                total[columns[turn][cuts]] += np.add.reduceat(z[turn], cuts, axis=0)
-        yield from _parts(total.reshape(-1))
+        place, idf, weight, g = shared.value
+        g = g * weight[:, None]
+        total, energy = np.zeros(g.shape), 0.0
+        for texts in _groups_of_texts(batches):
+            w = windows(*slots_of(texts), place, idf)
+            rows, z = w.times(g)
+            columns, sums = w.times_back(rows, z)
+            total[columns] += sums
+            rows, square = w.times((weight**2)[:, None])
+            energy += float((square[:, 0] / w.length[rows]).sum())
+        yield from _parts(np.concatenate([total.reshape(-1), [energy]]))
 
     return run
 
 
-def latent_basis(near: DataFrame, group: Group, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """Orthonormal columns: the leading right singular directions, and what they miss of the benchmark's rows."""
-    spark = near.sparkSession
-    n = group.matrix.shape[1]
-    weight = np.zeros(n)
-    weight[group.place[group.place >= 0]] = group.idf[group.place >= 0]
-    g = np.random.default_rng(seed).standard_normal((n, min(n, rank + 8)))
-    for _ in range(2):
-        shared = spark.sparkContext.broadcast((weight, g))
-        y = _summed(near.mapInArrow(_gram_times(shared), "part int, body binary"), g.size).reshape(g.shape)
-        own = group.matrix.T @ (group.matrix @ g)
-        y += own * max(1.0, float(np.linalg.norm(y) / max(1e-12, np.linalg.norm(own))))
-        g = np.linalg.svd(y, full_matrices=False)[0]
-    basis = g[:, :rank]
-    for _ in range(2):
-        missed = group.matrix - (group.matrix @ basis) @ basis.T
-        u, s, vt = np.linalg.svd(missed, full_matrices=False)
-        basis = np.concatenate([basis, vt[s > 1e-6].T], axis=1)
-    return basis
+def latent_basis(texts: DataFrame, benchmark: Benchmark, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """Orthonormal columns: the leading right singular directions of the passages of texts (text) and the benchmark's, the
+    latter with as much weight as the former."""
+    n = benchmark.matrix.shape[1]
+    g = np.random.default_rng(seed).standard_normal((n, min(n, rank + 8))).astype(np.float32)
+    shared = texts.sparkSession.sparkContext.broadcast((benchmark.place, benchmark.idf, benchmark.weight, g))
+    got = _summed(texts.mapInArrow(_gram_times(shared), "part int, body binary"), g.size + 1)
+    own = (benchmark.matrix.T @ (benchmark.matrix @ g)).astype(np.float64)
+    weight = got[-1] / max(1e-12, float((benchmark.matrix.astype(np.float64) ** 2).sum())) if got[-1] else 1.0
+    corpus = got[:-1].reshape(g.shape) * benchmark.weight[:, None]
+    return np.linalg.svd(corpus + weight * own, full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def common_weight(item: list[int], around: list[int], weight: np.ndarray) -> np.ndarray:
@@ -296,60 +291,69 @@ def best_overlap(item: np.ndarray, around: np.ndarray, weight: np.ndarray, answe
 FOUND = "digest binary, item_id bigint, cosine double, overlap double"
 
 
-def _check(shared, least: float, overlap: float, overlap_with_answer: float):
+def _is_line(text: str, item: np.ndarray) -> bool:
+    """Whether a line of text has the words of item and no others."""
+    slots, sizes = slots_of(text.split("\n"))
+    ends = np.cumsum(sizes)
+    return any(np.array_equal(slots[ends[k] - sizes[k] : ends[k]], item) for k in np.flatnonzero(sizes == len(item)))
+
+
+def _search(shared, least: float, overlap: float, overlap_with_answer: float, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, basis = shared.value
-        weight = np.zeros(group.matrix.shape[1])
-        weight[group.place[group.place >= 0]] = group.idf[group.place >= 0]
-        wanted = group.matrix @ basis
-        item_slots = [slots_of(w) for w in group.words]
-        item_weight = [np.maximum(1e-3, group.idf[s]) for s in item_slots]
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
-                starts, columns = _rows(some)
-                latent = np.add.reduceat(weight[columns][:, None] * basis[columns], starts, axis=0) / some.column("length").to_numpy()[:, None]
-                cosines = latent @ wanted.T
-                around, digests = some.column("around").to_pylist(), some.column("digest").to_pylist()
-                for r in np.flatnonzero((cosines >= least).any(1)):
-                    near = slots_of(around[r].split(" "))
-                    for p in np.flatnonzero(cosines[r] >= least):
-                        share = best_overlap(item_slots[p], near, item_weight[p], group.answers[p], overlap, overlap_with_answer)
+        benchmark, basis = shared.value
+        wanted = benchmark.matrix @ basis
+        wanted /= np.maximum(1e-6, np.linalg.norm(wanted, axis=1))[:, None]
+        space = basis * benchmark.weight[:, None]
+        weights = [np.maximum(1e-3, benchmark.idf[s]) for s in benchmark.slots]
+        short = [p for p, s in enumerate(benchmark.slots) if len(s) < min_words]
+        wanted[short] = 0
+        for texts in _groups_of_texts(batches):
+            slots, sizes = slots_of(texts)
+            ends = np.cumsum(sizes)
+            best: dict[tuple[int, int], tuple[float, float]] = {}
+            w = windows(slots, sizes, benchmark.place, benchmark.idf)
+            rows, z = w.times(space)
+            for some in range(0, len(rows), 4096):
+                for first in range(0, len(wanted), GROUP):
+                    cosines = z[some : some + 4096] @ wanted[first : first + GROUP].T
+                    for r, p in np.argwhere(cosines >= least).tolist():
+                        at, p, cosine = rows[some + r], p + first, float(cosines[r, p])
+                        t, begin = int(w.text[at]), int(w.begin[at])
+                        around = slots[max(ends[t] - sizes[t], begin - AROUND) : min(ends[t], begin + WORDS + AROUND)]
+                        share = best_overlap(benchmark.slots[p], around, weights[p], benchmark.answers[p], overlap, overlap_with_answer)
                         if share is not None:
-                            for c, v in zip(out, (digests[r], group.items[p], float(cosines[r, p]), share), strict=True):
-                                c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["digest", "item_id", "cosine", "overlap"])
+                            best[t, p] = max(best.get((t, p), (0.0, 0.0)), (share, cosine))
+            for p in short:
+                for t in np.unique(np.searchsorted(ends, np.flatnonzero(slots == benchmark.slots[p][0]), side="right")).tolist():
+                    if _is_line(texts[t], benchmark.slots[p]):
+                        best[t, p] = (1.0, 1.0)
+            digests = {t: hashlib.md5(texts[t].encode("utf-8", "surrogatepass")).digest() for t, _ in best}
+            columns = [[digests[t] for t, _ in best], [benchmark.items[p] for _, p in best], [x[1] for x in best.values()], [x[0] for x in best.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["digest", "item_id", "cosine", "overlap"])
 
     return run
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, *, least: float = 0.3, overlap: float = 0.5, overlap_with_answer: float = 0.4, min_words: int = 5, max_benchmark_bytes: int = 1 << 28
+    docs: DataFrame, benchmark: DataFrame, *, least: float = 0.25, overlap: float = 0.5, overlap_with_answer: float = 0.4, min_words: int = 5, rank: int = RANK, max_benchmark_bytes: int = 1 << 26
 ) -> DataFrame:
     """digest (md5 of the text), item_id, cosine, overlap: the best match of each distinct text of docs (text) with a leak."""
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_benchmark_bytes:
         raise ValueError(f"the benchmark has {size} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}")
-    passages = benchmark_passages([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()], min_words)
+    passages = benchmark_passages([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()])
     if not passages:
         return spark.createDataFrame([], FOUND)
-    small_batches(spark)
-    texts = docs.select(text_or_empty().alias("text")).filter("text <> ''")
-    counts = _summed(texts.mapInArrow(_frequencies, "part int, body binary"), (1 << SLOT_BITS) + 1)
-    idf = np.log((2 + counts[-1]) / (1 + counts[:-1]))
-    found = None
-    for k in range(0, len(passages), GROUP):
-        group = make_group(passages[k : k + GROUP], idf)
-        near = written(texts.mapInArrow(_near(spark.sparkContext.broadcast((group.place, idf, group.length, group.first, group.holders)), least), "digest binary, columns array<int>, length double, around string"), "leaks-near")
-        basis = latent_basis(near, group)
-        checked = near.mapInArrow(_check(spark.sparkContext.broadcast((group, basis)), least, overlap, overlap_with_answer), FOUND)
-        now = written(checked.groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m")).select("digest", (-F.col("m.col3")).alias("item_id"), "m.cosine", "m.overlap"), "leaks")
-        discard(near)
-        found = now if found is None else found.unionByName(now)
-    best = found.groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m"))
-    return best.select("digest", (-F.col("m.col3")).alias("item_id"), "m.cosine", "m.overlap")
+    with batch_rows(spark, 500):
+        texts = docs.select(text_or_empty().alias("text")).filter("text <> ''")
+        counts = _summed(texts.mapInArrow(_frequencies, "part int, body binary"), (1 << SLOT_BITS) + 1)
+        known = make_benchmark(passages, inverse_frequencies(counts), counts[:-1] > COMMON * counts[-1])
+        basis = latent_basis(texts, known, rank)
+        shared = spark.sparkContext.broadcast((known, basis))
+        found = texts.mapInArrow(_search(shared, least, overlap, overlap_with_answer, min_words), FOUND)
+        best = found.groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m"))
+        return written(best.select("digest", (-F.col("m.col3")).alias("item_id"), "m.cosine", "m.overlap"), "leaks")
 
 
 def _digest():
