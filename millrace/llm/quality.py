@@ -31,44 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import batch_rows
+from millrace.llm.words import word_hashes
 
-_KEPT_WORDS = 200_000
 _SHARES = np.array([2.0**-k for k in range(1, 11)])
-
-
-def _slot(feature: str, bits: int) -> int:
-    return xxhash.xxh64_intdigest(feature.encode("utf-8", "surrogatepass")) >> (64 - bits)
+_MARKS = {"word": np.uint64(0x9E3779B97F4A7C15), "stem": np.uint64(0xD6E8FEB86659FD93)}
 
 
 class Features:
-    """Text to an array of slots (each once)."""
+    """Texts to arrays of slots (each once)."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.words: dict[str, int] = {}
-        self.stems: dict[str, int] = {}
         # a slot for each byte value (and byte 256 for repeated words) and share
-        self.shares = np.array([[_slot(f"share {b} {k}", bits) for k in range(len(_SHARES))] for b in range(257)], np.int64)
-
-    def _slots(self, known: dict[str, int], mark: str, found: set[str]) -> list[int]:
-        if len(known) > _KEPT_WORDS:
-            known.clear()
-        for x in found.difference(known):
-            known[x] = _slot(mark + x, self.bits)
-        return [known[x] for x in found]
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        distinct = set(words)
-        slots = self._slots(self.words, "word ", distinct)
-        slots += self._slots(self.stems, "stem ", {x[:n] for x in distinct for n in (4, 5) if len(x) > n})
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        share = np.zeros(257)
-        share[:256] = np.bincount(raw, minlength=256) / max(1, len(raw))
-        share[256] = sum(map(str.__eq__, words, words[1:])) / max(1, len(words))
-        found = self.shares[share[:, None] >= _SHARES]
-        return np.unique(np.concatenate([np.array(slots, np.int64), found])).astype(np.int32)
+        self.shares = np.array([[xxhash.xxh64_intdigest(f"share {b} {k}".encode()) >> (64 - bits) for k in range(len(_SHARES))] for b in range(257)], np.int64)
+
+    def _slots(self, mark: str, found: list[list[str]]) -> list[np.ndarray]:
+        h, sizes = word_hashes(found)
+        return np.split(((h * _MARKS[mark]) >> np.uint64(64 - self.bits)).astype(np.int64), np.cumsum(sizes)[:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [x.lower().split() for x in texts]
+        distinct = [list(set(x)) for x in words]
+        stems = [list({w[:n] for w in x for n in (4, 5) if len(w) > n}) for x in distinct]
+        out = []
+        for text, own, slots, stem_slots in zip(texts, words, self._slots("word", distinct), self._slots("stem", stems), strict=True):
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            share = np.zeros(257)
+            share[:256] = np.bincount(raw, minlength=256) / max(1, len(raw))
+            share[256] = sum(map(str.__eq__, own, own[1:])) / max(1, len(own))
+            out.append(np.unique(np.concatenate([slots, stem_slots, self.shares[share[:, None] >= _SHARES]])).astype(np.int32))
+        return out
 
 
 @dataclass
@@ -149,22 +142,24 @@ def _features_of(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            got = [features(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(got, pa.list_(pa.int32()))], ["grade", "slots"])
+            for k in range(0, len(batch), 100):
+                some = batch.slice(k, 100)
+                got = features([x or "" for x in some.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column("grade"), pa.array(got, pa.list_(pa.int32()))], ["grade", "slots"])
 
     return run
 
 
 def fit_on(docs: DataFrame, graded: DataFrame, *, n_grades: int, bits: int = 18, max_labelled: int = 12_000) -> OrdinalModel:
     """graded: doc_id, grade (0 .. n_grades - 1). At most max_labelled rows reach the driver."""
-    small_batches(docs.sparkSession)
     chosen = (
         graded.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1))
         .select("doc_id", F.col("grade").cast("int").alias("grade"))
         .orderBy(F.xxhash64("doc_id", "grade"), "doc_id", "grade").limit(max_labelled)
     )
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text").mapInArrow(_features_of(bits), "grade int, slots array<int>")
-    table = rows.toArrow()
+    with batch_rows(docs.sparkSession, 500):
+        table = rows.toArrow()
     flat = [x.to_numpy(zero_copy_only=False) for chunk in table.column("slots").chunks for x in (chunk.slice(i, 1).flatten() for i in range(len(chunk)))]
     grades = table.column("grade").to_numpy() if table.num_rows else np.zeros(0, int)
     order = sorted(range(len(flat)), key=lambda i: (int(grades[i]), len(flat[i]), xxhash.xxh64_intdigest(flat[i].tobytes())))  # results don't depend on the order in which rows come
@@ -174,7 +169,6 @@ def fit_on(docs: DataFrame, graded: DataFrame, *, n_grades: int, bits: int = 18,
 def score(docs: DataFrame, model: OrdinalModel, *, above: int) -> DataFrame:
     """docs with expected_grade and p_above: P(grade > above)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.bits, model.weights, model.thresholds))
     docs = docs.drop("expected_grade", "p_above")
     names = docs.columns
@@ -184,10 +178,12 @@ def score(docs: DataFrame, model: OrdinalModel, *, above: int) -> DataFrame:
         own = OrdinalModel(*shared.value)
         features = Features(own.bits)
         for batch in batches:
-            scores = np.array([own.weights[features(x.as_py() or "")].sum(dtype=np.float64) for x in batch.column("text")])
-            tails = own.tails(scores)
-            columns = [*(batch.column(n) for n in names), pa.array(tails.sum(1), pa.float64()), pa.array(tails[:, above], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "expected_grade", "p_above"])
+            for k in range(0, len(batch), 100):
+                some = batch.slice(k, 100)
+                slots = features([x or "" for x in some.column("text").to_pylist()])
+                tails = own.tails(np.array([own.weights[x].sum(dtype=np.float64) for x in slots]))
+                columns = [*(some.column(n) for n in names), pa.array(tails.sum(1), pa.float64()), pa.array(tails[:, above], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "expected_grade", "p_above"])
 
     return docs.mapInArrow(run, schema)
 
