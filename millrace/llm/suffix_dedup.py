@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, small_batches, text_or_empty, written
+from millrace.llm.common import batch_rows, discard, text_or_empty, written
 
 WIDTH, GRAM = 400, 128
 BLOCK_BYTES = 1 << 20
@@ -322,7 +322,6 @@ def _release() -> None:
 
 def repeated_spans(numbered: DataFrame) -> DataFrame:
     """tid, a, b (arrays): intervals to remove, of the texts of numbered (tid, text) that have any."""
-    small_batches(numbered.sparkSession)
     long = numbered.filter(F.octet_length("text") >= WIDTH)
     alike = (
         long.mapInArrow(_occurrences, OCCURRENCE).mapInArrow(_counted, OCCURRENCE + ", n bigint")
@@ -352,12 +351,12 @@ def repeated_spans(numbered: DataFrame) -> DataFrame:
     return out
 
 
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeats boolean, removed array<struct<start: int, end: int>>"
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(7)]
         for row in range(len(batch)):
             text = batch.column("text")[row].as_buffer().to_pybytes()
             a, b = (np.array(batch.column(k)[row].as_py() or [], np.int64) for k in ("a", "b"))
@@ -368,9 +367,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest.update(text[at:x])
                 at = y
             digest.update(text[at:])
-            for column, value in zip(out, (batch.column("doc_id")[row].as_py(), len(text), int((b - a).sum()), len(a), digest.hexdigest()), strict=True):
+            for column, value in zip(out, (batch.column("doc_id")[row].as_py(), len(text), int((b - a).sum()), len(a), digest.hexdigest(), len(a) > 0, [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]), strict=True):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        kinds = [*[pa.int64()] * 4, pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "removed"])
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -380,5 +380,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """RESULT: what is removed from every row of docs (doc_id, text), and the digest of what stays."""
-    return with_spans(docs).mapInArrow(_removed, RESULT)
+    """RESULT: what is removed from every row of docs (doc_id, text): its bytes, spans (removed: start, and end after the last
+    byte) and whether there are any (repeats); and the digest of what stays."""
+    with batch_rows(docs.sparkSession, 500):
+        return written(with_spans(docs).mapInArrow(_removed, RESULT), "suffix-result")
