@@ -34,12 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import batch_rows, discard, text_or_empty, written
-from millrace.llm.suffix_dedup import merged
+from millrace.llm.suffix_dedup import _release, merged
+from millrace.llm.words import word_hashes
 
 SHINGLE, MIN_WORDS, FUNCTIONS, ENOUGH = 5, 50, 4, 2
 MIN_SHINGLES = MIN_WORDS - SHINGLE + 1
@@ -50,53 +52,48 @@ WIDTH = 2 * AROUND + 1
 SMALL = 64  # windows of a hash that are compared all with all
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.array([xxhash.xxh64_intdigest(bytes([k]), 3) | 1 for k in range(FUNCTIONS)], np.uint64)
-_KEPT_WORDS = 100_000
 
 
-class Words(dict):
-    """Word to hash; a task's own."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 11)
-        return h
+def texts_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the 5-word shingles of texts (never 0), in one array in which AROUND zeros come before, after and
+    between texts; and where each text begins in it, and a next one would."""
+    words, n_words = word_hashes([x.lower().split() for x in texts])
+    n = np.maximum(0, n_words - SHINGLE + 1)
+    begin = AROUND + np.concatenate([[0], np.cumsum(n + AROUND)])
+    out = np.zeros(begin[-1], np.uint64)
+    h = words[: max(0, len(words) - SHINGLE + 1)].copy()
+    for k in range(1, SHINGLE):
+        h = (h ^ (h >> np.uint64(31))) * _ODD + words[k : k + len(h)]
+    total = int(n.sum())
+    each = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(begin[:-1], n) + each] = h[np.repeat(np.cumsum(n_words) - n_words, n) + each] | np.uint64(1)
+    return out, begin
 
 
-def shingles(text: str, known: Words | None = None) -> np.ndarray:
+def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the 5-word shingles (never 0)."""
-    known = Words() if known is None else known
-    if len(known) > _KEPT_WORDS:
-        known.clear()
-    words = text.lower().split()
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    h = w[:n].copy()
-    for k in range(1, SHINGLE):
-        h = (h ^ (h >> np.uint64(31))) * _ODD + w[k : k + n]
-    return h | np.uint64(1)
+    return texts_shingles([text])[0][AROUND:-AROUND]
 
 
-def compact_windows(h: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(h: np.ndarray, least: int = MIN_SHINGLES, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """lo, c, hi of the nodes of the Cartesian tree of h whose range has at least `least` places. Zeros in h end
-    sequences. Equal least hashes are one node, with its first place."""
+    sequences. Equal least hashes are one node, with its first place. With reach (least - 1 or more), ranges end that
+    far from c, and each of equal least hashes is a node that is the first one of a passage."""
     n = len(h)
     if n < least:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     bits = np.uint64(max(1, n.bit_length()))
-    marked = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
-    table = [marked]
+    low = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
     size = 1
     while size * 2 <= least:
-        m = table[-1]
-        table.append(np.minimum(m[:-size], m[size:]))
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    m = table[-1]
-    low = np.minimum(m[: n - least + 1], m[least - size : least - size + n - least + 1])
-    c = (np.unique(low) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = np.minimum(low[: n - least + 1], low[least - size : least - size + n - least + 1])
+    # the passages of a node follow one another
+    c = (low[np.concatenate([[True], low[1:] != low[:-1]])] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     c = c[h[c] > 0]
     mins, size = [h], 1
-    while size * 2 <= n:
+    while size * 2 <= min(n, n if reach is None else reach):
         mins.append(np.minimum(mins[-1][:-size], mins[-1][size:]))
         size *= 2
     value, lo, hi = h[c], c.copy(), c.copy()
@@ -108,26 +105,22 @@ def compact_windows(h: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarra
         fits = hi + size < n
         fits[fits] = mins[k][hi[fits] + 1] >= value[fits]
         hi += np.where(fits, size, 0)
+    if reach is not None:
+        return np.maximum(lo, c - reach), c, np.minimum(hi, c + reach)
     order = np.lexsort((c, hi, lo))
     lo, c, hi = lo[order], c[order], hi[order]
     first = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(c) else np.zeros(0, bool)
     return lo[first], c[first], hi[first]
 
 
-def _twins(following: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray, least: int = MIN_SHINGLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where a node's shingle occurs again within its range: for each of its places the part of the range in which it is
-    alone, if at least `least` long. These are the windows of passages that repeat in their own text.
-    following: the next place of each place's shingle, or a number beyond all places."""
-    again = np.flatnonzero(following[c] <= hi)
-    at, before, hi = c[again], lo[again] - 1, hi[again]
-    found = []
-    while len(at):
-        after = np.minimum(following[at], hi + 1)
-        fits = after - before - 1 >= least
-        found.append((before[fits] + 1, at[fits], after[fits] - 1))
-        go = following[at] <= hi
-        at, before, hi = following[at[go]], at[go], hi[go]
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+def _alone(v: np.ndarray, lo: np.ndarray, c: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order of v and c: those with the same hash in their range before them keep the part in which they are alone;
+    and which nodes then still hold a passage (so copies in one text count if they don't overlap)."""
+    again = np.concatenate([[False], (v[1:] == v[:-1]) & (c[:-1] >= lo[1:])]) if len(v) else np.zeros(0, bool)
+    before, after = np.concatenate([[-1], c[:-1]]), np.concatenate([c[1:], [0]])
+    more = np.concatenate([(v[1:] == v[:-1]) & (c[1:] <= hi[:-1]), [False]]) if len(v) else again
+    lo, hi = np.where(again, np.maximum(lo, before + 1), lo), np.where(again & more, np.minimum(hi, after - 1), hi)
+    return lo, hi, hi - lo + 1 >= MIN_SHINGLES
 
 
 def _surroundings(h: np.ndarray) -> np.ndarray:
@@ -151,51 +144,45 @@ _WINDOW = ["v", "ctx", "f", "tid", "c", "lo", "hi", "twice"]
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """WINDOW rows; lo and hi are the ends of the range within AROUND of c, relative to c. twice: known to be repeated."""
-    words, gap = Words(), np.zeros(AROUND, np.uint64)
-
-    def made(tids: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        begin = np.cumsum([AROUND, *(len(x) + AROUND for x in found)])
-        whole = np.concatenate([gap, *(y for x in found for y in (x, gap))])
-        order = np.argsort(whole, kind="stable")
-        following = np.full(len(whole), len(whole), np.int64)
-        twin = whole[order[1:]] == whole[order[:-1]]
-        following[order[:-1][twin]] = order[1:][twin]
+
+    def made(tids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        whole, begin = texts_shingles(texts)
         around = _surroundings(whole)
         for f in range(FUNCTIONS):
             h = (whole ^ _SEEDS[f]) * _ODD
             h = (h ^ (h >> np.uint64(32))) * _SEEDS[f]
             h = np.where(whole > 0, h | np.uint64(1), np.uint64(0))
-            nodes = compact_windows(h)
-            lo, c, hi = (np.concatenate(x) for x in zip(nodes, _twins(following, *nodes), strict=True))
-            c, first = np.unique(c, return_index=True)
-            lo, hi = lo[first], hi[first]
+            lo, c, hi = compact_windows(h, reach=AROUND)
             of = np.searchsorted(begin, c, side="right") - 1
+            turn = np.lexsort((c, h[c], of))
+            lo, c, hi, of = lo[turn], c[turn], hi[turn], of[turn]
+            lo, hi, kept = _alone(h[c], lo, c, hi)
             # of those alike in hash and surroundings only two go on; the others are known to be repeated
+            turn = np.flatnonzero(kept)
+            turn = turn[np.lexsort((around[c[turn]], h[c[turn]]))]
+            lo, c, hi, of = lo[turn], c[turn], hi[turn], of[turn]
             v, ctx = h[c], around[c]
-            turn = np.lexsort((ctx, v))
-            v, ctx, lo, c, hi, of = v[turn], ctx[turn], lo[turn], c[turn], hi[turn], of[turn]
-            alike = np.concatenate([[False], (v[1:] == v[:-1]) & (ctx[1:] == ctx[:-1])])
-            twice = alike & np.concatenate([[False], alike[:-1]])
-            v = np.where(twice, np.array(tids, np.uint64)[of] * _ODD, v)
-            columns = [
-                v.view(np.int64), ctx.view(np.int64), np.full(len(c), f, np.int8), np.array(tids, np.int64)[of], (c - begin[of]).astype(np.int32),
-                np.maximum(lo - c, -AROUND).astype(np.int8), np.minimum(hi - c, AROUND).astype(np.int8), twice,
-            ]
+            alike = np.concatenate([[False], (v[1:] == v[:-1]) & (ctx[1:] == ctx[:-1])]) if len(c) else np.zeros(0, bool)
+            twice = alike & np.concatenate([[False], alike[:-1]]) if len(c) else alike
+            tid = np.array(tids, np.int64)[of]
+            v = np.where(twice, tid.view(np.uint64) * _ODD, v)
+            columns = [v.view(np.int64), ctx.view(np.int64), np.full(len(c), f, np.int8), tid, (c - begin[of]).astype(np.int32), (lo - c).astype(np.int8), (hi - c).astype(np.int8), twice]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _WINDOW)
 
     for batch in batches:
-        tids, found, held = [], [], 0
-        for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text"), strict=True):
-            h = shingles(text.as_py(), words)
-            if len(h) >= MIN_SHINGLES:
-                tids.append(tid)
-                found.append(h)
-                held += len(h)
-            if held > 1 << 17:
-                yield from made(tids, found)
-                tids, found, held = [], [], 0
-        if tids:
-            yield from made(tids, found)
+        for tids, texts in _some_texts(batch, "tid"):
+            yield from made(tids, texts)
+
+
+def _some_texts(batch: pa.RecordBatch, *others: str) -> Iterator[tuple]:
+    """The columns others and text of about a MB of texts, or one longer text."""
+    held, first = 0, 0
+    for k, text in enumerate(batch.column("text")):
+        held += len(text.as_buffer())
+        if held > 1 << 20 or k + 1 == len(batch):
+            some = batch.slice(first, k + 1 - first)
+            yield *(some.column(x).to_pylist() for x in others), some.column("text").to_pylist()
+            held, first = 0, k + 1
 
 
 MEMBER = "v bigint, f tinyint, tid bigint, c int, lo tinyint, hi tinyint, exact boolean, n int"
@@ -260,26 +247,40 @@ _CONTEXT = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int3
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text with its windows: the surroundings of those to compare (three bytes a shingle; zero beyond the text's
-    ends), and in rows without a body the spans of shingles that repeat as they stand."""
-    words = Words()
+    ends), and in rows with an empty body the spans of shingles that repeat as they stand."""
+
+    def made(some: pa.RecordBatch) -> pa.RecordBatch:
+        whole, begin = texts_shingles(some.column("text").to_pylist())
+        lists = some.column("windows")
+        kept, of = lists.flatten(), np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy())
+        v, f, lo, hi, exact, n = (kept.field(k).to_numpy(zero_copy_only=False) for k in ("v", "f", "lo", "hi", "exact", "n"))
+        c = kept.field("c").to_numpy() + begin[of]
+        turn = np.argsort(c, kind="stable")
+        v, f, c, lo, hi, exact, n, of = (x[turn] for x in (v, f, c, lo, hi, exact, n, of))
+        tid = some.column("tid").to_numpy()
+        a, b = merged(np.maximum(begin[of[exact]], c[exact] - AROUND), np.minimum(begin[of[exact] + 1] - AROUND, c[exact] + AROUND + 1))
+        in_text = np.searchsorted(begin, a, side="right") - 1
+        go = (n > 0) & (f < FUNCTIONS - ENOUGH + 1) & agreeing(c, f, lo.astype(np.int64), hi.astype(np.int64))
+        marks = np.where(whole > 0, whole >> np.uint64(40) | np.uint64(1), np.uint64(0)).astype("<u4")
+        bodies = marks.view(np.uint8).reshape(-1, 4)[:, :3][c[go][:, None] + np.arange(-AROUND, AROUND + 1)]
+        k, m = int(go.sum()), len(a)
+        offsets = np.concatenate([np.arange(k + 1), np.full(m, k)]).astype(np.int32) * (3 * WIDTH)
+        body = pa.Array.from_buffers(pa.binary(), k + m, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(bodies))])
+        own = tid[of[go]], tid[in_text]
+        none = np.zeros(m, np.int32)
+        columns = [
+            np.concatenate([v[go], own[1] * np.int64(0x9E3779B9)]), np.concatenate(own), np.concatenate([(c - begin[of])[go].astype(np.int32), none]), np.concatenate([n[go], none]),
+            body, *(np.concatenate([np.zeros(k, np.int32), (x - begin[in_text]).astype(np.int32)]) for x in (a, b)),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT, strict=True)], ["v", "tid", "c", "n", "body", "a", "b"])
+
     for batch in batches:
-        for row in range(len(batch)):
-            tid, text, kept = batch.column("tid")[row].as_py(), batch.column("text")[row].as_py(), batch.column("windows").slice(row, 1).flatten()
-            f, c, lo, hi, exact, n = (kept.field(k).to_numpy(zero_copy_only=False) for k in ("f", "c", "lo", "hi", "exact", "n"))
-            v = kept.field("v").to_numpy()
-            turn = np.argsort(c, kind="stable")
-            v, f, c, lo, hi, exact, n = (x[turn] for x in (v, f, c, lo, hi, exact, n))
-            h = shingles(text, words)
-            a, b = merged(np.maximum(0, c[exact] - AROUND), np.minimum(len(h), c[exact] + AROUND + 1))
-            go = (n > 0) & (f < FUNCTIONS - ENOUGH + 1) & agreeing(c, f, lo, hi)
-            padded = np.zeros(len(h) + 2 * AROUND, np.uint32)
-            padded[AROUND : AROUND + len(h)] = h >> np.uint64(40) | np.uint64(1)
-            raw = padded.view(np.uint8).reshape(-1, 4)[:, :3]
-            bodies = [raw[x : x + WIDTH].tobytes() for x in c[go].tolist()]
-            k, m = len(bodies), len(a)
-            keys = np.concatenate([v[go], np.full(m, (tid * 0x9E3779B9) & 0x7FFFFFFFFFFF)])
-            columns = [keys, np.full(k + m, tid, np.int64), np.concatenate([c[go], np.zeros(m)]).astype(np.int32), np.concatenate([n[go], np.zeros(m)]).astype(np.int32), [*bodies, *[None] * m], [*[None] * k, *a.tolist()], [*[None] * k, *b.tolist()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _CONTEXT, strict=True)], ["v", "tid", "c", "n", "body", "a", "b"])
+        held, first = 0, 0
+        for k, text in enumerate(batch.column("text")):
+            held += len(text.as_buffer())
+            if held > 1 << 20 or k + 1 == len(batch):
+                yield made(batch.slice(first, k + 1 - first))
+                held, first = 0, k + 1
 
 
 _PLACES = np.uint64(1) << np.arange(MIN_SHINGLES, dtype=np.uint64)
@@ -437,7 +438,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts)
         v, tid, c = (rows.column(k).to_numpy() for k in ("v", "tid", "c"))
-        raw = np.frombuffer(b"".join(x for x in rows.column("body").to_pylist()), np.uint8).reshape(len(v), WIDTH, 3)
+        raw = np.frombuffer(pa.concat_arrays(rows.column("body").chunks).cast(pa.binary(3 * WIDTH)).buffers()[1], np.uint8)[: len(v) * WIDTH * 3].reshape(len(v), WIDTH, 3)
         x = np.zeros((len(v), WIDTH), np.uint32)
         for k in range(3):
             x |= raw[:, :, k].astype(np.uint32) << np.uint32(8 * k)
@@ -453,10 +454,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        plain = batch.filter(pa.array(batch.column("body").is_null()))
-        if len(plain):
-            yield plain.select(["tid", "a", "b"])
-        batch = batch.filter(pa.array(batch.column("body").is_valid()))
+        plain = pc.equal(pc.binary_length(batch.column("body")), 0)
+        yield batch.filter(plain).select(["tid", "a", "b"])
+        batch = batch.filter(pc.invert(plain))
         if not len(batch):
             continue
         v = batch.column("v").to_numpy()
@@ -472,10 +472,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(numbered: DataFrame) -> DataFrame:
     """tid, a, b (arrays of first words and words after the last) of the texts of numbered (tid, text) that repeat passages."""
     members = written(numbered.mapInArrow(_windows, WINDOW).repartition("v").sortWithinPartitions("v", "ctx").mapInArrow(_members, MEMBER), "passage-members")
+    _release()
     windows = members.groupBy("tid").agg(F.collect_list(F.struct("v", "f", "c", "lo", "hi", "exact", "n")).alias("windows"))
     contexts = windows.join(numbered, "tid").mapInArrow(_contexts, CONTEXT)
     spans = written(contexts.repartition("v").sortWithinPartitions("v", F.desc("n"), "tid", "c").mapInArrow(_compare, SPAN), "passage-spans")
     discard(members)
+    _release()
     return spans.groupBy("tid").agg(F.collect_list("a").alias("a"), F.collect_list(F.col("b") + SHINGLE - 1).alias("b"))
 
 
