@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -315,9 +316,12 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _release() -> None:
-    """Shuffle files whose tables have been written are dropped when the driver collects its garbage."""
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    """Shuffle files whose tables have been written are dropped when the driver collects its garbage: a second time, for what
+    the first one lets go."""
+    for _ in range(2):
+        gc.collect()
+        SparkSession.getActiveSession()._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(numbered: DataFrame) -> DataFrame:
