@@ -143,6 +143,12 @@ def anti_join_downloaded(s, d):
     return _t(s, d, "customer").join(_t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_join_flagged(s, d):
+    flagged = _t(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(s, d, "customer").join(flagged, "c_custkey", "left_anti").select("c_custkey")
+
+
 @query("WITH b AS (SELECT user_id, max(ts) + INTERVAL 1 DAY AS until FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = e.user_id AND b.until > e.ts)")
 def expiring_block_list(s, d):
     events = _t(s, d, "events")
@@ -203,7 +209,7 @@ def ip_numbers(s, d):
 _BYTES = "list_transform(range(1, 40, 2), lambda i: ('0x' || substr({0}, i, 2))::INT)"
 
 
-@query(f"WITH x AS (SELECT s_suppkey, c_custkey, list_transform(list_zip({_BYTES.format('sha1(s_suppkey::VARCHAR)')}, {_BYTES.format('sha1(c_custkey::VARCHAR)')}), lambda p: xor(p[1], p[2])) AS distance FROM supplier, customer WHERE s_suppkey <= 20) SELECT s_suppkey, c_custkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, c_custkey)::INT AS rank FROM x) WHERE rank <= 8")
+@query(f"WITH x AS (SELECT s_suppkey, c_custkey, list_transform(list_zip({_BYTES.format('sha1(s_suppkey::VARCHAR)')}, {_BYTES.format('sha1(c_custkey::VARCHAR)')}), lambda p: xor(p[1], p[2])) AS distance FROM supplier, customer) SELECT s_suppkey, c_custkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, c_custkey)::INT AS rank FROM x) WHERE rank <= 8")
 def xor_nearest_8(s, d):
     targets = _t(s, d, "supplier").select("s_suppkey", F.unhex(F.sha1(F.col("s_suppkey").cast("string"))).alias("target"))
     nodes = _t(s, d, "customer").select("c_custkey", F.unhex(F.sha1(F.col("c_custkey").cast("string"))).alias("node"))
@@ -246,6 +252,11 @@ def counter_residual(s, d):
     return counters.threshold(_t(s, d, "events").filter("event_type = 'error'").groupBy("props").agg(F.count("*").alias("total")))[1]
 
 
+@query("SELECT user_id, props, count(*) AS total FROM events GROUP BY ALL HAVING count(*) < 2")
+def counter_residual_pairs(s, d):
+    return counters.threshold(_t(s, d, "events").groupBy("user_id", "props").agg(F.count("*").alias("total")))[1]
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def hourly_counter(s, d):
     return counters.hourly(_t(s, d, "events"), "ts", "event_type")
@@ -433,6 +444,7 @@ def analyze_tokens(s, d):
     return _t(s, d, "documents").select("doc_id", text.analyzed(F.col("text"), _STOP).alias("terms"))
 
 
+_SPAN_WORDS, _NAME_WORDS = "('the'), ('th'), ('on'), ('ion')", "('red'), ('re'), ('ed'), ('ring'), ('in'), ('dg')"
 _SPANS = "WITH k(w) AS (VALUES ('the'), ('th'), ('on'), ('ion')), s AS (SELECT p_partkey, w, i - 1 AS a, i - 1 + length(w) AS b FROM (SELECT p_partkey, p_name, w, unnest(range(1, greatest(2, length(p_name) - length(w) + 2))) AS i FROM part, k) WHERE lower(substr(p_name, i, length(w))) = w)"
 
 
@@ -443,6 +455,13 @@ def token_merge(s, d):
     return found.select("p_partkey", "t.start", "t.end", "t.word")
 
 
+@query(f"{_SPANS.replace(_SPAN_WORDS, _NAME_WORDS)} SELECT p_partkey, a::INT AS \"start\", b::INT AS \"end\", w AS word FROM s t WHERE NOT EXISTS (SELECT 1 FROM s u WHERE u.p_partkey = t.p_partkey AND NOT (u.a = t.a AND u.b = t.b) AND u.a <= t.a AND u.b >= t.b)")
+def token_merge_names(s, d):
+    words = F.array(*map(F.lit, ("red", "re", "ed", "ring", "in", "dg")))
+    found = _t(s, d, "part").select("p_partkey", F.explode(text.maximal(text.positioned(F.col("p_name"), words))).alias("t"))
+    return found.select("p_partkey", "t.start", "t.end", "t.word")
+
+
 @query("SELECT p_partkey, regexp_replace(p_name, '(?i)(part)', '<span class=''highlight''>\\1</span>', 'g') AS shown FROM part")
 def highlight_names(s, d):
     return _t(s, d, "part").select("p_partkey", text.highlight(F.col("p_name"), F.array(F.lit("part"))).alias("shown"))
@@ -493,6 +512,26 @@ def incremental_index(s, d):
     return index.update(*_index(s, d), changed, _SPEC)[0]
 
 
+_SHOWN = "<span class=''highlight''>"
+
+
+@query(
+    f"SELECT 'Promo' AS query, p_partkey AS doc_id, p_name, NULL::VARCHAR[] AS lines, ['{_SHOWN}PROMO</span>'] AS shown FROM (SELECT * FROM part WHERE p_type = 'PROMO' ORDER BY p_size DESC, p_partkey LIMIT 15 OFFSET 15) "
+    f"UNION ALL SELECT 'red', p_partkey, '{_SHOWN}red</span>' || substr(p_name, 4), [p_type, p_brand], NULL FROM (SELECT * FROM part WHERE p_name LIKE 'red %' ORDER BY p_size, p_partkey DESC LIMIT 15)"
+)
+def search_page(s, d):
+    part = _t(s, d, "part")
+    spec = index.IndexSpec("p_partkey", {"p_name": 10.0, "p_type": 9.0})
+    found = index.build(part, spec)
+    stored = part.select(F.col("p_partkey").alias("doc_id"), "p_size")
+    entities = part.select(F.col("p_partkey").alias("doc_id"), "p_name", F.array("p_type", "p_brand").alias("lines"))
+    pages = []
+    for words, number in (("Promo", 2), ("red", 1_000_000)):
+        page = index.search_page(index.search(*found, words, spec), stored, entities, [F.desc("p_size"), F.asc("doc_id")], number, 15)
+        pages.append(index.rendered(page, "p_name", "lines", index.query_terms(words)).select(F.lit(words).alias("query"), "doc_id", "p_name", "lines", "shown"))
+    return pages[0].unionByName(pages[1])
+
+
 # ---- trees
 
 _LEAVES = "(SELECT l_orderkey AS root, [p_type, p_brand, p_name] AS path, CAST(trunc(l_quantity) AS BIGINT) AS size FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -543,6 +582,17 @@ def rate_limit_windows(s, d):
     return pipelines.rate_limited(events, "ts", "amount", 5, 3600, "event_id", "event_type").select("event_id", "allowed")
 
 
+@query(
+    "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, 1 + event_id % 4 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), "
+    "b AS (SELECT event_id, user_id, i, t + 86400000000 AS due, 5 - n AS rest, true AS allowed FROM e WHERE i = 1 "
+    "UNION ALL SELECT event_id, user_id, i, CASE WHEN t >= due THEN t + 86400000000 ELSE due END, CASE WHEN n <= have THEN have - n ELSE have END, n <= have "
+    "FROM (SELECT e.*, b.due, CASE WHEN e.t >= b.due THEN 5 ELSE b.rest END AS have FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1)) SELECT event_id, allowed FROM b"
+)
+def token_bucket_limit(s, d):
+    events = _t(s, d, "events").select("event_id", "user_id", "ts", (1 + F.col("event_id") % 4).alias("n"))
+    return pipelines.token_bucket(events, "ts", "n", 5, 86_400, "event_id", "user_id").select("event_id", "allowed")
+
+
 @query("WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT user_id, min(ts) AS \"start\", max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM b GROUP BY user_id, g")
 def event_sessions(s, d):
     found = pipelines.sessions(_t(s, d, "events"), "ts", "user_id")
@@ -595,7 +645,7 @@ def wire_decode(s, d):
     return _t(s, d, "customer").select("c_custkey", codecs.wire_json(data).alias("message"))
 
 
-@query("SELECT DISTINCT upper(sha1(repeat(p_name, 2000))) AS infohash, length(p_name) * 2000 AS size FROM part WHERE p_partkey <= 200")
+@query("SELECT DISTINCT upper(sha1(repeat(p_name, 2000))) AS infohash, length(p_name) * 2000 AS size FROM part")
 def piece_reassembly(s, d):
     body = _t(s, d, "part").select(F.encode(F.repeat("p_name", 2000), "UTF-8").alias("body")).select("body", F.unhex(F.sha1("body")).alias("infohash"), F.length("body").alias("total"))
     pieces = body.select("infohash", "total", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.col("total") - 1) / 16384).cast("int")), lambda i: F.substring(F.col("body"), i * 16384 + 1, F.lit(16384)))).alias("piece", "data"))

@@ -51,9 +51,9 @@ def contains_keyword(c: Column, words: Sequence[str], mode: str = "greedy") -> C
         return text.rlike("|".join(map(re.escape, words)))
     each = lambda chars: "".join(f"\\x{{{ord(x):x}}}" for x in sorted(set(chars)))
     heads, inner = each(w[0] for w in words), each(x for w in words for x in w[1:])
-    run = f"[{heads}][{inner}]*" if inner else f"[{heads}]"
-    hit = F.exists(F.sequence(F.lit(1), F.length(text)), lambda i: F.regexp_extract(F.substring(text, i, F.length(text)), f"^{run}", 0).isin(*words))
-    return text.rlike(f"[{heads}]") & F.when(F.length(text) > 0, hit).otherwise(False)
+    # a run longer than the longest word is none, so it needn't be read to its end: one pass over the text
+    run = f"[{heads}][{inner}]{{0,{max(map(len, words))}}}" if inner else f"[{heads}]"
+    return F.arrays_overlap(F.regexp_extract_all(text, F.lit(f"(?=({run}))"), F.lit(1)), F.array(*map(F.lit, words)))
 
 
 def positioned(c: Column, words: Column) -> Column:

@@ -22,9 +22,11 @@ RULES: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def fold(batch: DataFrame, keys: Sequence[str], rules: Mapping[str, str], order: str | None = None) -> DataFrame:
-    """One row a key: what applying the batch's rows in order would give."""
-    if order is None:  # as the rows come
-        batch, order = batch.withColumn("__order", F.monotonically_increasing_id()), "__order"
+    """One row a key: what applying the batch's rows in order would give. Without an order the greatest value of a column
+    counts as its last and the least as its first, so that a rerun gives the same."""
+    if order is None:
+        of = {"overwrite": F.max, "add": F.sum, "sticky": F.bool_or, "insert_only": F.min, "latest": F.max, "replace": F.max}
+        return batch.groupBy(*keys).agg(*(of[rule](c).alias(c) for c, rule in rules.items()))
     by = F.col(order)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), by))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), by))

@@ -13,7 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import analyzed, contains_keyword, query_terms
+from millrace.functions.text import analyzed, contains_keyword, highlight, query_terms
+from millrace.operators.relational import clamped_page
 
 
 @dataclass
@@ -89,6 +90,28 @@ def search(postings: DataFrame, fields_: DataFrame, text: str, spec: IndexSpec)
     return scored.groupBy("doc_id").agg(F.sum(weight * F.col("s") * F.col("hit") / len(terms)).alias("score"))
 
 
+def search_page(hits: DataFrame, stored: DataFrame, entities: DataFrame, order: Sequence[Column], index: int, size: int) -> DataFrame:
+    """A page of hits in the order of their score or of stored columns (the last rows, if it lies beyond the end), each
+    with its entity; of one that is gone only doc_id and the stored columns are left. Of the entities only those of the
+    page are joined, which is what is broadcast: `size` ids."""
+    page = clamped_page(hits.join(stored, "doc_id"), order, index, size)
+    wanted = entities.join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi")
+    return page.join(wanted, "doc_id", "left")
+
+
+def rendered(page: DataFrame, name: str, lines: str, words: Sequence[str], most: int = 3) -> DataFrame:
+    """page with the words marked: in the name, or else in the first `most` lines that hold one (column shown, in the
+    order of `lines`, which then is null)."""
+    keys = F.array(*map(F.lit, words))
+    both = F.transform(F.col(lines), lambda x: F.struct(x.alias("plain"), highlight(x, keys).alias("marked")))
+    each = page.withColumns({"__name": highlight(F.col(name), keys), "__lines": both})
+    each = each.withColumn("__in_name", F.coalesce(F.length("__name") != F.length(name), F.lit(False)))
+    hit = F.transform(F.filter("__lines", lambda x: F.length(x["marked"]) != F.length(x["plain"])), lambda x: x["marked"])
+    by_line = ~F.col("__in_name") & (F.coalesce(F.size("__lines"), F.lit(0)) > 0)
+    out = each.withColumns({"shown": F.when(by_line, F.slice(hit, 1, most)), lines: F.when(~by_line, F.col(lines)), name: F.when(F.col("__in_name"), F.col("__name")).otherwise(F.col(name))})
+    return out.drop("__name", "__lines", "__in_name")
+
+
 def update(postings: DataFrame, fields_: DataFrame, changed: DataFrame, spec: IndexSpec) -> tuple[DataFrame, DataFrame]:
     """The index with the changed rows built anew; rows that may no longer be indexed go."""
     new_postings, new_fields = build(changed, spec)

@@ -55,15 +55,44 @@ def routing_table(sightings: DataFrame, now, *, ttl: str = "15 minutes", capacit
 
 
 def rate_limited(events: DataFrame, time: str, amount: str, capacity: int, seconds: int, order: str, key: str | None = None) -> DataFrame:
-    """events with allowed: a bucket of `capacity` that is full again each interval; what doesn't fit is refused.
-
-    Within an interval the sum of all amounts so far counts, refused ones included."""
+    """events with allowed: quotas of fixed intervals, counted from the epoch. Within an interval the sum of all amounts
+    so far counts, refused ones included; token_bucket() takes only what it allows."""
     slot = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / seconds)
     window = Window.partitionBy(*([key] if key else []), "slot").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
     used = events.withColumn("slot", slot).withColumn("used", F.sum(amount).over(window))
     return used.withColumn("allowed", F.lit(True) if capacity <= 0 else F.col("used") <= capacity)
 
 
+def token_bucket(events: DataFrame, time: str, amount: str, capacity: int, seconds: int, order: str, key: str | None = None) -> DataFrame:
+    """events with allowed: a bucket a key, filled to `capacity` by the first request `seconds` or more after it was last
+    filled. A request that the bucket can't meet is refused and takes nothing; one without a time gets null, one without
+    an amount takes nothing. A capacity of 0 or less allows everything.
+
+    A key's requests pass through one task in order, as the fold needs; it holds an Arrow batch and one bucket, however
+    many they are. Without a key there is one bucket, and one task."""
+    if capacity <= 0:
+        return events.withColumn("allowed", F.lit(True))
+    names, interval = events.columns, seconds * 1_000_000
+    asked = events.select("*", (F.col(key) if key else F.lit(0)).alias("__key"), F.unix_micros(F.col(time).cast("timestamp")).alias("__at"), F.coalesce(F.col(amount), F.lit(0)).alias("__n"))
+
+    def folded(batches):
+        import pyarrow as pa
+
+        held, left, due = object(), 0, None
+        for batch in batches:
+            allowed = []
+            for k, at, n in zip(*(batch.column(c).to_pylist() for c in ("__key", "__at", "__n")), strict=True):
+                if k != held:
+                    held, due = k, None
+                if at is not None and (due is None or at >= due):
+                    left, due = capacity, at + interval
+                allowed.append(None if at is None else n <= left)
+                left -= n if allowed[-1] else 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(allowed, pa.bool_())], names=[*names, "allowed"])
+
+    return asked.repartition("__key").sortWithinPartitions("__key", "__at", order).mapInArrow(folded, events.withColumn("allowed", F.lit(None).cast("boolean")).schema)
+
+
 def blocked_until(errors: DataFrame, key: str, time: str, ttl: str = "1 day") -> DataFrame:
     return errors.groupBy(key).agg((F.max(time) + F.expr(f"INTERVAL {ttl}")).alias("until"))
 

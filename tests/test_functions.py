@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -110,6 +110,26 @@ def test_keyword_filter(spark, mode, want):
     assert {r.c: r.hit for r in got} == want
 
 
+@given(st.lists(st.text("abx\u00e9\U0001f600", min_size=1, max_size=3), min_size=1, max_size=4), st.text("abxy\u00e9\U0001f600\n", max_size=12))
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_greedy_keywords_equal_brute_force(spark, words, value):
+    heads, inner = {w[0] for w in words}, {x for w in words for x in w[1:]}
+
+    def hit(i):
+        j = i + 1
+        while j < len(value) and value[j] in inner:
+            j += 1
+        return value[i] in heads and value[i:j] in words
+
+    got = spark.range(1).select(text.contains_keyword(F.lit(value), words)).first()[0]
+    assert got == any(map(hit, range(len(value))))
+
+
+def test_greedy_keywords_of_a_long_text(spark):
+    long = F.repeat(F.lit("ab"), 1_000_000)
+    assert tuple(spark.range(1).select(text.contains_keyword(long, ["ab", "xb"]), text.contains_keyword(F.concat(long, F.lit(" ab")), ["ab", "ba"])).first()) == (True, True)
+
+
 def test_tokens_and_highlight(spark):
     row = spark.createDataFrame([("One abcdefghijklmnopq Two the",)], "c string").select(
         text.analyzed(F.col("c"), ["THE"]).alias("a"), text.analyzed(F.col("c"), truncate_at_long_token=True).alias("b"), text.highlight(F.lit("abcd xbc"), F.array(F.lit("ab"), F.lit("bc"), F.lit("abc"))).alias("h"),

@@ -138,3 +138,40 @@ def test_nearest_refuses_unbounded_targets(spark):
     ids = spark.createDataFrame([(b"a",), (b"b",)], "x binary")
     with pytest.raises(ValueError):
         relational.nearest_by_xor(ids.withColumnRenamed("x", "t"), ids, target="t", node="x", max_targets=1)
+
+
+def test_token_bucket_takes_only_what_it_allows(spark):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [(1, "a", at(0), 4), (2, "a", at(1), 3), (3, "a", at(1), 1), (4, "a", at(9), 1), (5, "a", at(10), 5), (6, "a", at(19), 1), (7, "b", at(1), 6), (8, "b", at(2), 5), (9, None, at(0), 5), (10, "b", None, 1), (11, "b", at(3), None)]
+    events = spark.createDataFrame(rows, "id int, k string, ts timestamp, n int")
+    got = {r.id: r.allowed for r in pipelines.token_bucket(events, "ts", "n", 5, 600, "id", "k").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: False, 7: False, 8: True, 9: True, 10: None, 11: True}
+    assert {r.allowed for r in pipelines.token_bucket(events, "ts", "n", 0, 600, "id").collect()} == {True}
+    assert pipelines.token_bucket(events.limit(0), "ts", "n", 5, 600, "id").count() == 0
+
+
+def test_token_bucket_over_many_batches(spark):
+    events = spark.range(30_000).select("id", F.timestamp_seconds("id").alias("ts"), F.lit(1).alias("n"), F.lit("hot").alias("k"))
+    got = [r.allowed for r in pipelines.token_bucket(events, "ts", "n", 3, 10, "id", "k").orderBy("id").collect()]
+    assert got == [i % 10 < 3 for i in range(30_000)]
+
+
+def test_search_page_and_rendering(spark):
+    hits = spark.createDataFrame([(i, 1.0) for i in range(1, 8)], "doc_id long, score double")
+    stored = hits.select("doc_id", (F.col("doc_id") % 2).alias("hot"))
+    rows = [(1, "red fox", ["x"]), (2, "fox", ["a red b", "c", "RED", "red red", "red"]), (3, "fox", []), (4, None, None), (5, "fox", ["none"])]
+    entities = spark.createDataFrame(rows, "doc_id long, name string, files array<string>")
+    page = lambda n, size: index.search_page(hits, stored, entities, [F.desc("hot"), F.asc("doc_id")], n, size)
+    assert [sorted(r.doc_id for r in page(n, 3).collect()) for n in (1, 2, 3, 9)] == [[1, 3, 5], [2, 4, 7], [6], [2, 4, 6]]
+    assert sorted(r.doc_id for r in page(5, 20).collect()) == [1, 2, 3, 4, 5, 6, 7]
+    got = {r.doc_id: (r.name, r.files, r.shown) for r in index.rendered(page(1, 20), "name", "files", ["red"]).collect()}
+    m = lambda x: f"<span class='highlight'>{x}</span>"
+    assert got[1] == (f"{m('red')} fox", ["x"], None) and got[2] == ("fox", None, [f"a {m('red')} b", m("RED"), f"{m('red')} {m('red')}"])
+    assert got[3] == ("fox", [], None) and got[4] == (None, None, None) and got[5] == ("fox", None, []) and got[7] == (None, None, None)
+
+
+def test_fold_without_order_is_the_same_on_any_partitioning(spark):
+    rows = spark.range(200).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"), F.col("id").alias("b"))
+    rules = {"a": "overwrite", "b": "insert_only"}
+    each = [sorted(map(tuple, merge.fold(rows.repartition(n), ["k"], rules).collect())) for n in (1, 7)]
+    assert each[0] == each[1] == [(0, 198, 0), (1, 199, 1), (2, 197, 2)]
