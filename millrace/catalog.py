@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from millrace.functions import codecs, network, scalars, text
 from millrace.operators import counters, merge, relational, trees
 from millrace.plans import index
 from millrace.sources import files
-from millrace.streaming import pipelines
+from millrace.streaming import handlers, pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,10 +212,7 @@ _BYTES = "list_transform(range(1, 40, 2), lambda i: ('0x' || substr({0}, i, 2)):
 def xor_nearest_8(s, d):
     targets = _t(s, d, "supplier").select("s_suppkey", F.unhex(F.sha1(F.col("s_suppkey").cast("string"))).alias("target"))
     nodes = _t(s, d, "customer").select("c_custkey", F.unhex(F.sha1(F.col("c_custkey").cast("string"))).alias("node"))
-    blocks = -(-targets.count() // 2048)  # of some 2048 targets, within the operator's limit
-    block = F.pmod(F.xxhash64("target"), F.lit(max(1, blocks)))
-    found = [relational.nearest_by_xor(targets.filter(block == k), nodes, target="target", node="node") for k in range(max(1, blocks))]
-    return reduce(DataFrame.unionByName, found).select("s_suppkey", "c_custkey", "rank")
+    return relational.nearest_of_all(targets, nodes, target="target", node="node").select("s_suppkey", "c_custkey", "rank")
 
 
 @query("SELECT event_id, (user_id::BIGINT * 65536) + (event_id % 65536) AS endpoint FROM events")
@@ -366,6 +362,20 @@ def delete_by_keys(s, d):
     return merge.delete_keys(_t(s, d, "customer").select("c_custkey", "c_name"), _t(s, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), ["c_custkey"])
 
 
+@query("SELECT o_orderkey AS id, CASE WHEN l.n IS NULL THEN [o_orderpriority] ELSE l.files END AS files FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, list_sort(list(DISTINCT l_linestatus)) AS files FROM lineitem WHERE l_quantity > 25 GROUP BY 1) l ON l_orderkey = o_orderkey")
+def upsert_files(s, d):
+    old = _t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("files"))
+    new = _t(s, d, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_linestatus")).alias("files"))
+    return merge.merge(old, new, ["id"], merge.FILES)
+
+
+@query("SELECT e.event_type AS key, CASE WHEN b.n IS NULL THEN e.n ELSE b.n END AS num, CASE WHEN b.n IS NULL THEN e.t ELSE b.t END AS updatetime FROM (SELECT event_type, count(*) AS n, max(ts) AS t FROM events GROUP BY 1) e LEFT JOIN (SELECT event_type, count(*) AS n, min(ts) AS t FROM events WHERE event_type <> 'view' GROUP BY 1) b USING (event_type)")
+def upsert_statistics(s, d):
+    events = _t(s, d, "events")
+    count = lambda df, t: df.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("num"), t("ts").alias("updatetime"))
+    return merge.merge(count(events, F.max), count(events.filter("event_type <> 'view'"), F.min), ["key"], merge.STATISTICS)
+
+
 # ---- scalars
 
 _SIZE = "CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 THEN {0} || 'KB' WHEN b < 1073741824 THEN {1} || 'MB' ELSE {2} || 'GB' END"
@@ -414,14 +424,23 @@ def date_formats(s, d):
     return _t(s, d, "orders").select("o_orderkey", F.date_format(t, "yyyy-MM-dd-HH").alias("hour"), (t + F.expr("INTERVAL 1 DAY")).alias("next_day"), F.date_trunc("day", t).cast("timestamp_ntz").alias("day"))
 
 
+@query("SELECT s_suppkey, rtrim(regexp_replace(upper(sha1(s_suppkey::VARCHAR)), '(..)', '\\1-', 'g'), '-') AS dashed, upper(substr(sha1(s_suppkey::VARCHAR), 9, 8)) AS part, ('0x' || substr(sha1(s_suppkey::VARCHAR), 9, 8))::BIGINT AS number, upper(substr(sha1(s_suppkey::VARCHAR), 9, 8)) AS packed, s_suppkey % 2 = 0 AS empty FROM supplier")
+def byte_functions(s, d):
+    raw = scalars.from_hex(F.sha1(F.col("s_suppkey").cast("string")))
+    part = scalars.slice_bytes(raw, 4, 4)
+    number = scalars.int_of_bytes(part)
+    none = F.filter(F.array("s_suppkey"), lambda k: k % 2 == 1)
+    return _t(s, d, "supplier").select("s_suppkey", scalars.dashed(raw).alias("dashed"), scalars.to_hex(part).alias("part"), number.alias("number"), scalars.to_hex(scalars.bytes_of_int(number)).alias("packed"), scalars.is_empty(none).alias("empty"))
+
+
 # ---- text
 
 _KEYS = ["the", "tha", "than", "erth", "on"]
 
 
-def _greedy_sql(column: str) -> str:
-    heads, inner = "".join(sorted({w[0] for w in _KEYS})), "".join(sorted({c for w in _KEYS for c in w[1:]}))
-    words = ", ".join(f"'{w}'" for w in _KEYS)
+def _greedy_sql(column: str, keys: list[str] = _KEYS) -> str:
+    heads, inner = "".join(sorted({w[0] for w in keys})), "".join(sorted({c for w in keys for c in w[1:]}))
+    words = ", ".join(f"'{w}'" for w in keys)
     return f"len(list_filter(range(1, length({column}) + 1), lambda i: regexp_extract(substr({column}, i), '^[{heads}][{inner}]*') IN ({words}))) > 0"
 
 
@@ -482,6 +501,15 @@ def postings(s, d):
     return _index(s, d)[0]
 
 
+_BLOCKED, _DEMOTED = ["ring", "blue"], ["red", "on"]
+
+
+@query(f"SELECT p_partkey AS doc_id, field, len(string_split(p, ' ')) AS length, CASE WHEN {_greedy_sql('p', _DEMOTED)} THEN 0.1 ELSE boost END::DOUBLE AS boost FROM (SELECT p_partkey, 'p_name' AS field, p_name AS p, 10.0 AS boost FROM part WHERE NOT {_greedy_sql('p_name', _BLOCKED)} AND NOT {_greedy_sql('p_type', _BLOCKED)} UNION ALL SELECT p_partkey, 'p_type', p_type, 9.0 FROM part WHERE NOT {_greedy_sql('p_name', _BLOCKED)} AND NOT {_greedy_sql('p_type', _BLOCKED)})")
+def document_build(s, d):
+    spec = index.IndexSpec("p_partkey", {"p_name": 10.0, "p_type": 9.0}, blocked=_BLOCKED, demoted=_DEMOTED)
+    return index.build(_t(s, d, "part"), spec)[1]
+
+
 @query(f"SELECT field, term, count(*) AS df FROM ({_POSTINGS}) GROUP BY ALL")
 def doc_freq(s, d):
     return index.document_frequency(_index(s, d)[0])
@@ -561,6 +589,13 @@ def tree_depth_listing(s, d):
     return trees.listing(trees.rollup(_leaves(s, d), "root", "path", "size"), "root").select("root", "node", "indent")
 
 
+@query("SELECT root, path, arg_max(size, size)::BIGINT AS size FROM (SELECT l_orderkey AS root, string_split(CASE WHEN l_linenumber % 3 = 0 THEN '_____padding_file_' || l_linenumber WHEN l_linenumber % 2 = 0 THEN l_linestatus ELSE l_linestatus || '/' || l_returnflag || '/' || l_linenumber END, '/') AS path, l_partkey AS size, l_linenumber FROM lineitem) WHERE path[-1] NOT LIKE '\\_\\_\\_\\_\\_padding\\_file%' ESCAPE '\\' GROUP BY ALL")
+def paths_to_tree(s, d):
+    name = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(trees.PADDING + "_"), "l_linenumber")).when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise(F.concat_ws("/", "l_linestatus", "l_returnflag", "l_linenumber"))
+    leaves = trees.from_paths(_t(s, d, "lineitem").select(F.col("l_orderkey").alias("root"), name.alias("name"), F.col("l_partkey").cast("bigint").alias("size")), "root", "name", "size")
+    return leaves.filter(trees.not_padding(F.col("path")))
+
+
 # ---- streams, as batches
 
 
@@ -628,6 +663,44 @@ def transaction_ids(s, d):
     return scalars.transaction_pool(s, [0, 1, 2])
 
 
+_NEAR = f"list_transform(list_zip({_BYTES.format('sha1(s_suppkey::VARCHAR)')}, {_BYTES.format('sha1(c_custkey::VARCHAR)')}), lambda p: xor(p[1], p[2]))"
+
+
+@query(
+    f"WITH x AS (SELECT s_suppkey, c_custkey, {_NEAR} AS distance FROM supplier, customer WHERE s_suppkey % 5 IN (1, 2) AND c_custkey % 7 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY distance) AS rank FROM x), "
+    "n AS (SELECT s_suppkey, string_agg(upper(sha1(c_custkey::VARCHAR)) || upper(printf('%08x%04x', c_custkey * 2654435761 % 4294967296, c_custkey % 7)), '' ORDER BY rank) AS nodes FROM r WHERE rank <= 8 GROUP BY 1) "
+    "SELECT s_suppkey AS request, upper(substr(sha1(s_name), 1, 20) || substr(sha1('own'), 21, 20)) AS id, nodes, CASE WHEN s_suppkey % 5 = 2 THEN upper(substr(sha1(s_suppkey::VARCHAR), 1, 2)) END AS token FROM supplier LEFT JOIN n USING (s_suppkey) WHERE s_suppkey % 5 < 4"
+)
+def request_replies(s, d):
+    key, commands = F.col("s_suppkey"), F.array(*map(F.lit, ("ping", "find_node", "get_peers", "announce_peer", "vote")))
+    requests = _t(s, d, "supplier").select(key.alias("request"), commands[(key % 5).cast("int")].alias("command"), F.unhex(F.sha1("s_name")).alias("sender"), F.unhex(F.sha1(key.cast("string"))).alias("target"))
+    node = F.col("c_custkey")
+    nodes = _t(s, d, "customer").select(F.unhex(F.sha1(node.cast("string"))).alias("node_id"), F.pmod(node * F.lit(2654435761).cast("bigint"), F.lit(4294967296).cast("bigint")).alias("ip"), (node % 7).alias("port"))
+    out = handlers.replies(requests, nodes, F.unhex(F.sha1(F.lit("own"))))
+    return out.select("request", F.hex("id").alias("id"), F.hex("nodes").alias("nodes"), "token")
+
+
+@query(
+    f"WITH r AS ({_RANGES}), e AS (SELECT event_id, {_IP} AS a, {_IP.replace('event_id', 'user_id::BIGINT')} AS b, (event_id % 97)::INT AS port FROM events), v AS (SELECT event_id, a AS ip, port FROM e WHERE event_id % 3 < 2 UNION SELECT event_id, b, port FROM e WHERE event_id % 3 = 0), "
+    "p AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE ip BETWEEN r.\"start\" AND r.\"end\")) SELECT event_id, NULL::VARCHAR AS node_id, ip, port FROM p "
+    "UNION ALL SELECT event_id, upper(sha1(event_id::VARCHAR)), a, port FROM e WHERE event_id % 2 = 0 AND port <> 0 AND event_id NOT IN (SELECT event_id FROM p)"
+)
+def response_peers(s, d):
+    at = lambda k: network.to_compact(F.pmod(F.col(k).cast("bigint") * F.lit(2654435761).cast("bigint"), F.lit(4294967296).cast("bigint")), F.col("event_id") % 97)
+    key = F.col("event_id")
+    values = F.when(key % 3 == 0, F.array(at("event_id"), at("user_id"))).when(key % 3 == 1, F.array(at("event_id")))
+    nodes = F.when(key % 2 == 0, F.concat(F.unhex(F.sha1(key.cast("string"))), at("event_id")))
+    peers, rest = handlers.found(_t(s, d, "events").select("event_id", values.alias("values"), nodes.alias("nodes")), "event_id")
+    return peers.select("event_id", F.lit(None).cast("string").alias("node_id"), "ip", "port").unionByName(rest.withColumn("node_id", F.hex("node_id")))
+
+
+@query("SELECT word, count(*) AS num, max(ts) AS last_search_time FROM (SELECT CASE WHEN event_id % 5 = 0 THEN ' ' ELSE event_type END AS word, event_id % 3 AS page, event_id % 7 = 0 AS bot, ts FROM events) WHERE page = 1 AND word <> ' ' AND NOT bot GROUP BY 1")
+def search_log(s, d):
+    key = F.col("event_id")
+    word, agent = F.when(key % 5 == 0, " ").otherwise(F.col("event_type")), F.when(key % 7 == 0, "Mozilla/5.0 (compatible; Bingbot/2.0)")
+    return handlers.searched(_t(s, d, "events").select(word.alias("word"), (key % 3).alias("page"), agent.alias("agent"), "ts"))
+
+
 @query("SELECT '<?xml version=\"1.0\" encoding=\"utf-8\"?><urlset><url><loc>http://x/</loc><lastmod>' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') || '</lastmod></url></urlset>' AS xml FROM orders")
 def sitemap(s, d):
     return files.sitemap(_t(s, d, "orders"), "http://x/", "o_orderdate")
@@ -645,6 +718,15 @@ def wire_decode(s, d):
     return _t(s, d, "customer").select("c_custkey", codecs.wire_json(data).alias("message"))
 
 
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '{\"kind\": \"extended_handshake\", \"metadata_size\": ' || p_size || ', \"ut_metadata\": 3}' WHEN 1 THEN '{\"kind\": \"request\", \"piece\": ' || p_size || '}' ELSE '{\"kind\": \"data\", \"piece\": ' || p_size || ', \"total_size\": ' || p_partkey || ', \"body\": \"' || lower(hex(p_name)) || '\"}' END AS message FROM part")
+def wire_extended(s, d):
+    size, kind = F.col("p_size"), F.col("p_partkey") % 3
+    head = F.when(kind == 0, F.format_string("d1:md11:ut_metadatai3ee13:metadata_sizei%dee", size)).when(kind == 1, F.format_string("d8:msg_typei0e5:piecei%dee", size))
+    head = head.otherwise(F.format_string("d8:msg_typei1e5:piecei%de10:total_sizei%dee", size, F.col("p_partkey")))
+    body = F.encode(F.concat(head, F.when(kind == 2, F.col("p_name")).otherwise("")), "UTF-8")
+    return _t(s, d, "part").select("p_partkey", codecs.wire_json(F.concat(F.unhex(F.when(kind == 0, "1400").otherwise("1403")), body)).alias("message"))
+
+
 @query("SELECT DISTINCT upper(sha1(repeat(p_name, 2000))) AS infohash, length(p_name) * 2000 AS size FROM part")
 def piece_reassembly(s, d):
     body = _t(s, d, "part").select(F.encode(F.repeat("p_name", 2000), "UTF-8").alias("body")).select("body", F.unhex(F.sha1("body")).alias("infohash"), F.length("body").alias("total"))

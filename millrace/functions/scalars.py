@@ -86,6 +86,11 @@ def xor_distance(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: byte(a, i).bitwiseXOR(byte(b, i)))).otherwise(F.array().cast("array<int>"))
 
 
+def dashed(infohash: Column) -> Column:
+    """Upper hex of bytes, a dash between each two."""
+    return F.regexp_replace(F.hex(infohash), "(..)(?=.)", "$1-")
+
+
 def mixed_id(target: Column, own: Column) -> Column:
     """The first ten bytes of target and the last ten of own."""
     return F.concat(F.substring(target, 1, 10), F.substring(own, 11, 10))

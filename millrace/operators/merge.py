@@ -63,6 +63,7 @@ INGEST = {"name": "replace", "filenum": "replace", "filesize": "replace", "creat
 KEYWORD = {"num": "add", "isdanger": "replace"}
 SEARCH = {"num": "add", "last_search_time": "latest"}
 VISIT = {"visit_time": "latest"}
+FILES = {"files": "replace"}
 STATISTICS = {"num": "replace", "updatetime": "replace"}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +119,13 @@ def nearest_by_xor(targets: DataFrame, nodes: DataFrame, *, target: str, node: s
     return top_per_group(pairs, [target], [F.asc("distance"), F.asc(node)], n)
 
 
+def nearest_of_all(targets: DataFrame, nodes: DataFrame, *, target: str, node: str, n: int = 8, block: int = 2048) -> DataFrame:
+    """nearest_by_xor() for any number of targets, in blocks of some `block` of them."""
+    blocks = max(1, -(-targets.count() // block))
+    number = F.pmod(F.xxhash64(target), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [nearest_by_xor(targets.filter(number == k), nodes, target=target, node=node, n=n) for k in range(blocks)])
+
+
 def merge_distinct(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:

@@ -14,6 +14,11 @@ def not_padding(path: Column) -> Column:
     return ~F.element_at(path, -1).startswith(PADDING)
 
 
+def from_paths(files: DataFrame, root: str, name: str, size: str) -> DataFrame:
+    """root, path, size of a leaf for each name, split at slashes; of a name that a root holds twice the greatest size."""
+    return files.groupBy(root, F.split(name, "/").alias("path")).agg(F.max(size).alias("size"))
+
+
 def ancestors(path: Column) -> Column:
     """Every prefix of a path, the whole path last."""
     return F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.slice(path, 1, i))
