@@ -308,8 +308,17 @@ def search_history(s, d):
 @query("SELECT e.event_id, e.user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AS might_contain FROM events e")
 def bloom_membership(s, d):
     events = _t(s, d, "events")
-    bloom = counters.bloom_filter(events.filter("event_type = 'purchase'").select("user_id").distinct(), "user_id")
-    return counters.bloom_might_contain(events.select("event_id", "user_id"), "user_id", bloom).select("event_id", "might_contain")
+    members = events.filter("event_type = 'purchase'").select("user_id").distinct()
+    size = counters.bloom_size(members.count(), 1e-6)  # so seldom wrong that it equals the exact test here
+    return counters.bloom_might_contain(events.select("event_id", "user_id"), "user_id", counters.bloom_filter(members, "user_id", *size), *size).select("event_id", "might_contain")
+
+
+@query("SELECT o_orderkey, o_orderkey IN (SELECT user_id FROM events) AS might_contain FROM orders")
+def bloom_of_orders(s, d):
+    members = _t(s, d, "events").select(F.col("user_id").cast("bigint").alias("o_orderkey")).distinct()
+    size = counters.bloom_size(members.count(), 1e-9)
+    orders = _t(s, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    return counters.bloom_might_contain(orders, "o_orderkey", counters.bloom_filter(members, "o_orderkey", *size), *size)
 
 
 # ---- merges
