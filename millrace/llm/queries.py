@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk
+from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
 from millrace.llm.common import documents, scratch
 
 
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.op13_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
@@ -75,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op1_topk": OP1_SQL, "op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
