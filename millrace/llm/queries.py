@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
+from millrace.llm import bpe_automaton, chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
 from millrace.llm.common import documents, scratch
 
 
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.op12_rows(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.op13_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 

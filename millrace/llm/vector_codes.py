@@ -35,6 +35,8 @@ from millrace.llm.common import written
 Codebooks = dict[int, np.ndarray]
 
 LARGEST = 1 << 26
+#: Listed entries that are measured at once.
+STEP = 16
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, *, id: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
@@ -69,19 +71,25 @@ class OrchardLists:
         at = np.zeros(len(x), np.int64)
         open_ = np.arange(len(x))
         while len(open_):
-            mine, place = best[open_], at[open_]
+            place = at[open_]
             on = place < n
-            on[on] = self.far[mine[on], place[on]] <= 4 * distance[open_[on]]
-            open_, mine, place = open_[on], mine[on], place[on]
-            entry = self.order[mine, place]
-            at[open_] += 1
-            new = ~met[open_, entry]
-            rows, entry, mine = open_[new], entry[new], mine[new]
-            met[rows, entry] = True
-            d = ((x[rows] - self.entries[entry]) ** 2).sum(1)
-            nearer = (d < distance[rows]) | ((d == distance[rows]) & (entry < mine))
-            rows = rows[nearer]
-            best[rows], distance[rows], at[rows] = entry[nearer], d[nearer], 0
+            open_, place = open_[on], place[on]
+            on = self.far[best[open_], place] <= 4 * distance[open_]
+            open_, place = open_[on], place[on]
+            # a few listed entries at a time, of which those met before are left out
+            some = self.order[best[open_][:, None], np.minimum(place[:, None] + np.arange(STEP), n - 1)]
+            row, column = np.nonzero(~met[open_[:, None], some])
+            entry = some[row, column]
+            met[open_[row], entry] = True
+            apart = x[open_[row]] - self.entries[entry]
+            measured = np.full(some.shape, np.iinfo(np.int64).max)
+            measured[row, column] = np.einsum("ij,ij->i", apart, apart)
+            least = measured.min(1)
+            which = np.where(measured == least[:, None], some, n).min(1)
+            nearer = (least < distance[open_]) | ((least == distance[open_]) & (which < best[open_]))
+            at[open_] = place + STEP
+            rows = open_[nearer]
+            best[rows], distance[rows], at[rows] = which[nearer], least[nearer], 0
         return best, distance
 
 
