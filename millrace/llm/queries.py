@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe_automaton, chat_format, decontaminate, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
+from millrace.llm import bpe_automaton, chat_format, decontaminate, lexical_tree, mixing, mixing_sql, passage_dedup, quality, simhash, suffix_dedup, token_counts, token_files, topk, vector_codes
 from millrace.llm.common import documents, scratch
 
 
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_lexical_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_tree.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.op12_rows(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
+    return {"op1_topk": OP1_SQL, "op8_mixing": mixing_sql.OP8_SQL, "op9_chat_format": chat_format.OP9_SQL, "op11_lexical_tree": lexical_tree.OP11_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
