@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_or_empty
+from millrace.llm.common import batch_rows, text_or_empty, written
 
 #: The split pattern of the word-level file, and the same for lower-case ASCII without white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,7 +45,7 @@ _PLAIN = re.compile(r"[!-~]+")
 _LIBRARY_SPLIT, _OTHER_SPACE = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x1c-\x1f]")
 #: Longer words go through the tables one at a time.
 _LONG = 64
-_KEPT = 400_000
+_KEPT = 200_000
 
 
 class Automaton:
@@ -249,8 +249,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.stretch, self.word = _Numbers(), _Numbers()
-        self.flat, self.sizes, self.starts = (np.zeros(0, np.int64) for _ in range(3))
-        self.word_flat, self.word_sizes, self.word_starts = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.word_flat = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.sizes, self.starts, self.word_sizes, self.word_starts = (np.zeros(0, np.int64) for _ in range(4))
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.stretch) > _KEPT or len(self.word) > _KEPT:
@@ -290,12 +290,12 @@ class Encoder:
             asked, self.word.new = self.word.new, []
             ids, counts = self.automaton.words(asked)
             begin = len(self.word_flat) + np.cumsum(counts) - counts
-            self.word_flat, self.word_sizes, self.word_starts = np.concatenate([self.word_flat, ids]), np.concatenate([self.word_sizes, counts]), np.concatenate([self.word_starts, begin])
+            self.word_flat, self.word_sizes, self.word_starts = np.concatenate([self.word_flat, ids.astype(np.int32)]), np.concatenate([self.word_sizes, counts]), np.concatenate([self.word_starts, begin])
         special = numbers < 0
         sizes = np.ones(len(numbers), np.int64)
         sizes[~special] = self.word_sizes[numbers[~special]]
         ends = np.cumsum(sizes)
-        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
         ids[(ends - 1)[special]] = -1 - numbers[special]
         mine = np.repeat(~special, sizes)
         ids[mine] = _gathered(self.word_flat, self.word_starts[numbers[~special]], self.word_sizes[numbers[~special]])
@@ -342,7 +342,8 @@ def compiled(path: str) -> Automaton:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with ids in place of the text. The automaton is compiled once and broadcast: its size hangs on the file only."""
+    """docs with ids in place of the text. The automaton is compiled once and broadcast: its size hangs on the file only.
+    Run it under batch_rows() where texts are long, for a worker holds an Arrow batch of them."""
     tables = docs.sparkSession.sparkContext.broadcast(compiled(path))
     kept = [c for c in docs.columns if c != text]
 
@@ -401,4 +402,6 @@ def op12_rows(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of docs (doc_id, text)."""
     both = decoded(encoded(docs.select("doc_id", "text"), path), path)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    digests = both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with batch_rows(docs.sparkSession, 200):
+        return written(digests, "bpe-digests")
