@@ -532,16 +532,6 @@ def boolean_search(s, d):
     return index.matches(_index(s, d)[0], index.query_terms("Edst to a")).select("doc_id", "field").distinct()
 
 
-@query(
-    f"{_HITS}, f AS (SELECT doc_id, 'text' AS field, len({_ANALYZED.format('text')}) AS length, 10.0::DOUBLE AS boost FROM documents UNION ALL SELECT doc_id, 'source', len({_ANALYZED.format('source')}), 9.0 FROM documents), "
-    "df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), "
-    "s AS (SELECT h.doc_id, h.field, sum(sqrt(tf) * pow(1 + ln(n.n / (df.df + 1)), 2) * boost / sqrt(length)) AS s, count(*) AS hit FROM h JOIN m USING (doc_id, field) JOIN df USING (field, term) JOIN f USING (doc_id, field), n GROUP BY ALL) "
-    "SELECT doc_id, round(sum(CASE field WHEN 'text' THEN 100.0 ELSE 1.0 END * s * hit / 3), 4) AS score FROM s GROUP BY 1"
-)
-def ranked_search(s, d):
-    return index.search(*_index(s, d), "Edst to a", _SPEC).select("doc_id", F.round("score", 4).alias("score"))
-
-
 @query(f"SELECT doc_id, field, term, count(*) AS tf FROM (SELECT doc_id, 'text' AS field, unnest({_ANALYZED.format('text')}) AS term FROM documents UNION ALL SELECT doc_id, 'source', unnest({_ANALYZED.format('source')}) FROM documents) WHERE doc_id % 2 = 1 GROUP BY ALL UNION ALL SELECT doc_id, 'text', 'changed', 1 FROM documents WHERE doc_id % 2 = 0")
 def incremental_index(s, d):
     docs = _t(s, d, "documents").select("doc_id", "text", "source")
@@ -549,26 +539,6 @@ def incremental_index(s, d):
     return index.update(*_index(s, d), changed, _SPEC)[0]
 
 
-_SHOWN = "<span class=''highlight''>"
-
-
-@query(
-    f"SELECT 'Promo' AS query, p_partkey AS doc_id, p_name, NULL::VARCHAR[] AS lines, ['{_SHOWN}PROMO</span>'] AS shown FROM (SELECT * FROM part WHERE p_type = 'PROMO' ORDER BY p_size DESC, p_partkey LIMIT 15 OFFSET 15) "
-    f"UNION ALL SELECT 'red', p_partkey, '{_SHOWN}red</span>' || substr(p_name, 4), [p_type, p_brand], NULL FROM (SELECT * FROM part WHERE p_name LIKE 'red %' ORDER BY p_size, p_partkey DESC LIMIT 15)"
-)
-def search_page(s, d):
-    part = _t(s, d, "part")
-    spec = index.IndexSpec("p_partkey", {"p_name": 10.0, "p_type": 9.0})
-    found = index.build(part, spec)
-    stored = part.select(F.col("p_partkey").alias("doc_id"), "p_size")
-    entities = part.select(F.col("p_partkey").alias("doc_id"), "p_name", F.array("p_type", "p_brand").alias("lines"))
-    pages = []
-    for words, number in (("Promo", 2), ("red", 1_000_000)):
-        page = index.search_page(index.search(*found, words, spec), stored, entities, [F.desc("p_size"), F.asc("doc_id")], number, 15)
-        pages.append(index.rendered(page, "p_name", "lines", index.query_terms(words)).select(F.lit(words).alias("query"), "doc_id", "p_name", "lines", "shown"))
-    return pages[0].unionByName(pages[1])
-
-
 # ---- trees
 
 _LEAVES = "(SELECT l_orderkey AS root, [p_type, p_brand, p_name] AS path, CAST(trunc(l_quantity) AS BIGINT) AS size FROM lineitem JOIN part ON l_partkey = p_partkey)"

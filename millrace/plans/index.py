@@ -40,14 +40,20 @@ def documents(df: DataFrame, spec: IndexSpec) -> DataFrame:
     return df
 
 
-def build(df: DataFrame, spec: IndexSpec) -> tuple[DataFrame, DataFrame]:
-    """(postings, fields). One pass a field; the only shuffle counts terms by document."""
+def analysed(df: DataFrame, spec: IndexSpec) -> DataFrame:
+    """doc_id, field, terms, boost of the rows to index, a row a field."""
     rows = documents(df, spec)
     parts = None
     for name, boost in spec.fields.items():
         demoted = F.when(contains_keyword(F.col(name), spec.demoted), spec.demoted_boost).otherwise(boost) if spec.demoted else F.lit(float(boost))
         part = rows.select(F.col(spec.key).alias("doc_id"), F.lit(name).alias("field"), analyzed(F.col(name), spec.stop).alias("terms"), demoted.cast("double").alias("boost"))
         parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def build(df: DataFrame, spec: IndexSpec) -> tuple[DataFrame, DataFrame]:
+    """(postings, fields). One pass a field; the only shuffle counts terms by document."""
+    parts = analysed(df, spec)
     fields_ = parts.select("doc_id", "field", F.size("terms").alias("length"), "boost")
     postings = parts.select("doc_id", "field", F.explode("terms").alias("term")).groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"))
     return postings, fields_
