@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from millrace import catalog
+from millrace import catalog, catalog_index  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
