@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,26 +106,41 @@ def newest(df: DataFrame, order: str, most: int = 50_000) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(most)
 
 
-def nearest_by_xor(targets: DataFrame, nodes: DataFrame, *, target: str, node: str, n: int = 8, max_targets: int = 4096) -> DataFrame:
-    """The n nodes with the smallest distance to each of a checked number of targets, each with its rank.
-
-    Targets are a request batch; more than max_targets are refused, so what is broadcast is bounded. Every task keeps
-    n rows a target before the shuffle. Ids have at most 21 bytes, 20 as a rule: each is cut once into three numbers of seven
-    bytes, so a pair costs three XORs of whole numbers; what a shorter id lacks counts as zero."""
-    if targets.limit(max_targets + 1).count() > max_targets:
-        raise ValueError(f"more than {max_targets} targets: deal them in batches")
-    word = lambda c, k: F.coalesce(F.conv(F.hex(F.substring(c, 7 * k + 1, 7)), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
-    near, far = (df.withColumns({f"__{side}{k}": word(F.col(c), k) for k in range(3)}) for df, c, side in ((targets, target, "t"), (nodes, node, "n")))
+def _words(c: str) -> list[Column]:
+    """An id of up to 21 bytes as three whole numbers of seven bytes each; what a shorter id lacks counts as zero."""
+    return [F.conv(F.hex(F.rpad(F.substring(F.coalesce(F.col(c), F.lit(b"")), 7 * k + 1, 7), 7, F.lit(b"\x00"))), 16, 10).cast("bigint") for k in range(3)]
+
+
+def nearest_by_xor(targets: DataFrame, nodes: DataFrame, *, target: str, node: str, n: int = 8, about: int = 32) -> DataFrame:
+    """The n nodes with the smallest XOR distance to each target, each with its rank; ties by the columns of nodes.
+
+    Ids that share a longer prefix are nearer. So nodes lie in buckets by their first bits, as many that a bucket holds about
+    `about` of them, and a target needs the buckets in the order of their prefixes' distance from its own until they hold n
+    nodes. Which those are comes from the buckets' counts alone: of the prefixes of its bucket the longest that n nodes share
+    has all of them. Then targets meet nodes by an equi-join on the bucket. At most n nodes of one id are kept beforehand, so
+    an id that very many rows share is no large bucket."""
+    tie = [F.asc(c) for c in nodes.columns if c != node]
+    far = nodes.withColumns({f"__n{k}": c for k, c in enumerate(_words(node))})
+    far = top_per_group(far, [f"__n{k}" for k in range(3)], tie or [F.asc(node)], n).drop("rank")
+    bits = max(0, min(40, int(math.log2(max(1, nodes.count()) / about))) if nodes.limit(about + 1).count() > about else 0)
+    bucket = lambda word: F.shiftright(word, 56 - bits)
+    far = far.withColumn("__bucket", bucket(F.col("__n0")))
+    counts = far.groupBy("__bucket").agg(F.count("*").alias("__count"))  # a row for some dozens of nodes
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    shared = counts.withColumn("__up", F.explode(levels)).withColumn("__prefix", F.expr("shiftright(__bucket, __up)"))
+    enough = shared.groupBy("__up", "__prefix").agg(F.sum("__count").alias("__all")).filter((F.col("__all") >= n) | (F.col("__up") == bits))
+    near = targets.withColumns({f"__t{k}": c for k, c in enumerate(_words(target))})
+    own = near.select(bucket(F.col("__t0")).alias("__mine")).distinct()
+    # the buckets below the longest prefix that n nodes share, nearest first, until they hold n
+    asked = own.withColumn("__up", F.explode(levels)).withColumn("__prefix", F.expr("shiftright(__mine, __up)"))
+    least = asked.join(enough.select("__up", "__prefix"), ["__up", "__prefix"]).groupBy("__mine").agg(F.min("__up").alias("__up"))
+    least = least.withColumn("__prefix", F.expr("shiftright(__mine, __up)"))
+    before = Window.partitionBy("__mine").orderBy(F.col("__bucket").bitwiseXOR(F.col("__mine"))).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = least.join(shared, ["__up", "__prefix"]).withColumn("__held", F.coalesce(F.sum("__count").over(before), F.lit(0))).filter(F.col("__held") < n)
+    pairs = near.withColumn("__mine", bucket(F.col("__t0"))).join(wanted.select("__mine", "__bucket"), "__mine").join(far, "__bucket")
     distance = F.struct(*(F.col(f"__t{k}").bitwiseXOR(F.col(f"__n{k}")).alias(f"w{k}") for k in range(3)))
-    pairs = far.join(F.broadcast(near)).select(*nodes.columns, *targets.columns, distance.alias("distance"))
-    return top_per_group(pairs, [target], [F.asc("distance"), F.asc(node)], n)
-
-
-def nearest_of_all(targets: DataFrame, nodes: DataFrame, *, target: str, node: str, n: int = 8, block: int = 2048) -> DataFrame:
-    """nearest_by_xor() for any number of targets, in blocks of some `block` of them."""
-    blocks = max(1, -(-targets.count() // block))
-    number = F.pmod(F.xxhash64(target), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [nearest_by_xor(targets.filter(number == k), nodes, target=target, node=node, n=n) for k in range(blocks)])
+    pairs = pairs.select(*nodes.columns, *targets.columns, distance.alias("distance"))
+    return top_per_group(pairs, targets.columns, [F.asc("distance"), *tie], n)
 
 
 def merge_distinct(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

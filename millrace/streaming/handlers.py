@@ -1,5 +1,5 @@
 """What messages lead to: replies to requests, peers or nodes out of responses, and the log of searches. Each takes
-streaming or plain DataFrames, but for replies(), which looks its batch's targets up among the nodes."""
+streaming or plain DataFrames, but for replies(), which ranks nodes a target: give it each batch of a stream (foreachBatch)."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def replies(requests: DataFrame, nodes: DataFrame, own: Column, n: int = 8) -> D
     their target as compact records, nearest first; get_peers also the first two hex digits of its target as a token."""
     asked = requests.filter(F.col("command").isin("ping", "find_node", "get_peers", "announce_peer"))
     targets = asked.filter(F.col("command").isin("find_node", "get_peers") & F.col("target").isNotNull()).select("target").distinct()
-    near = relational.nearest_of_all(targets, valid_nodes(nodes), target="target", node="node_id", n=n)
+    near = relational.nearest_by_xor(targets, valid_nodes(nodes), target="target", node="node_id", n=n)
     record = F.struct("rank", F.hex(F.concat("node_id", network.to_compact(F.col("ip"), F.col("port")))).alias("hex"))
     packed = near.groupBy("target").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["hex"]), "")).alias("__nodes"))
     lists, hashed = F.col("command").isin("find_node", "get_peers"), F.col("command") == "get_peers"

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -134,10 +135,20 @@ def test_index_boundaries(spark):
     assert hit("red fox") == [1, 2] and hit("fox a") == [1, 2] and hit("a") == [2] and hit("") == [1, 2, 4] and hit("   ") == [] and hit("thing") == []
 
 
-def test_nearest_refuses_unbounded_targets(spark):
-    ids = spark.createDataFrame([(b"a",), (b"b",)], "x binary")
-    with pytest.raises(ValueError):
-        relational.nearest_by_xor(ids.withColumnRenamed("x", "t"), ids, target="t", node="x", max_targets=1)
+def test_nearest_by_xor_equals_brute_force_whatever_the_prefixes(spark):
+    rng = random.Random(4)
+    ids = [rng.randbytes(20) for _ in range(150)] + [b"\x07" * 6 + rng.randbytes(14) for _ in range(150)] + [b"\x07" * 20] * 40 + [b"\xff" * 20, b"", b"\x07"]
+    nodes = spark.createDataFrame(list(enumerate(ids)), "k int, x binary")
+    asked = [rng.randbytes(20) for _ in range(30)] + [b"\x07" * 20, b"\x07" * 6 + rng.randbytes(14), b"\x08" * 20, b"", b"\x00"]
+    targets = spark.createDataFrame(list(enumerate(asked)), "q int, t binary")
+    for about in (4, 32, 1000):
+        got = {(r.q, r.rank): r.k for r in relational.nearest_by_xor(targets, nodes, target="t", node="x", about=about).collect()}
+        number = lambda x: int.from_bytes(x.ljust(21, b"\0"))
+        want = {(q, r): k for q, t in enumerate(asked) for r, (_, k) in enumerate(sorted((number(x) ^ number(t), k) for k, x in enumerate(ids))[:8], 1)}
+        assert got == want
+    few = relational.nearest_by_xor(targets, nodes.limit(3), target="t", node="x")
+    assert few.count() == 3 * len(asked) and relational.nearest_by_xor(targets, nodes.limit(0), target="t", node="x").count() == 0
+    assert relational.nearest_by_xor(targets.limit(0), nodes, target="t", node="x").count() == 0
 
 
 def test_token_bucket_takes_only_what_it_allows(spark):
