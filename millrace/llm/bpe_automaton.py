@@ -25,6 +25,7 @@ special strings with white space) are refused.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -40,12 +41,11 @@ from millrace.llm.common import batch_rows, text_or_empty, written
 
 #: The split pattern of the word-level file, and the same for lower-case ASCII without white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PLAIN = re.compile(r"[!-~]+")
+PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+|\n")
 _LIBRARY_SPLIT, _OTHER_SPACE = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\x1c-\x1f]")
 #: Longer words go through the tables one at a time.
 _LONG = 64
-_KEPT = 200_000
+_KEPT = 600_000
 
 
 class Automaton:
@@ -223,17 +223,15 @@ class Automaton:
         return np.array(out[::-1], np.int64)
 
 
-class _Numbers(dict):
-    """Strings to their numbers, given in the order of asking; new ones are listed."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, x: str) -> int:
-        self[x] = number = len(self)
-        self.new.append(x)
-        return number
+def _numbered(known: dict[str, int], asked: list[str]) -> tuple[np.ndarray, list[str]]:
+    """(the strings' numbers, those that weren't known). New strings get the next numbers."""
+    numbers = np.fromiter(map(known.get, asked, itertools.repeat(-1)), np.int64, len(asked))
+    missing = np.flatnonzero(numbers < 0)
+    strings = [asked[k] for k in missing.tolist()]
+    new = list(dict.fromkeys(strings))
+    known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+    numbers[missing] = np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+    return numbers, new
 
 
 class Encoder:
@@ -248,78 +246,93 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.stretch, self.word = _Numbers(), _Numbers()
+        # strings to their numbers; a line's end stands between stretches and has no ids
+        self.stretch: dict[str, int] = {}
+        self.word = {"\n": 0}
         self.flat, self.word_flat = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.sizes, self.starts, self.word_sizes, self.word_starts = (np.zeros(0, np.int64) for _ in range(4))
+        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word_sizes, self.word_starts = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids in each)."""
         if len(self.stretch) > _KEPT or len(self.word) > _KEPT:
             self._forget()
-        number = self.stretch.__getitem__
-        asked = []
-        for text in texts:
-            parts = _LIBRARY_SPLIT.split(text) if _OTHER_SPACE.search(text) else text.split()
-            asked.append(np.fromiter(map(number, filter(None, parts)), np.int64))
-        if self.stretch.new:
-            self._learn()
-        return [_gathered(self.flat, self.starts[x], self.sizes[x]) for x in asked]
-
-    def _learn(self) -> None:
-        new, self.stretch.new = self.stretch.new, []
-        pieces: list[list] = [[] for _ in new]
-        ask = []  # (stretch, text) for the library to normalise and split
+        asked = [[x for x in _LIBRARY_SPLIT.split(text) if x] if _OTHER_SPACE.search(text) else text.split() for text in texts]
+        numbers, new = _numbered(self.stretch, list(itertools.chain.from_iterable(asked)))
+        if new:
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(len(new), np.int64)]) for x in (self.starts, self.sizes))
+            self._learn(new, np.arange(len(self.starts) - len(new), len(self.starts)))
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, asked)])]
+        return _gathered(self.flat, self.starts[numbers], sizes), np.diff(ends)
+
+    def _learn(self, new: list[str], at: np.ndarray) -> None:
+        """Adds the ids of new stretches, whose numbers are at."""
+        cut = self.cut if self.cut and self.cut.search("\n".join(new)) else None
+        plain, other = [], []
         for k, x in enumerate(new):
-            if self.cut and self.cut.search(x):
-                for part in self.cut.split(x):
-                    if part in self.automaton.specials:
-                        pieces[k].append(-1 - self.automaton.specials[part])
-                    elif part:
-                        pieces[k] += self._split([part])[0]
-            elif self.automaton.by_word and _PLAIN.fullmatch(x):
-                pieces[k] = PLAIN_PATTERN.findall(x.lower())
+            if cut and cut.search(x):
+                self._add(np.array([at[k]]), *self._apart(x))
+            elif self.automaton.by_word and x.isascii() and x.isprintable():
+                plain.append(k)
             else:
-                ask.append(k)
-        for k in range(0, len(ask), 1000):
-            some = ask[k : k + 1000]
-            for at, found in zip(some, self._split([new[x] for x in some]), strict=True):
-                pieces[at] = found
-        # special strings are numbers below 0, words have numbers from 0
-        word = self.word.__getitem__
-        numbers = np.fromiter((x if isinstance(x, int) else word(x) for found in pieces for x in found), np.int64)
-        if self.word.new:
-            asked, self.word.new = self.word.new, []
-            ids, counts = self.automaton.words(asked)
+                other.append(k)
+        if plain:
+            # all as one text, a line a stretch
+            words = PLAIN_PATTERN.findall("\n".join([new[k] for k in plain]).lower())
+            numbers = self._numbers(words)
+            ends = numbers == self.word["\n"]
+            self._add(at[plain], numbers[~ends], np.diff(np.flatnonzero(np.concatenate([[True], ends, [True]]))) - 1)
+        for k in range(0, len(other), 1000):
+            some = other[k : k + 1000]
+            words, counts = self._split([new[x] for x in some])
+            self._add(at[some], self._numbers(words), counts)
+
+    def _apart(self, stretch: str) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of words, their count) of a stretch with special strings, whose numbers are below 0."""
+        found = []
+        for part in filter(None, self.cut.split(stretch)):
+            special = self.automaton.specials.get(part)
+            found.append(np.array([-1 - special]) if special is not None else self._numbers(self._split([part])[0]))
+        return np.concatenate(found), np.array([sum(map(len, found))])
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; new ones are encoded."""
+        numbers, new = _numbered(self.word, words)
+        if new:
+            ids, counts = self.automaton.words(new)
             begin = len(self.word_flat) + np.cumsum(counts) - counts
             self.word_flat, self.word_sizes, self.word_starts = np.concatenate([self.word_flat, ids.astype(np.int32)]), np.concatenate([self.word_sizes, counts]), np.concatenate([self.word_starts, begin])
+        return numbers
+
+    def _add(self, at: np.ndarray, numbers: np.ndarray, per: np.ndarray) -> None:
+        """Stretches' ids by their words' numbers, so many of them a stretch."""
         special = numbers < 0
         sizes = np.ones(len(numbers), np.int64)
         sizes[~special] = self.word_sizes[numbers[~special]]
         ends = np.cumsum(sizes)
         ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
         ids[(ends - 1)[special]] = -1 - numbers[special]
-        mine = np.repeat(~special, sizes)
-        ids[mine] = _gathered(self.word_flat, self.word_starts[numbers[~special]], self.word_sizes[numbers[~special]])
-        per = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids[np.repeat(~special, sizes)] = _gathered(self.word_flat, self.word_starts[numbers[~special]], self.word_sizes[numbers[~special]])
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
-        self.starts = np.concatenate([self.starts, len(self.flat) + cuts[:-1]])
-        self.sizes = np.concatenate([self.sizes, np.diff(cuts)])
+        self.starts[at], self.sizes[at] = len(self.flat) + cuts[:-1], np.diff(cuts)
         self.flat = np.concatenate([self.flat, ids])
 
-    def _split(self, stretches: list[str]) -> list[list[str]]:
-        """Each stretch's pre-split words by the library, which gets them as one text; one by one if it sees other stretches."""
+    def _split(self, stretches: list[str]) -> tuple[list[str], np.ndarray]:
+        """(pre-split words of all stretches, how many each has) by the library, which gets them as one text; one by one if it
+        sees other stretches."""
         whole = self.library.normalizer.normalize_str(" ".join(stretches)) if self.library.normalizer else " ".join(stretches)
         seen = whole.split(" ")
-        if len(seen) != len(stretches):
-            if len(stretches) > 1:
-                return [self._split([x])[0] for x in stretches]
-            return [[w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(whole)]]
+        if len(seen) != len(stretches) and len(stretches) > 1:
+            each = [self._split([x]) for x in stretches]
+            return [w for words, _ in each for w in words], np.concatenate([n for _, n in each])
+        found = self.library.pre_tokenizer.pre_tokenize_str(whole) if self.library.pre_tokenizer else [(whole, (0, len(whole)))]
+        words = [w for w, _ in found]
+        if len(stretches) == 1:
+            return words, np.array([len(words)])
         ends = np.cumsum(np.fromiter(map(len, seen), np.int64, len(seen)) + 1)
-        out: list[list[str]] = [[] for _ in stretches]
-        found = self.library.pre_tokenizer.pre_tokenize_str(whole)
         places = np.searchsorted(ends, np.fromiter((at for _, (at, _) in found), np.int64, len(found)), side="right")
-        for (w, _), k in zip(found, places.tolist(), strict=True):
-            out[k].append(w)
-        return out
+        return words, np.bincount(places, minlength=len(stretches))
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -352,9 +365,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             column = batch.column("__text")
             for at, n in _stretches_of(column):
-                ids = encoder.texts(column.slice(at, n).to_pylist())
-                ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                ids, counts = encoder.texts(column.slice(at, n).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in kept), lists], [*kept, "ids"])
 
     schema = docs.select(*kept, F.lit(None).cast("array<int>").alias("ids")).schema
@@ -376,10 +388,12 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     names = coded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = _labels(path).__getitem__
+        labels = pa.array(_labels(path), pa.string())
         for batch in batches:
-            texts = [" ".join(map(label, x)) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            ids = batch.column("ids")
+            ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), labels.take(ids.flatten())), " ")
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "decoded"])
 
     return coded.mapInArrow(run, coded.withColumn("decoded", F.lit(None).cast("string")).schema)
 
