@@ -29,10 +29,11 @@ import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import batch_rows, text_or_empty, written
@@ -40,6 +41,9 @@ from millrace.llm.words import bytes_hashes
 
 SLOT_BITS, WORDS, STEP, AROUND = 18, 32, 16, 64
 GROUP, PART_WORDS, RANK = 256, 64, 64
+#: Passages of the benchmark that share a latent space, at most; more are dealt to spaces of PACK each, for RANK directions hold
+#: so many well.
+TOGETHER, PACK = 256, 128
 COMMON = 0.05  # share of passages from which on a word is left out of the latent space
 _PUNCTUATION = b".,;:!?\"'()[]{}<>|*-_$%&#"
 _OTHERS = "«»“”„…\u2018\u2019"
@@ -348,24 +352,27 @@ def find_leaks(
     with batch_rows(spark, 500):
         texts = docs.select(text_or_empty().alias("text")).filter("text <> ''")
         counts = _summed(texts.mapInArrow(_frequencies, "part int, body binary"), (1 << SLOT_BITS) + 1)
-        known = make_benchmark(passages, inverse_frequencies(counts), counts[:-1] > COMMON * counts[-1])
-        basis = latent_basis(texts, known, rank)
-        shared = spark.sparkContext.broadcast((known, basis))
-        found = texts.mapInArrow(_search(shared, least, overlap, overlap_with_answer, min_words), FOUND)
-        best = found.groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m"))
+        packs = 1 if len(passages) <= TOGETHER else -(-len(passages) // PACK)
+        parts = []
+        for k in range(packs):
+            known = make_benchmark(passages[k::packs], inverse_frequencies(counts), counts[:-1] > COMMON * counts[-1])
+            shared = spark.sparkContext.broadcast((known, latent_basis(texts, known, rank)))
+            found = texts.mapInArrow(_search(shared, least, overlap, overlap_with_answer, min_words), FOUND)
+            parts.append(written(found, "leaks-found") if packs > 1 else found)
+        best = reduce(DataFrame.unionByName, parts).groupBy("digest").agg(F.max(F.struct("overlap", "cosine", -F.col("item_id"))).alias("m"))
         return written(best.select("digest", (-F.col("m.col3")).alias("item_id"), "m.cosine", "m.overlap"), "leaks")
 
 
-def _digest():
-    return F.unhex(F.md5(text_or_empty()))
+def _digest(text: Column):
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def leaked(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, cosine, overlap of every row of docs that has a leak."""
-    return docs.select("doc_id", _digest().alias("digest")).join(find_leaks(docs, benchmark, **options), "digest").drop("digest")
+    return docs.select("doc_id", _digest(docs["text"]).alias("digest")).join(find_leaks(docs, benchmark, **options), "digest").drop("digest")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that have none, as they are."""
-    leaks = find_leaks(docs, benchmark, **options).select(F.col("digest").alias("__digest"))
-    return docs.withColumn("__digest", _digest()).join(leaks, "__digest", "left_anti").drop("__digest")
+    leaks = find_leaks(docs, benchmark, **options)
+    return docs.join(leaks, _digest(docs["text"]) == leaks["digest"], "left_anti")

@@ -177,8 +177,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of near duplicates, as it is: the one with the smallest doc_id (null last)."""
-    numbered = written(docs.withColumn("__tid", F.monotonically_increasing_id()), "simhash-numbered")
-    grouped = near_groups(numbered.select(F.col("__tid").alias("doc_id"), "text")).select(F.col("doc_id").alias("__tid"), "component_id")
-    ids = numbered.select("__tid", "doc_id").join(grouped, "__tid")
-    chosen = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__tid")).alias("m"))
-    return numbered.join(chosen.select(F.col("m.__tid").alias("__tid")), "__tid", "left_semi").drop("__tid")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("tid"), F.struct(*docs.columns).alias("row")), "simhash-numbered")
+    grouped = near_groups(rows.select(F.col("tid").alias("doc_id"), F.col("row.text").alias("text"))).select(F.col("doc_id").alias("tid"), "component_id")
+    ids = rows.select("tid", F.col("row.doc_id").alias("doc_id")).join(grouped, "tid")
+    chosen = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("m"))
+    return rows.join(chosen.select(F.col("m.tid").alias("tid")), "tid", "left_semi").select("row.*")

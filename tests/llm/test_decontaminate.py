@@ -145,3 +145,21 @@ def test_frequencies_equal_brute_force():
 def test_common_subsequence():
     used = dc.common_weight([1, 2, 3, 4], [9, 2, 1, 3, 9, 4], np.array([1.0, 5, 1, 1]))
     assert used.tolist() == [False, True, True, True]
+
+
+def test_verbatim_items_are_found_however_many_there_are(spark):
+    """500 stretches of 40 words cut out of the documents; which documents hold one is asked of the words themselves."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if r.text}
+    plain = {i: re.sub(r"[.,;:!?\"'()\[\]{}<>|*\-_$%&#«»“”„…‘’]", "", t.lower()).split() for i, t in text.items()}
+    rng, items = random.Random(1), []
+    long = [i for i in text if len(plain[i]) >= 60]
+    for k in range(500):
+        words = plain[rng.choice(long)]
+        at = rng.randrange(len(words) - 40)
+        items.append((k, " ".join(words[at : at + 40])))
+    held = {i: f" {' '.join(w)} " for i, w in plain.items()}
+    want = {i for _, item in items for i, h in held.items() if f" {item} " in h}
+    got = {r.doc_id for r in decontaminate.leaked(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(want) > 300 and len(want & got) >= 0.98 * len(want) and len(got - want) < 0.15 * len(want)

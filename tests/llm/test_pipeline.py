@@ -68,3 +68,26 @@ def test_one_of_each_keeps_rows_whole(spark):
     rows = [(5, "a b c d", "en", "s", 1), (3, "a b c d", "de", None, 2), (3, "a b c d", "de", None, 2), (None, "a b c d", "x", "y", 3), (None, "other words here", "x", "y", 4), (None, None, None, None, None)]
     got = simhash.one_of_each(spark.createDataFrame(rows, DOCS)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == sorted([rows[1], rows[4], rows[5]], key=repr)
+
+
+def test_columns_of_any_name_nulls_repeats_and_empty_tables_go_through(spark, tmp_path):
+    folder = str(tmp_path)
+    docs, _, _, _ = _world(folder + "/plain", spark)
+    names = ["keep", "p_above", "expected_grade", "__digest", "__tid", "digest", "row", "tid", "fp", "copies", "size"]
+    rows = [(*d, *(f"{n} {d[0]}" for n in names)) for d in [*docs[:150], docs[3], docs[3], (None, None, None, None, None), (999, "", "en", "b", 0)]]
+    schema = DOCS + "".join(f", {n} string" for n in names)
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/plain/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    have = {repr(r) for r in rows}
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder).cache()
+        assert kept.columns == spark.read.parquet(f"{folder}/documents.parquet").columns
+        assert {repr(tuple(r)) for r in kept.collect()} <= have and kept.count()
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in kept.collect())
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/plain/{t}.parquet").write.parquet(f"{folder}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
