@@ -1,9 +1,15 @@
-"""A corpus pipeline in stages, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline in stages, each written as Parquet and read again as the next one's documents.
+
+Defined results: a null text counts as the empty one, which the classifier rates as any other; a null doc_id is the last of its
+near-duplicate group and comes first in the token files; repeated rows are copies, of which one stays; columns of any name
+pass through all stages but the last as they are; a table without documents gives no rows, and without labels, benchmark items
+or near duplicates each stage keeps what its operator keeps then."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, quality, simhash, token_files
 from millrace.llm.common import scratch, written
@@ -11,8 +17,9 @@ from millrace.llm.common import scratch, written
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    scored = quality.rated(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("keep").select(*docs.columns)
+    aside = {c: f"column {k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # so that no verdict can have a name of theirs
+    scored = quality.rated(docs.withColumnsRenamed(aside), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("keep").select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
