@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -161,5 +162,5 @@ def test_verbatim_items_are_found_however_many_there_are(spark):
         items.append((k, " ".join(words[at : at + 40])))
     held = {i: f" {' '.join(w)} " for i, w in plain.items()}
     want = {i for _, item in items for i, h in held.items() if f" {item} " in h}
-    got = {r.doc_id for r in decontaminate.leaked(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    got = {r.doc_id for r in dc.leaked(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert len(want) > 300 and len(want & got) >= 0.98 * len(want) and len(got - want) < 0.15 * len(want)
