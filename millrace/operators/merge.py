@@ -9,9 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import scratch
+
 RULES: dict[str, Callable[[Column, Column], Column]] = {
     "overwrite": lambda old, new: F.coalesce(new, old),
     "add": lambda old, new: F.when(old.isNull() & new.isNull(), None).otherwise(F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))),
@@ -83,6 +85,31 @@ def delete_keys(target: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFr
     return target.join(keys.select(*on), list(on), "left_anti")
 
 
+def insert_returning(target: DataFrame, batch: DataFrame, keys: Sequence[str], id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows of batch that weren't in target, one a key, with new ids; every key of batch with its id, new or known).
+
+    New ids go on from the greatest one without gaps, in order of the keys. They are ranks in a range-sorted table: each
+    partition numbers its own rows, after the counts of those before it, so no task sees all rows, and as they hang on the
+    keys alone, a run that is tried again gives the same ids. Rows with a null key are left out; of rows with one key the
+    least one counts."""
+    spark = target.sparkSession
+    known = target.select(*keys, id)
+    others = [c for c in batch.columns if c not in keys and c != id]
+    rows = batch.dropna(subset=list(keys)).groupBy(*keys).agg(F.min(F.struct(*others) if others else F.lit(0)).alias("__row"))
+    new = rows.join(known, list(keys), "left_anti")
+    path = scratch(spark, "new-keys")
+    new.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()).write.parquet(path)  # the partitions are fixed from here on
+    placed = spark.read.parquet(path)
+    first = target.agg(F.coalesce(F.max(id), F.lit(0)).cast("bigint").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))  # a row a partition
+    start = first.join(counts)
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    numbered = placed.withColumn("__k", inside).join(F.broadcast(start), "__part")
+    added = numbered.select(*keys, *(F.col("__row")[c].alias(c) for c in others), (F.col("__first") + F.col("__before") + F.col("__k")).alias(id))
+    return added, rows.select(*keys).join(known.unionByName(added.select(*keys, id)), list(keys))
+
+
 class VersionedTable:
     """A table that changes as a whole: each commit writes a new folder, then moves a pointer file; readers see the old
     version until then, and a failed write leaves it in place."""

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import analyzed, contains_keyword, highlight, query_terms
+from millrace.functions.text import POST, PRE, analyzed, contains_keyword, highlight, query_terms
 from millrace.operators.relational import clamped_page
 
 
@@ -118,6 +118,23 @@ def rendered(page: DataFrame, name: str, lines: str, words: Sequence[str], most:
     return out.drop("__name", "__lines", "__in_name")
 
 
+def best_fragment(df: DataFrame, key: str, text: str, words: Sequence[str], size: int = 20) -> DataFrame:
+    """df with fragment: of a text's runs of `size` words that begin with one of `words` (whatever its case), the run with
+    the most different of them, then the most of them, then the first; the words are marked in it. Null if there is none.
+
+    The hits alone are dealt by key, which must be unique, so a window is over a document's hits, a frame over `size` words."""
+    wanted = [w.lower() for w in words]
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    hits = df.select(F.col(key).alias("__key"), F.posexplode(F.transform(pieces, F.lower)).alias("__at", "__word")).filter(F.col("__word").isin(*wanted))
+    # words and what lies between them alternate
+    frame = Window.partitionBy("__key").orderBy("__at").rangeBetween(0, 2 * size - 2)
+    rated = hits.select("__key", "__at", F.size(F.collect_set("__word").over(frame)).alias("__kinds"), F.count("*").over(frame).alias("__all"))
+    best = rated.groupBy("__key").agg(F.max_by("__at", F.struct("__kinds", "__all", (-F.col("__at")).alias("first"))).alias("__at"))
+    run = F.slice(pieces, F.col("__at") + 1, 2 * size - 1)
+    marked = F.array_join(F.transform(run, lambda p: F.when(F.lower(p).isin(*wanted), F.concat(F.lit(PRE), p, F.lit(POST))).otherwise(p)), "")
+    return df.join(best, df[key].eqNullSafe(F.col("__key")), "left").withColumn("fragment", F.when(F.col("__at").isNotNull(), marked)).drop("__key", "__at")
+
+
 def update(postings: DataFrame, fields_: DataFrame, changed: DataFrame, spec: IndexSpec) -> tuple[DataFrame, DataFrame]:
     """The index with the changed rows built anew; rows that may no longer be indexed go."""
     new_postings, new_fields = build(changed, spec)

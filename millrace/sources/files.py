@@ -10,9 +10,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from millrace.operators.counters import parse_counter
+from millrace.sources import records
 
 ENTITY_JSON = "InfoHash string, Name string, FileSize bigint, Files string"
 
@@ -85,85 +86,6 @@ def sitemap(df: DataFrame, url: str, time: str) -> DataFrame:
     return df.agg(F.max(time).alias("t")).select(F.printf(form, F.lit(url), F.date_format("t", "yyyy-MM-dd HH:mm:ss")).alias("xml"))
 
 
-HEADER = struct.Struct("<qq")
-
-
-class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class RecordFiles(DataSource):
-    """Length-prefixed record files: 16 bytes (checkpoint, end of data), then (int32 length, UTF-8) of each record.
-    Option path: a file or folder; a file is a partition."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "record_file"
-
-    def schema(self) -> str:
-        return "file string, seq bigint, value string"
-
-    def reader(self, schema):
-        return _RecordReader(self.options["path"])
-
-    def writer(self, schema, overwrite: bool):
-        return _RecordWriter(self.options["path"], int(self.options.get("checkpoint", 0)))
-
-
-class _RecordReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_Part]:
-        p = Path(self.path)
-        return [_Part(str(x)) for x in ([p] if p.is_file() else sorted(p.glob("*.rec")))]
-
-    def read(self, partition: _Part) -> Iterator[tuple[str, int, str]]:
-        with open(partition.path, "rb") as file:
-            _, end = HEADER.unpack(file.read(16))
-            seq = 0
-            while file.tell() < end:
-                (size,) = struct.unpack("<i", file.read(4))
-                yield partition.path, seq, file.read(size).decode()
-                seq += 1
-
-
-class _RecordWriter(DataSourceWriter):
-    """Each task writes a file of its own under a draft name; commit gives the names that readers see."""
-
-    def __init__(self, path: str, checkpoint: int):
-        self.path, self.checkpoint = path, checkpoint
-
-    def write(self, rows) -> WriterCommitMessage:
-        import uuid
-
-        Path(self.path).mkdir(parents=True, exist_ok=True)
-        draft = Path(self.path) / f"{uuid.uuid4().hex}.draft"
-        with open(draft, "wb") as file:
-            file.write(HEADER.pack(self.checkpoint, 16))
-            for row in rows:
-                if row["value"] and row["value"].strip():
-                    body = row["value"].encode()
-                    file.write(struct.pack("<i", len(body)) + body)
-            end = file.tell()
-            file.seek(0)
-            file.write(HEADER.pack(self.checkpoint, end))
-        message = WriterCommitMessage()
-        message.draft = str(draft)
-        return message
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            if m is not None:
-                Path(m.draft).rename(m.draft.removesuffix(".draft") + ".rec")
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None:
-                Path(m.draft).unlink(missing_ok=True)
-
-
 LIFO_HEADER = struct.Struct("<qqq")
 
 
@@ -207,5 +129,5 @@ class _LifoReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(RecordFiles)
+    records.register(spark)
     spark.dataSource.register(LifoStore)

@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from millrace import catalog, catalog_index, catalog_state  # noqa: F401
+from millrace import catalog, catalog_index, catalog_more, catalog_state  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
