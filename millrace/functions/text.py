@@ -57,14 +57,20 @@ def contains_keyword(c: Column, words: Sequence[str], mode: str = "greedy") -> C
 
 
 def positioned(c: Column, words: Column) -> Column:
-    """(start, end, word) of all occurrences of words in a text, sorted by start, then end, each once."""
+    """(start, end, word) of all occurrences of words in a text, overlapping ones too, sorted by start, then end, each once.
+    A word costs one pass: the text is cut before each of its occurrences, and the lengths of the pieces are added up."""
     low = F.lower(c)
 
     def places(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - F.length(w) + 1)), lambda i: F.substring(low, i, F.length(w)) == w)
-        return F.transform(at, lambda i: F.struct((i - 1).alias("start"), (i - 1 + F.length(w)).alias("end"), w.alias("word")))
-
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(words, places))))
+        quoted = F.concat(F.lit("(?=\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+        starts = F.aggregate(
+            F.split(low, quoted),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
+            lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.when((acc["at"] > 0) | F.startswith(low, w), F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found")),
+        )["found"]
+        return F.transform(starts, lambda a: F.struct(a.alias("start"), (a + F.length(w)).alias("end"), w.alias("word")))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 0), places))))
 
 
 def maximal(found: Column) -> Column:

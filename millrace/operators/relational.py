@@ -9,6 +9,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import scratch
+
 PAGE_SIZE, MAX_PAGES = 15, 1000
 
 
@@ -42,11 +44,32 @@ def page_with_total(df: DataFrame, order: Sequence[Column], index: int, size: in
     return page(df, order, index, size).join(F.broadcast(total))
 
 
-def clamped_page(df: DataFrame, order: Sequence[Column], index: int, size: int) -> DataFrame:
+#: Up to so many rows, a page is taken from the first rows of each task's own sort.
+NEAR = 100_000
+
+
+def page_from(df: DataFrame, order: Sequence[Column], start: int, size: int, near: int = NEAR) -> DataFrame:
+    """Rows start to start + size of a total order. Far from the beginning, rows are dealt by ranges of the order into a written
+    table whose parts are counted, and only the parts that hold the page are sorted: no task passes all rows before it."""
+    if start + size <= near:
+        return df.orderBy(*order).offset(start).limit(size)
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    df.repartitionByRange(*order).select(F.struct(*df.columns).alias("row"), F.spark_partition_id().alias("part")).write.parquet(path)
+    parts = spark.read.parquet(path)
+    before, wanted, skip = 0, [], 0
+    for part, n in sorted(map(tuple, parts.groupBy("part").count().collect())):  # a row a partition
+        if before < start + size and before + n > start:
+            skip = skip if wanted else start - before
+            wanted.append(part)
+        before += n
+    return parts.filter(F.col("part").isin(*wanted) if wanted else F.lit(False)).select("row.*").orderBy(*order).offset(skip).limit(size)
+
+
+def clamped_page(df: DataFrame, order: Sequence[Column], index: int, size: int, near: int = NEAR) -> DataFrame:
     """The page, or the last `size` rows if it lies beyond the end. Counts the rows first (a job of its own)."""
-    start = (index - 1) * size
-    total = df.limit(start + 1).count()
-    return df.orderBy(*order).offset(start if total > start else max(0, total - size)).limit(size)
+    start, total = (index - 1) * size, df.count()
+    return page_from(df, order, start if total > start else max(0, total - size), size, near)
 
 
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
@@ -150,8 +173,20 @@ def merge_distinct(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame
     return out.dropDuplicates(list(keys))
 
 
-def outside_ranges(df: DataFrame, ranges: DataFrame, value: str, start: str = "start", end: str = "end", max_ranges: int = 100_000) -> DataFrame:
-    """Rows whose value lies in none of a checked number of ranges."""
+def outside_ranges(df: DataFrame, ranges: DataFrame, value: str, start: str = "start", end: str = "end", max_ranges: int = 100_000, max_blocks: int = 1_000_000) -> DataFrame:
+    """Rows whose value lies in none of a checked number of ranges (both ends included); a null value lies in none.
+
+    Overlapping ranges are merged, and each is dealt to the blocks of 2^16 values that it touches, of which there may be
+    max_blocks in all: a row meets the ranges of its own block alone, by an equi-join."""
     if ranges.limit(max_ranges + 1).count() > max_ranges:
         raise ValueError(f"more than {max_ranges} ranges")
-    return df.join(F.broadcast(ranges), (df[value] >= ranges[start]) & (df[value] <= ranges[end]), "left_anti")
+    given = ranges.select(F.col(start).cast("bigint").alias("a"), F.col(end).cast("bigint").alias("b")).filter("a <= b")
+    so_far = Window.orderBy("a", "b")  # over a checked number of rows
+    fresh = given.withColumn("new", F.coalesce(F.col("a") > F.max("b").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    merged = fresh.withColumn("group", F.sum(F.col("new").cast("int")).over(so_far)).groupBy("group").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    blocks = F.shiftright("b", 16) - F.shiftright("a", 16) + 1
+    if (merged.agg(F.sum(blocks)).first()[0] or 0) > max_blocks:
+        raise ValueError(f"ranges of more than {max_blocks} blocks")
+    dealt = merged.select("a", "b", F.explode(F.sequence(F.shiftright("a", 16), F.shiftright("b", 16))).alias("block"))
+    at = df[value].cast("bigint")
+    return df.join(F.broadcast(dealt), (F.shiftright(at, 16) == dealt["block"]) & (df[value] >= dealt["a"]) & (df[value] <= dealt["b"]), "left_anti")
