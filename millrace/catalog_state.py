@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.catalog import _t, query
-from millrace.streaming import state
+from millrace.operators import merge
+from millrace.sources.storage import scratch
+from millrace.streaming import handlers, pipelines, state
 
 
 def _exchanges(s, d, shards: int, ids: int) -> DataFrame:
@@ -88,3 +90,22 @@ def delayed_events(s, d):
     delay = F.get_json_object("props", "$.k").cast("bigint") * 600
     items = _t(s, d, "events").select("event_id", "user_id", "ts", delay.alias("delay"))
     return state.by_rule(items, state.DelayQueue("event_id"), key="user_id", time="ts", order="event_id").select("event_id", "user_id", "due", "place")
+
+
+@query(
+    "SELECT event_id, CASE WHEN coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'blocked' "
+    "WHEN event_type = 'error' THEN 'malformed' ELSE 'ok' END AS verdict FROM events"
+)
+def malformed_senders(s, d):
+    packets = _t(s, d, "events").select("event_id", "ts", "user_id", (F.col("event_type") == "error").alias("malformed"))
+    return state.by_rule(packets, state.MalformedSenders(), key="user_id", time="ts", order="event_id").select("event_id", "verdict")
+
+
+@query("SELECT user_id, max(ts) AS visit_time FROM events GROUP BY 1")
+def visit_log(s, d):
+    """The visits' table after a stream of events in six files."""
+    landed, table = scratch(s, "visits"), merge.VersionedTable(s, scratch(s, "visited"))
+    events = _t(s, d, "events").select("user_id", F.col("ts").alias("visit_time"))
+    events.repartition(6).write.parquet(landed)
+    handlers.upserted(pipelines.read_stream(s, landed, events.schema, 2), table, ["user_id"], merge.VISIT, scratch(s, "visit-stream"))
+    return table.read()

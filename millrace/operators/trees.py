@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import scratch
+
 PADDING = "_____padding_file"
 
 
@@ -57,7 +59,9 @@ def listing(nodes: DataFrame, root: str) -> DataFrame:
 
 def flatten_json(df: DataFrame, root: str, files: str) -> DataFrame:
     """root, path, size of each leaf of a JSON column holding a list of nodes (Name, FileSize, Files), to any depth:
-    a level of the tree is a pass, and only what has children goes on. Paths carry names; order is by place."""
+    a level of the tree is a pass, and only what has children goes on, as a written table, so no level is parsed twice. Paths
+    carry names; order is by place."""
+    spark = df.sparkSession
     level = df.select(root, F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("place"), F.col(files).alias("files"))
     out = None
     item = "array<struct<Name: string, FileSize: bigint, Files: string>>"
@@ -70,6 +74,8 @@ def flatten_json(df: DataFrame, root: str, files: str) -> DataFrame:
         has = F.col("files").isNotNull() & ~F.col("files").isin("[]", "null", "")
         leaf = nodes.filter(~has).drop("files")
         out = leaf if out is None else out.unionByName(leaf)
-        level = nodes.filter(has).drop("size")
+        path = scratch(spark, "tree-level")
+        nodes.filter(has).drop("size").write.parquet(path)
+        level = spark.read.schema(nodes.drop("size").schema).parquet(path)
         if level.isEmpty():
             return out

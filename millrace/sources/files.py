@@ -34,8 +34,10 @@ def counters(spark: SparkSession, path: str, *, older_than: str | None = None) -
 
 
 def retry_list(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
-    """Hashes of lines `hash:...` that aren't in done (infohash)."""
-    lines = spark.read.option("pathGlobFilter", "*.retry").schema("value string").text(path).filter(F.col("value").contains(":"))
+    """Hashes of lines `hash:...` that aren't in done (infohash), of each file those above its first blank line."""
+    whole = spark.read.option("pathGlobFilter", "*.retry").schema("value string").text(path, wholetext=True)
+    above = F.regexp_replace("value", r"(?s)(^|\n)[ \t\r]*\n.*", "")
+    lines = whole.select(F.explode(F.split(above, r"\r?\n")).alias("value")).filter(F.col("value").contains(":"))
     return lines.select(F.substring("value", 1, 40).alias("infohash")).distinct().join(done.select("infohash"), "infohash", "left_anti")
 
 

@@ -3,11 +3,13 @@ streaming or plain DataFrames, but for replies(), which ranks nodes a target: gi
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import network, scalars
-from millrace.operators import relational
+from millrace.operators import merge, relational
 
 
 def valid_nodes(nodes: DataFrame, node: str = "node_id", port: str = "port") -> DataFrame:
@@ -48,3 +50,20 @@ def searched(requests: DataFrame, word: str = "word", page: str = "page", agent:
     a state of one row a word; give each batch of changes to merge() with the rules of searches, or read it in whole."""
     real = requests.filter((F.col(page) == 1) & ~scalars.is_blank(F.col(word)) & ~scalars.is_crawler(F.col(agent)))
     return real.groupBy(word).agg(F.count("*").alias("num"), F.max(time).alias("last_search_time"))
+
+
+def upserted(stream: DataFrame, table: merge.VersionedTable, keys: Sequence[str], rules: Mapping[str, str], checkpoint: str, order: str | None = None, seconds: int = 600) -> None:
+    """Merges each micro-batch of a stream into a versioned table, as a log's consumer does. A batch that is tried again must
+    change nothing more, so columns that add up are refused."""
+    if "add" in rules.values():
+        raise ValueError("a sum isn't safe to try again")
+
+    def merged(batch: DataFrame, batch_id: int) -> None:
+        columns = [*keys, *rules]
+        old = table.read() if table.version() else batch.select(*columns).limit(0)
+        table.commit(merge.merge(old, batch, keys, rules, order).select(*columns))
+
+    query = stream.writeStream.foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream didn't end in {seconds} s")

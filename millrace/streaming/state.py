@@ -1,5 +1,5 @@
 """Rules that a key's rows obey one after another, with state: registries of requests, a routing table, a token bucket, a
-delay queue.
+block-list of malformed senders, a delay queue.
 
 A rule says what one row does to its key's state. by_rule() applies it to a plain DataFrame (each key's rows in order of time
 pass through one task, which holds the state and an Arrow batch) or to a stream (transformWithState: the state is a row an
@@ -246,6 +246,19 @@ class TokenBucket(Rule):
         return (allowed,)
 
 
+class MalformedSenders(Rule):
+    """Column malformed: from a key's first malformed row on, all its rows are blocked for good. verdict: ok, malformed, blocked."""
+
+    output = "verdict string"
+
+    def step(self, state: Entries, row: dict, now: int) -> tuple:
+        if state.get("bad"):
+            return ("blocked",)
+        if row["malformed"]:
+            state.put("bad", None, True)
+        return ("malformed" if row["malformed"] else "ok",)
+
+
 class DelayQueue(Rule):
     """Column delay (seconds): keeps a row back for that long, then gives it out: in order of the times at which rows are due,
     those of one time in order of the given columns, with its number in its key."""

@@ -44,7 +44,7 @@ def test_counters_and_retries(spark, tmp_path):
     got = files.counters(spark, str(tmp_path / "c.txt"))
     assert sorted((r.key, r.n) for r in got.collect()) == [("A", 1), ("A", 1), ("B", 3)]
     assert files.counters(spark, str(tmp_path), older_than="2000-01-01T00:00:00").count() == 0
-    (tmp_path / "r.retry").write_text("1" * 40 + ":x\n" + "2" * 40 + ":y\nnone\n")
+    (tmp_path / "r.retry").write_text("1" * 40 + ":x\n" + "2" * 40 + ":y\nnone\n \n" + "3" * 40 + ":z\n")
     done = spark.createDataFrame([("2" * 40,)], "infohash string")
     assert [r.infohash for r in files.retry_list(spark, str(tmp_path), done).collect()] == ["1" * 40]
     assert files.settings(str(tmp_path / "none.json"), {"a": 1}) == {"a": 1}

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from millrace.streaming import pipelines, state
 
 START = datetime(2024, 1, 1)
-SCHEMA = "n bigint, at timestamp, shard string, kind string, hash bigint, peer bigint, id int, node string, amount int, delay int"
+SCHEMA = "n bigint, at timestamp, shard string, kind string, hash bigint, peer bigint, id int, node string, amount int, delay int, malformed boolean"
 
 
 def _df(spark, rows):
     """Rows of (minute, fields), numbered in order."""
-    made = [(k, START + timedelta(minutes=m), x.get("shard", "s"), x.get("kind", "request"), x.get("hash"), x.get("peer"), x.get("id"), x.get("node"), x.get("amount"), x.get("delay")) for k, (m, x) in enumerate(rows)]
+    made = [(k, START + timedelta(minutes=m), x.get("shard", "s"), x.get("kind", "request"), x.get("hash"), x.get("peer"), x.get("id"), x.get("node"), x.get("amount"), x.get("delay"), x.get("malformed")) for k, (m, x) in enumerate(rows)]
     return spark.createDataFrame(made, SCHEMA)
 
 
@@ -67,13 +67,13 @@ def test_bucket_rule_equals_the_batch_operator(spark):
     assert _run(df, state.TokenBucket(4, 600), "allowed") == [(plain[k],) for k in range(60)]
 
 
-RULES = {"shared": state.SharedIds(3), "each": state.AgedRequests(3, 30), "all": state.AgedRequests(3, 30, "all"), "table": state.RoutingTable(3, 20), "bucket": state.TokenBucket(4, 600), "delay": state.DelayQueue("n")}
+RULES = {"shared": state.SharedIds(3), "each": state.AgedRequests(3, 30), "all": state.AgedRequests(3, 30, "all"), "table": state.RoutingTable(3, 20), "bucket": state.TokenBucket(4, 600), "delay": state.DelayQueue("n"), "malformed": state.MalformedSenders()}
 
 
 @pytest.mark.parametrize("name", RULES)
 def test_a_stream_gives_what_a_table_gives_over_a_restart(spark, tmp_path, name):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(3 * k, {"shard": "xyz"[k % 3], "kind": ("request", "request", "response")[k * k % 7 % 3], "hash": k % 5, "peer": k % 2, "id": k % 3, "node": f"n{k % 6}", "amount": k % 4, "delay": 600 * (k % 3)}) for k in range(90)]
+    rows = [(3 * k, {"shard": "xyz"[k % 3], "kind": ("request", "request", "response")[k * k % 7 % 3], "hash": k % 5, "peer": k % 2, "id": k % 3, "node": f"n{k % 6}", "amount": k % 4, "delay": 600 * (k % 3), "malformed": k % 11 == 10}) for k in range(90)]
     df = _df(spark, [*rows, (10_000, {"shard": "end"})])  # the last row takes event time past all others
 
     def drain(since, until):
@@ -89,3 +89,10 @@ def test_a_stream_gives_what_a_table_gives_over_a_restart(spark, tmp_path, name)
     plain = state.by_rule(df, RULES[name], key="shard", time="at", order="n").filter("shard <> 'end'").collect()
     got = spark.read.parquet(f"{tmp_path}/out").filter("shard <> 'end'").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, plain)) and len(got) == 90
+
+
+def test_sums_are_no_upsert_of_a_stream(spark, tmp_path):
+    from millrace.streaming import handlers
+
+    with pytest.raises(ValueError):
+        handlers.upserted(spark.range(3), None, ["id"], {"n": "add"}, str(tmp_path))
