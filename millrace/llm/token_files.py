@@ -24,12 +24,12 @@ table gives no pages and no rows.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +39,12 @@ from millrace.llm.common import small_batches, text_or_empty
 BLOCK, PERCENTILE, PAGE_IDS = 128, 0.9, 65536
 PAGES = "part int, page int, doc_ids array<bigint>, counts array<bigint>, payload binary"
 
-_KEPT_UNITS, _UNITS_A_CALL = 300_000, 500
+_KEPT_UNITS, _UNITS_A_CALL = 800_000, 500
+#: Texts are encoded together up to so many bytes (or one longer text), so that a frequent unit is looked up once for many texts.
+_GROUP_BYTES = 1 << 22
 #: Stand for a comma, a full stop, a full stop at a line's end, and a line's end before a unit.
 _COMMA, _STOP, _STOP_LINE, _LINE = "\1", "\2", "\3", "\4"
-_MARKS = re.compile("[\1-\4]")
-#: Units without white space at either end.
-_SURE = re.compile(r"\x04?[^\s\x04](?:.*\S)?", re.S)
+_CUTS = ((", ", f" {_COMMA} "), (". ", f" {_STOP} "), (".\n", f" {_STOP_LINE} {_LINE}"))
 _LOADED: dict[str, "UnitEncoder"] = {}
 
 
@@ -98,11 +98,12 @@ class UnitEncoder:
         """Encodes the new units, many to a text: the library splits them there again. How many ids each has shows
         in the ids' byte lengths, for no id reaches over the start of a unit."""
         new, self.place.new = self.place.new, []
-        sure = np.fromiter(map(bool, map(_SURE.fullmatch, new)), bool, len(new))
-        line = np.fromiter((x.startswith(_LINE) for x in new), bool, len(new))
+        bare = [x.removeprefix(_LINE) for x in new]
+        sure = np.fromiter((x != "" and x == x.strip() for x in bare), bool, len(new))
+        line = np.fromiter(map(len, new), np.int64, len(new)) > np.fromiter(map(len, bare), np.int64, len(new))
         sizes, begin, flat, held = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
         for lead, group in ((" ", np.flatnonzero(sure & ~line)), ("\n", np.flatnonzero(sure & line))):
-            units = [lead + new[k].removeprefix(_LINE) for k in group]
+            units = [lead + bare[k] for k in group.tolist()]
             runs = ["".join(units[k : k + _UNITS_A_CALL]) for k in range(0, len(units), _UNITS_A_CALL)]
             ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in self._whole(runs)), np.uint32)
             ends = np.cumsum(self.bytes_of[ids])
@@ -130,42 +131,61 @@ class UnitEncoder:
         self.uses, self.sure, self.open = np.minimum(self.uses[kept], 1 << 40) // 2, self.sure[kept], self.open[kept]
         self.uses[:3] = 1 << 40
 
-    def _units(self, text: str) -> list[str] | None:
-        if _MARKS.search(text) or any(x in text for x in self.specials):
-            return None
-        return text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").replace(".\n", f" {_STOP_LINE} {_LINE}").split(" ")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _units(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """How many units each text has, all of them, and which texts the library gets whole (these have one empty unit)."""
+        whole = pc.match_substring_regex(texts, f"[{_COMMA}-{_LINE}]")
+        for special in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        cut = pc.if_else(whole, pa.scalar("", texts.type), texts)
+        for what, by in _CUTS:
+            cut = pc.replace_substring(cut, what, by)
+        units = pc.split_pattern(cut, " ")
+        return pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64), units.flatten(), whole.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
         if len(self.place) > _KEPT_UNITS:
             self._forget()
-        units = [self._units(x) for x in texts]
-        count = np.array([len(x) - 1 if x else 0 for x in units])
-        ends = np.cumsum(count)
-        later = itertools.chain.from_iterable(itertools.islice(x, 1, None) for x in units if x)
-        at = np.fromiter(map(self.place.__getitem__, later), np.int64, int(count.sum()))
+        count, units, whole = self._units(texts)
+        begin = np.cumsum(count) - count
+        coded = units.dictionary_encode()
+        code = coded.indices.to_numpy()
+        later = np.ones(len(code), bool)
+        later[begin] = False  # the first unit of each text is seen to below
+        code = code[later]
+        # each distinct unit is looked up once, however often the texts have it
+        times = np.bincount(code, minlength=len(coded.dictionary))
+        some = np.flatnonzero(times)
+        names = coded.dictionary.take(pa.array(some)).to_numpy(zero_copy_only=False)
+        place = np.zeros(len(times), np.int64)
+        place[some] = np.fromiter(map(self.place.__getitem__, names), np.int64, len(some))
         if self.place.new:
             self._learn()
+        self.uses[place[some]] += times[some]
+        at = place[code]
+        firsts = units.take(pa.array(begin)).to_pylist()
+        count -= 1
+        ends = np.cumsum(count)
         # a mark must follow a letter or digit, and more must follow it
         marked = at < 3
         ok = self.sure[at]
         ok[1:] &= ~marked[1:] | self.open[at[:-1]]
         some = np.flatnonzero(count)
         begin = ends[some] - count[some]
-        ok[begin] = self.sure[at[begin]]  # what comes before these is the first unit, seen to below
-        fits = np.ones(len(texts), bool)
+        ok[begin] = self.sure[at[begin]]  # what comes before these is the first unit
+        fits = ~whole
         if len(some):
-            fits[some] = np.logical_and.reduceat(ok, begin) & ~marked[ends[some] - 1]
+            fits[some] &= np.logical_and.reduceat(ok, begin) & ~marked[ends[some] - 1]
         first_marked = np.zeros(len(texts), bool)
         first_marked[some] = marked[begin]
-        firsts = []
-        for k, (text, found) in enumerate(zip(texts, units, strict=True)):
-            if found is not None:
-                first = found[0]
-                fits[k] &= not (first[:1].isspace() or first[-1:].isspace() or not first and count[k]) and (not first_marked[k] or first[-1:].isalpha() or first[-1:].isdecimal())
-            else:
-                fits[k] = False
-            firsts.append(found[0] if fits[k] else text)
-        np.add.at(self.uses, at, 1)
+        for k, first in enumerate(firsts):
+            if fits[k]:
+                fits[k] = not (first[:1].isspace() or first[-1:].isspace() or not first and count[k]) and (not first_marked[k] or first[-1:].isalpha() or first[-1:].isdecimal())
+            if not fits[k]:
+                firsts[k] = texts[k].as_py()
         sizes = self.sizes[at]
         until = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[at] - (until - sizes), sizes) + np.arange(until[-1] if len(until) else 0)]
@@ -180,6 +200,15 @@ class UnitEncoder:
 _BITS = np.frexp(np.arange(1 << 17, dtype=np.float64))[1].astype(np.uint8)
 
 
+def _turned(bytes_: np.ndarray) -> np.ndarray:
+    """Each eight bytes (the last axis) as a square of bits, its rows turned to columns."""
+    x = np.ascontiguousarray(bytes_).view(">u8").astype(np.uint64)
+    for step, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (x ^ (x >> np.uint64(step))) & np.uint64(mask)
+        x ^= t ^ (t << np.uint64(step))
+    return x.astype(">u8").view(np.uint8)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A page's payload."""
     n = len(ids)
@@ -194,8 +223,8 @@ def pack(ids: np.ndarray) -> bytes:
     width = np.partition(bits, at, axis=1)[:, at]
     sizes = width.astype(np.int64) * (BLOCK // 8)
     starts = np.cumsum(sizes) - sizes
-    bytes_ = rest.astype(">u4").view(np.uint8).reshape(blocks, BLOCK, 4)[:, :, 4 - -(-int(bits.max()) // 8) :]
-    planes = np.packbits(np.unpackbits(bytes_, axis=2).transpose(0, 2, 1)[:, ::-1], axis=2)  # lowest bits first
+    eights = [_turned((rest >> np.uint32(8 * k)).astype(np.uint8).reshape(blocks, BLOCK // 8, 8)) for k in range(max(1, -(-int(bits.max()) // 8)))]
+    planes = np.concatenate([x[:, :, ::-1].transpose(0, 2, 1) for x in eights], axis=1)  # lowest bits first
     packed = planes[np.arange(planes.shape[1]) < width[:, None]]
     odd = bits > width[:, None]
     places = np.nonzero(odd)[1].astype(np.uint8)
@@ -229,9 +258,10 @@ def unpack(payload: bytes) -> np.ndarray:
     n_bytes = max(1, -(-int(width.max()) // 8))
     planes = np.zeros((blocks, 8 * n_bytes, BLOCK // 8), np.uint8)
     planes[np.arange(8 * n_bytes) < width[:, None]] = packed.reshape(-1, BLOCK // 8)
-    body = np.zeros((blocks, BLOCK, 4), np.uint8)
-    body[:, :, 4 - n_bytes :] = np.packbits(np.unpackbits(planes, axis=2)[:, ::-1].transpose(0, 2, 1), axis=2)
-    rest = body.view(">u4").reshape(blocks, BLOCK).astype(np.uint32)
+    rest = np.zeros((blocks, BLOCK), np.uint32)
+    for k in range(n_bytes):
+        eight = planes[:, 8 * k : 8 * k + 8].transpose(0, 2, 1)[:, :, ::-1]
+        rest |= _turned(eight).reshape(blocks, BLOCK).astype(np.uint32) << np.uint32(8 * k)
     rest[np.repeat(np.arange(blocks), odd), places] = values
     return (rest + low[:, None]).reshape(-1)[:n]
 
@@ -254,6 +284,25 @@ def block_of(payload: bytes, place: int) -> np.ndarray:
     return (rest + low).astype(np.uint32)[: min(BLOCK, n - b * BLOCK)]
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """(doc_ids, texts) of about _GROUP_BYTES, in order, over the borders of batches."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < len(batch):
+            to = min(len(batch), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _GROUP_BYTES - held)) + 1)
+            parts.append(batch.slice(at, to - at))
+            held += int(ends[to - 1] - (ends[at - 1] if at else 0))
+            at = to
+            if held >= _GROUP_BYTES:
+                yield list(itertools.chain.from_iterable(x.column("doc_id").to_pylist() for x in parts)), pa.concat_arrays([x.column("text") for x in parts])
+                parts, held = [], 0
+    if parts:
+        yield list(itertools.chain.from_iterable(x.column("doc_id").to_pylist() for x in parts)), pa.concat_arrays([x.column("text") for x in parts])
+
+
 def _pages(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
@@ -273,16 +322,14 @@ def _pages(path: str, end_id: int):
                 ["part", "page", "doc_ids", "counts", "payload"],
             )
 
-        for batch in batches:
-            for k in range(0, len(batch), 250):
-                some = batch.slice(k, 250)
-                for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
-                    doc_ids.append(doc_id)
-                    ids.append(got)
-                    held += len(got) + 1
-                    if held >= PAGE_IDS:
-                        yield flush()
-                        doc_ids, ids, held, page = [], [], 0, page + 1
+        for group, texts in _groups(batches):
+            for doc_id, got in zip(group, encoder.encode(texts), strict=True):
+                doc_ids.append(doc_id)
+                ids.append(got)
+                held += len(got) + 1
+                if held >= PAGE_IDS:
+                    yield flush()
+                    doc_ids, ids, held, page = [], [], 0, page + 1
         if ids:
             yield flush()
 

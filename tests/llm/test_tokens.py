@@ -83,3 +83,29 @@ def test_files_of_an_empty_table(spark):
     out = scratch(spark, "files")
     token_files.write_token_files(spark, _docs(spark, []), out, BYTES)
     assert token_files.token_file_digests(spark, out).count() == 0
+
+
+def test_units_are_looked_up_once_a_call_and_stay_known():
+    """300,000 units and more stay known, so the library isn't asked for them again; a unit of many texts is looked up once."""
+    import pyarrow as pa
+
+    encoder, asked, looked = token_files.UnitEncoder(BYTES), [0], [0]
+    whole = encoder._whole
+
+    def counted(texts):
+        asked[0] += sum(map(len, texts))
+        return whole(texts)
+
+    class Places(type(encoder.place)):
+        def __getitem__(self, unit):
+            looked[0] += 1
+            return super().__getitem__(unit)
+
+    encoder._whole, new, encoder.place = counted, encoder.place.new, Places(encoder.place)
+    encoder.place.new = new
+    texts = ["x " + " ".join(f"{a}{b}" for b in range(k, k + 1000)) for a in "abcd" for k in range(0, 80_000, 1000)]
+    for _ in range(2):
+        asked[0] = 0
+        got = [encoder.encode(pa.array(texts[k : k + 40] * 2)) for k in range(0, len(texts), 40)]
+    assert asked[0] == 2 * len(texts) and looked[0] == 2 * 320_000
+    assert got[3][7].tolist() == encoder.tokenizer.encode(texts[127], add_special_tokens=False).ids
