@@ -78,7 +78,7 @@ class Windows:
 
     def times(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which windows have a word with a column, and those rows times g (which is weighted by idf)."""
-        some, sums = _sums_by(self.half, g[self.column])
+        some, sums = _sums_of(self.half, g, self.column)
         h = np.zeros((self.halves + 1, g.shape[1]), np.float32)
         h[some] = sums
         has = np.zeros(self.halves + 1, bool)
@@ -92,8 +92,8 @@ class Windows:
         z = z / self.length[rows, None]
         u[self.first[rows]] = z  # a half is the first one of one window, and the second one of another
         u[self.second[rows]] += z
-        turn = np.argsort(self.column, kind="stable")
-        return _sums_by(self.column[turn], u[self.half[turn]])
+        column, half = _by_column(self)
+        return _sums_of(column, u, half)
 
 
 def windows(slots: np.ndarray, sizes: np.ndarray, place: np.ndarray, idf: np.ndarray) -> Windows:
@@ -160,8 +160,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # once for each half that has it and ends a window or begins one, less once for two halves of one window
         windows_of = np.bincount(w.first, minlength=w.halves + 1) + np.bincount(w.second, minlength=w.halves + 1)
         total[:-1] += np.bincount(w.column, weights=windows_of[w.half], minlength=1 << SLOT_BITS)
-        turn = np.argsort(w.column, kind="stable")
-        half, column = w.half[turn], w.column[turn]
+        column, half = _by_column(w)
         paired = np.zeros(w.halves + 1, bool)
         paired[w.first] = w.second < w.halves
         twice = (column[1:] == column[:-1]) & (half[1:] == half[:-1] + 1) & paired[half[:-1]]
@@ -217,12 +216,36 @@ def make_benchmark(passages: list[tuple[int, np.ndarray, int]], idf: np.ndarray,
     return Benchmark([i for i, _, _ in passages], [s for _, s, _ in passages], [a for _, _, a in passages], place, idf, idf[used].astype(np.float32), matrix)
 
 
-def _sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys (given ascending), and the sum of the rows of each."""
+def _by_column(w: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of w, ascending, and the half of each, ascending where the column is the same."""
+    both = np.sort(w.column << 40 | w.half)
+    return both >> 40, both & ((1 << 40) - 1)
+
+
+def _sums_of(key: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (given ascending), and for each the sum of the rows that at names.
+
+    Keys are cut into pieces of at most STEP rows; first rows of all pieces are added at once, then second ones, and so on."""
     if not len(key):
-        return key, rows
+        return key, rows[at]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(rows, first, axis=0)
+    sizes = np.diff(np.concatenate([first, [len(key)]]))
+    pieces = -(-sizes // STEP)
+    ends = np.cumsum(pieces)
+    of = np.repeat(np.arange(len(first)), pieces)
+    begin = first[of] + STEP * (np.arange(ends[-1]) - (ends - pieces)[of])
+    size = np.minimum(STEP, (first + sizes)[of] - begin)
+    turn = np.argsort(-size, kind="stable")  # the longest come first
+    begin = begin[turn]
+    count = len(size) - np.cumsum(np.bincount(size, minlength=STEP + 1))  # of pieces longer than 0, 1, ..
+    sums = rows[at[begin]]
+    for k in range(1, STEP):
+        if not count[k]:
+            break
+        sums[: count[k]] += rows[at[begin[: count[k]] + k]]
+    out = np.empty_like(sums)
+    out[turn] = sums
+    return key[first], out if len(out) == len(first) else np.add.reduceat(out, ends - pieces, axis=0)
 
 
 def _gram_times(shared):

@@ -164,3 +164,14 @@ def test_verbatim_items_are_found_however_many_there_are(spark):
     want = {i for _, item in items for i, h in held.items() if f" {item} " in h}
     got = {r.doc_id for r in dc.leaked(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert len(want) > 300 and len(want & got) >= 0.98 * len(want) and len(got - want) < 0.15 * len(want)
+
+
+def test_sums_of_named_rows_by_key():
+    r = np.random.default_rng(8)
+    rows = r.standard_normal((50, 7))
+    for n in (0, 1, 16, 17, 3000):
+        key, at = np.sort(r.choice([1, 2, 5, 9, *range(20, 60)], n, p=np.concatenate([[0.5, 0.1], np.full(42, 0.4 / 42)]))), r.integers(0, 50, n)
+        want = np.zeros((60, 7))
+        np.add.at(want, key, rows[at])
+        keys, sums = dc._sums_of(key, rows, at)
+        assert keys.tolist() == np.unique(key).tolist() and np.allclose(sums, want[keys])

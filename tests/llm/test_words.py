@@ -25,3 +25,19 @@ def test_parts_are_counted_alike_in_any_company():
     ends = np.cumsum(sizes)
     for k in r.sample(range(len(parts)), 40):
         assert (bytes_hashes([parts[k]])[0] == h[ends[k] - sizes[k] : ends[k]]).all()
+
+
+def test_hashes_are_the_sums_of_their_bytes_across_pieces():
+    import numpy as np
+
+    from millrace.llm import words as w
+
+    parts = [b"a bc ", b"", b"x" * 1024, b"y" * 1025 + b"\tz", b"q " * w._STEP, b"k" * 3 * w._STEP + b" e"]
+    h, sizes = bytes_hashes(parts)
+    assert sizes.tolist() == [2, 0, 1, 2, w._STEP, 2]
+    found = [x for part in parts for x in part.split()]
+    for word in {found[k]: k for k in range(len(found))}.values():
+        raw = np.frombuffer(found[word], np.uint8)
+        want = (w._BYTE[raw] * w._POWERS[np.arange(len(raw)) & 1023]).sum(dtype=np.uint64, keepdims=True)
+        want = (want ^ (want >> np.uint64(30))) * w._MIX
+        assert h[word] == want ^ (want >> np.uint64(27))
