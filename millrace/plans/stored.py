@@ -13,8 +13,10 @@ by the statistics of the sorted files, to row groups that can hold the terms; so
 
 from __future__ import annotations
 
+import gc
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -22,12 +24,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import query_terms
-from millrace.plans.index import IndexSpec, analysed, matches
+from millrace.plans.index import IndexSpec, analysed, documents, matches
 from millrace.sources.storage import Folder
 
 POSTINGS = "doc_id bigint, field string, term string, tf bigint, length int, boost double, segment string, bucket int"
 DOCUMENTS = "doc_id bigint, segment string"
 DELETES = "doc_id bigint, deletes string"
+#: Postings of a task that writes a segment, or ids of a file of marks; documents whose terms tell how many there will be and which are frequent; masks
+#: of 64 ids each that are broadcast at most (some 64 MB), beyond which they are joined by a shuffle.
+ROWS, LOOKED_AT, MASKS = 1_000_000, 20_000, 1 << 20
+
+
+def _masks(ids: DataFrame, *by: str) -> DataFrame:
+    """__chunk, __bits: the ids (doc_id) as one mask for each 64 neighbouring ones."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("doc_id").bitwiseAND(63).cast("int"))
+    return ids.groupBy(F.shiftright("doc_id", 6).alias("__chunk"), *by).agg(F.bit_or(bit).alias("__bits"))
+
+
+def _in_masks(key: str) -> Column:
+    k = F.col(key).cast("bigint")
+    return (F.shiftright(k, 6) == F.col("__chunk")) & (F.bit_get("__bits", k.bitwiseAND(63).cast("int")) == 1)
+
+
+def _small(masks: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(masks) if n <= MASKS else masks
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    """doc_id, field, length, boost, term, tf of each row's own terms: runs of the sorted terms, so that nothing is shuffled."""
+    own = parts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "field", "boost", F.sort_array("terms").alias("terms"))
+    first = F.filter(F.slice(F.sequence(F.lit(0), F.size("terms")), F.lit(1), F.size("terms")), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = own.select("doc_id", "field", "boost", "terms", F.size("terms").alias("length"), first.alias("first"))
+    each = F.transform("first", lambda at, k: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("first", k + 1), F.col("length")) - at).cast("bigint").alias("tf")))
+    return runs.select("doc_id", "field", "length", "boost", F.inline(each))
+
+
+def _layout(terms: DataFrame, share: float) -> tuple[int, list[str]]:
+    """(postings there will be, terms that make up a quarter of a task's rows or more), from `share` of all terms."""
+    by_term = terms.groupBy("term").agg(F.count("*").alias("n"))
+    row = by_term.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") >= ROWS / 4 * share, F.col("term"))).alias("frequent")).first()
+    return math.ceil((row.n or 0) / share), row.frequent
+
+
+def _release(spark: SparkSession) -> None:
+    """The shuffle files of what has been written are dropped when the driver collects its garbage: a second time, for what
+    the first one lets go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @dataclass(frozen=True)
@@ -62,9 +107,9 @@ class Snapshot:
         later = [e for e in self.manifest["deletes"] if e["seq"] > least]
         if not later:
             return rows
-        died = self._numbered(self._table("deletes", DELETES, [e["id"] for e in later], "deletes"), "deletes", later)
-        last = died.groupBy(F.col("doc_id").alias("__id")).agg(F.max("seq").alias("__died"))
-        return rows.join(last, (F.col("doc_id") == F.col("__id")) & (F.col("__died") > F.col("seq")), "left_anti")
+        died = self._numbered(self._table("deletes", DELETES, [e["id"] for e in later], "deletes"), "deletes", later).withColumnRenamed("seq", "__died")
+        masks = _small(_masks(died, "__died"), sum(e.get("masks", MASKS + 1) for e in later))
+        return rows.join(masks, _in_masks("doc_id") & (F.col("__died") > F.col("seq")), "left_anti")
 
     def postings(self, terms: list[str] | None = None, segments: list[dict] | None = None) -> DataFrame:
         """doc_id, field, term, tf, length, boost of the live documents; of the given terms only those terms' buckets are read."""
@@ -106,6 +151,7 @@ class Pending:
     documents: int
     postings: int
     deletes: int
+    masks: int
     replace: bool
     token: tuple[str, int] | None
 
@@ -121,7 +167,7 @@ class Pending:
             if self.deletes and not self.replace:
                 ids = self.index.spark.read.schema("doc_id bigint").parquet(f"{self.index.path}/deletes/deletes={self.id}")
                 gone = now.documents().join(ids, "doc_id", "left_semi").count()
-            deletes = [{"id": self.id, "seq": seq}] if gone else []
+            deletes = [{"id": self.id, "seq": seq, "masks": self.masks}] if gone else []
             new = {
                 "version": old["version"] + 1, "next_seq": seq + 1, "live": self.documents + (0 if self.replace else old["live"] - gone),
                 "segments": ([] if self.replace else old["segments"]) + mine, "deletes": ([] if self.replace else old["deletes"]) + deletes,
@@ -153,11 +199,16 @@ class StoredIndex:
         """Of a literal, Catalyst knows it before it lists the folders."""
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, postings: DataFrame, documents: DataFrame) -> tuple[str, int, int]:
-        """(id, documents, postings) of a new segment. Ranges of (bucket, term, doc_id), so that one frequent term is
-        several tasks' work and each file holds few terms."""
+    def _write(self, postings: DataFrame, documents: DataFrame, total: int, frequent: list[str]) -> tuple[str, int, int]:
+        """(id, documents, postings) of a new segment. A task has one bucket's share of the terms, sorted, in a file; the
+        frequent terms are dealt by doc_id to all tasks of their bucket. total: postings, roughly."""
         name = uuid.uuid4().hex
-        postings.withColumn("bucket", self.bucket(F.col("term"))).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
+        each = max(1, math.ceil(total / ROWS / self.buckets))
+        bucket, at = self.bucket(F.col("term")), F.hash("term").cast("bigint")
+        if frequent:
+            at = F.when(F.col("term").isin(*frequent), at + F.hash("doc_id")).otherwise(at)
+        dealt = postings.repartitionById(self.buckets * each, bucket * each + F.pmod(at, F.lit(each)).cast("int"))
+        dealt.withColumn("bucket", bucket).sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={name}")
         documents.select("doc_id").write.parquet(f"{self.path}/documents/segment={name}")
         count = lambda kind, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/segment={name}").count()
         return name, count("documents", "doc_id bigint"), count("postings", "doc_id bigint")
@@ -165,19 +216,26 @@ class StoredIndex:
     def stage(self, rows: DataFrame, deletes: DataFrame | None = None, *, replace: bool = False, token: tuple[str, int] | None = None) -> Pending:
         """Writes what a commit adds: rows to index, which take the place of those with the same key, and the deletion of
         further doc_ids. replace: the index then holds these rows alone (a rebuild)."""
-        parts = analysed(rows, self.spec)
-        each = parts.withColumn("doc_id", F.col("doc_id").cast("bigint")).select("doc_id", "field", F.size("terms").alias("length"), "boost", F.explode("terms").alias("term"))
-        postings = each.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"))
-        documents = parts.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-        name, n_documents, n_postings = self._write(postings, documents)
+        indexed = documents(rows, self.spec).select(F.col(self.spec.key).cast("bigint").alias("doc_id"))
+        n, n_ids = indexed.count(), indexed.distinct().count()
+        share = min(1.0, LOOKED_AT / max(1, n))
+        total, frequent = _layout(_counted(analysed(rows if share == 1 else rows.sample(share, seed=1), self.spec)), share)
+        postings = _counted(analysed(rows, self.spec))
+        if n > n_ids:  # rows that share a key are one document
+            postings = postings.groupBy("doc_id", "field", "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"), F.max("boost").alias("boost"))
+        name, n_documents, n_postings = self._write(postings, indexed.distinct(), total, frequent)
         ids = rows.select(F.col(self.spec.key).cast("bigint").alias("doc_id"))
         if deletes is not None:
             ids = ids.unionByName(deletes.select(F.col("doc_id").cast("bigint").alias("doc_id")))
-        n_deletes = 0
+        n_deletes = n_masks = 0
         if not replace:
             ids.distinct().write.parquet(f"{self.path}/deletes/deletes={name}")
-            n_deletes = self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/deletes/deletes={name}").count()
-        return Pending(self, name, n_documents, n_postings, n_deletes, replace, token)
+            written = self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/deletes/deletes={name}")
+            n_deletes, n_masks = written.agg(F.count("*"), F.count_distinct(F.shiftright("doc_id", 6))).first()
+        del postings, indexed, ids
+        if n_postings > ROWS:
+            _release(self.spark)
+        return Pending(self, name, n_documents, n_postings, n_deletes, n_masks, replace, token)
 
     def commit(self, rows: DataFrame, deletes: DataFrame | None = None, *, replace: bool = False, token: tuple[str, int] | None = None) -> Snapshot:
         now = self.snapshot()
@@ -196,7 +254,10 @@ class StoredIndex:
             full = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= fan), None)
             if full is None:
                 return now
-            name, documents, postings = self._write(now.postings(segments=full), now.documents(full))
+            total = sum(e["postings"] for e in full)
+            share = min(1.0, ROWS / max(1, total))
+            terms = now._table("postings", POSTINGS, [e["id"] for e in full if e["postings"]], "segment").select("term").sample(share, seed=1)
+            name, documents, postings = self._write(now.postings(segments=full), now.documents(full), total, _layout(terms, share)[1])
             # what is alive in this version was deleted by none of its commits, so the segment counts as the newest of them
             seq, taken = now.manifest["next_seq"] - 1, {e["id"] for e in full}
             mine = [{"id": name, "seq": seq, "documents": documents, "postings": postings}] if documents else []
@@ -252,8 +313,10 @@ class DirtyMarks:
         self.folder = Folder(spark, self.path)
 
     def mark(self, ids: DataFrame) -> None:
+        """A file for each ROWS ids: a drain's batches are counted in files, and each is a pass over the entities."""
         name = uuid.uuid4().hex
-        ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().withColumn("mark", F.lit(name)).write.mode("append").parquet(f"{self.path}/marks")
+        marked = ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+        marked.coalesce(max(1, math.ceil(marked.count() / ROWS))).withColumn("mark", F.lit(name)).write.mode("append").parquet(f"{self.path}/marks")
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}") if self.folder.exists(name) else self.spark.createDataFrame([], self.SCHEMA)
@@ -269,19 +332,22 @@ class DirtyMarks:
         batch.select("doc_id", "mark").write.mode("overwrite").parquet(f"{self.path}/done/{batch_id:010d}")
 
 
-def incremental_build(index: StoredIndex, marks: DirtyMarks, entities: DataFrame, checkpoint: str, *, name: str = "dirty", files_per_trigger: int = 1000, seconds: int = 600) -> Snapshot:
+def incremental_build(index: StoredIndex, marks: DirtyMarks, entities: DataFrame, checkpoint: str, *, name: str = "dirty", files_per_trigger: int = 1000, seconds: int | None = None) -> Snapshot:
     """Drains the marks: each micro-batch commits the marked entities (a marked id without one is deleted) and only then
     removes its marks. A run that ends between the two does the same batch again; the index knows its number and stays, so
-    the marks alone go."""
+    the marks alone go. It takes as long as the marked entities need, unless the caller sets a limit in seconds."""
 
     def drained(batch: DataFrame, batch_id: int) -> None:
         ids = batch.select("doc_id").distinct()
-        rows = entities.join(ids.withColumnRenamed("doc_id", index.spec.key), index.spec.key, "left_semi")
+        masks = _masks(ids)
+        rows = entities.join(_small(masks, masks.count()), _in_masks(index.spec.key), "left_semi")
         index.commit(rows, ids, token=(name, batch_id))
         marks.remove(batch, batch_id)
 
     query = marks.stream(files_per_trigger).writeStream.foreachBatch(drained).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if not query.awaitTermination(seconds):
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"the build didn't end in {seconds} s")
     return index.snapshot()

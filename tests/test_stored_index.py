@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.plans import index, stored
 from millrace.sources.storage import Folder
@@ -131,6 +132,61 @@ def test_a_drain_that_dies_between_commit_and_removal_is_done_once(spark, made,
     _same(last, spark, [r for r in rows if r[0] != 3] + [r for r in _rows(range(40), seed=4) if r[0] == 3])
 
 
+def test_a_drain_takes_as_long_as_it_needs(spark, made, tmp_path, monkeypatch):
+    """Whoever waits for a limited time finds that it is over; the drain of many marks takes longer than any fixed time."""
+    waits = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: waits(self) if timeout is None else False)
+    made.commit(spark.createDataFrame(_rows(range(20), seed=9), SCHEMA))
+    marks = stored.DirtyMarks(spark, f"file://{tmp_path}/marks")
+    marks.mark(spark.range(20).toDF("doc_id"))
+    _same(stored.incremental_build(made, marks, spark.createDataFrame(_rows(range(20)), SCHEMA), f"file://{tmp_path}/drain"), spark, _rows(range(20)))
+    assert marks.pending().count() == 0
+    with pytest.raises(TimeoutError):
+        stored.incremental_build(made, marks, spark.createDataFrame(_rows(range(20)), SCHEMA), f"file://{tmp_path}/drain", seconds=1)
+
+
+def test_marks_are_few_files_however_many_partitions(spark, tmp_path, monkeypatch):
+    marks = stored.DirtyMarks(spark, f"file://{tmp_path}/marks")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        marks.mark(spark.range(100).toDF("doc_id"))
+        monkeypatch.setattr(stored, "ROWS", 40)
+        marks.mark(spark.range(100).toDF("doc_id"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len([f for f, *_ in marks.folder.files("marks") if f.endswith(".parquet")]) == 1 + 3 and marks.pending().count() == 200
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])  # masks are broadcast, or joined by a shuffle
+def test_any_ids_and_rows_that_share_one(spark, made, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(stored, "MASKS", most)
+    ids = [*range(-70, 70), 1 << 62, (1 << 63) - 1, -(1 << 63), (1 << 40) + 63, (1 << 40) + 64]
+    rows = _rows(ids)
+    df = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    made.commit(df(_rows([*ids, 7777], seed=3) + [(None, "red red", "ring")]))
+    marks = stored.DirtyMarks(spark, f"file://{tmp_path}/marks")
+    marks.mark(spark.createDataFrame([(k,) for k in [*ids, 7777, None]], "doc_id bigint"))
+    done = stored.incremental_build(made, marks, df([*rows, (None, "not marked", None), (8888, "not marked", None)]), f"file://{tmp_path}/drain")
+    null = [r for r in done.postings().filter("doc_id IS NULL").collect()]
+    assert sorted((r.field, r.term, r.tf) for r in null) == [("name", "red", 2), ("note", "ring", 1)]  # no mark reaches what has no id
+    made.commit(df(rows), replace=True)
+    _same(made.snapshot(), spark, rows)
+    twice = made.commit(df([(5, "red stone red", "a"), (5, "red", None)]))
+    assert sorted((r.field, r.term, r.tf, r.length) for r in twice.postings().filter("doc_id = 5").collect()) == [("name", "red", 3, 3), ("name", "stone", 1, 3), ("note", "a", 1, 1)]
+    assert twice.manifest["live"] == len(ids)
+
+
+def test_frequent_terms_are_dealt_to_all_tasks_of_their_bucket(spark, made, monkeypatch):
+    monkeypatch.setattr(stored, "ROWS", 100)
+    monkeypatch.setattr(stored, "LOOKED_AT", 50)
+    rows = [(k, f"every w{k}", f"n{k}") for k in range(400)]
+    snapshot = made.commit(spark.createDataFrame(rows, SCHEMA))
+    _same(snapshot, spark, rows)
+    files = lambda term: snapshot.postings([term]).select(_file()).distinct().count()
+    assert files("every") > 1 and files("w7") == files("n9") == 1
+
+
 def test_folders(spark, tmp_path):
     folder = Folder(spark, f"file://{tmp_path}/x")
     assert folder.names() == [] and folder.files() == [] and folder.create("a", "é") and not folder.create("a", "other")
