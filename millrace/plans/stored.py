@@ -8,7 +8,7 @@ number by a rename that fails if there is one, so of two writers one tries again
 commit that dies leaves files that no version names.
 
 A search reads a snapshot, that is, one version: later commits don't change what it sees. It prunes to its terms' buckets and,
-by the statistics of the sorted files, to row groups that can hold the terms; so its work grows with the postings of its terms.
+by the statistics of the sorted files, to pages that can hold the terms; so its work grows with the postings of its terms.
 """
 
 from __future__ import annotations
